@@ -89,7 +89,7 @@ def publish_progress(batches: DataFrame) -> DataFrame:
         "batch_records",
         "published_records",
         elapsed.cast("decimal(18,3)").alias("elapsed_seconds"),
-        F.round(F.col("published_records") / elapsed, 2).alias("records_per_second"),
+        F.round(F.col("published_records") / elapsed.cast("double"), 2).alias("records_per_second"),
         "transient_failed_records",
     )
 

@@ -54,16 +54,12 @@ TABLE_DDL = {
     ),
 }
 
-PUBLISH_PROGRESS = T.StructType.fromDDL(
+PUBLISH_PROGRESS = (
     "run_id STRING, batch_seq BIGINT, timestamp_utc TIMESTAMP, elapsed_seconds DECIMAL(18,3), event_hour STRING, "
     "batch_records BIGINT, published_records BIGINT, records_per_second DOUBLE, transient_failed_records BIGINT"
 )
 
-READ_LATENCY = T.StructType.fromDDL(
+READ_LATENCY = (
     "read_timestamp_utc STRING, event_hour STRING, records_read BIGINT, publish_to_read_latency_ms STRING, "
     "arrival_latency_ms STRING, partition_key STRING, event_id STRING"
 )
-
-
-def columns_of(table: str) -> list[str]:
-    return T.StructType.fromDDL(TABLE_DDL[table]).fieldNames()

@@ -10,10 +10,13 @@ from peakflow.sources.events import with_event_ts
 
 
 def parquet_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, newest_only: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, newest_first: bool = False
 ) -> DataFrame:
-    """`newest_only` starts from the latest files, the default from the oldest."""
-    reader = spark.readStream.schema(schema).option("latestFirst", str(newest_only).lower())
+    """`newest_first` reads the latest files first, the default the oldest.
+
+    `path` is a folder of files or a pattern; a single file has to be given as a pattern.
+    """
+    reader = spark.readStream.schema(schema).option("latestFirst", str(newest_first).lower())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)

@@ -1,0 +1,57 @@
+"""Run queries beside their SQL twins: python tests/run_twins.py SF_DIR [name ...]"""
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+import __spark_entry__ as entry  # noqa: E402
+from twins import connect, rows_of_query, rows_of_sql, types_of  # noqa: E402
+
+
+def main() -> int:
+    sf_dir, names = sys.argv[1], sys.argv[2:]
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    con, sql, bad = connect(sf_dir), entry.oracle_sql(), 0
+    for name, run in entry.queries().items():
+        if names and name not in names:
+            continue
+        started = time.time()
+        try:
+            df = run(spark, sf_dir)
+            mine = rows_of_query(df)
+            took = time.time() - started
+            if name not in sql:
+                print(f"{name}: {len(mine[1])} rows, no twin, {took:.2f}s")
+                continue
+            theirs = rows_of_sql(con, sql[name])
+            kinds = types_of(df, con, sql[name])
+        except Exception as error:  # noqa: BLE001
+            bad += 1
+            print(f"{name}: FAILED {str(error)[:600]}")
+            continue
+        odd = {c: (k, kinds[1].get(c)) for c, k in kinds[0].items() if k != kinds[1].get(c)}
+        if mine == theirs:
+            print(f"{name}: ok, {len(mine[1])} rows, {took:.2f}s {odd or ''}")
+        else:
+            bad += 1
+            print(f"{name}: DIFFERENT {mine[0]} {theirs[0]} rows {len(mine[1])} {len(theirs[1])} {odd}")
+            for a, b in [(a, b) for a, b in zip(mine[1], theirs[1]) if a != b][:3]:
+                print("   ", a, "\n   ", b)
+    print("bad:", bad)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(min(main(), 1))

@@ -1,0 +1,57 @@
+"""Compare a query with its SQL twin, order of rows aside."""
+
+from __future__ import annotations
+
+import datetime
+import decimal
+import math
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float) and math.isfinite(value):
+        return float(f"{value:.12g}")
+    if isinstance(value, decimal.Decimal):
+        return ("decimal", str(value))
+    if isinstance(value, datetime.datetime):
+        return value.replace(tzinfo=None).isoformat()
+    return value
+
+
+def _normal(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = [tuple(_plain(r[i]) for i in order) for r in rows]
+    return sorted(names), sorted(plain, key=repr)
+
+
+def rows_of_query(df):
+    return _normal(df.columns, [tuple(r) for r in df.collect()])
+
+
+def rows_of_sql(con, sql):
+    cursor = con.execute(sql)
+    return _normal([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def types_of(df, con, sql):
+    """Column types of both sides, by name, in a common spelling."""
+    common = {
+        "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+        "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+    }
+    spark = {c: common.get(k, k.upper()) for c, k in df.dtypes}
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    return spark, {r[0]: r[1] for r in described}
