@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakflow.functions.bands import latency_segment
 from peakflow.functions.times import hour_from_label, hour_label_from_text, millis_between
-from peakflow.operators.ordering import percentiles
+from peakflow.operators.ordering import percentiles, sorted_slices
 
 # Reported segments and percents, and the alarm rule.
 SEGMENTS = ("all", "peak", "shoulder", "off-peak")
@@ -59,10 +59,9 @@ def _moments(counts: DataFrame) -> DataFrame:
 
 def latency_stats(log: DataFrame) -> DataFrame:
     """Statistics of both latencies per segment; segments without records give zeros."""
-    counts = _value_counts(log)
-    stats = _moments(counts).join(
-        percentiles(counts, ["segment", "measure"], "ms", "n", PERCENTS), ["segment", "measure"]
-    )
+    group = ["segment", "measure"]
+    counts = sorted_slices(_value_counts(log), [*group, "ms"], "latencies")
+    stats = _moments(counts).join(percentiles(counts, group, "ms", "n", PERCENTS), group)
 
     def of(measure: str, column: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("measure") == measure, F.col(column))), F.lit(0)).alias(

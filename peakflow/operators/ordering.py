@@ -91,13 +91,13 @@ def with_previous(
 
 
 def percentiles(
-    counts: DataFrame, group: Sequence[str], value: str, weight: str, points: Mapping[str, int]
+    placed: DataFrame, group: Sequence[str], value: str, weight: str, points: Mapping[str, int]
 ) -> DataFrame:
     """Exact percentiles, interpolated between neighbours, from how often each value occurs.
 
+    `placed` holds values with their counts in the order of `sorted_slices(counts, [*group, value])`;
     `points` maps names to percents. Only the slices that hold a wanted rank are looked through.
     """
-    placed = sorted_slices(counts, [*group, value], "percentiles")
     slices = placed.groupBy(*group, "_slice").agg(F.sum(weight).alias("_rows"))
     total = F.sum("_rows").over(Window.partitionBy(*group))
     slices = slices.withColumns({"_start": _before("_rows", group, "_slice"), "_total": total})

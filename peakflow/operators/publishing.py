@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peakflow.functions.times import hour_label
 from peakflow.operators.ordering import BLOCK_ROWS, with_previous, with_row_number, with_running_sums
+from peakflow.session import materialise
 
 # Defaults of a replay, and the shortest times rates are computed with.
 BATCH_SIZE = 250
@@ -67,7 +68,11 @@ def batch_log(numbered: DataFrame, failed: Column, millis: Column, run_id: str =
 
 
 def with_batch_sequence(batches: DataFrame) -> DataFrame:
-    """`batch_seq`: batches are consecutive within an hour, so each hour shifts by the batches before it."""
+    """`batch_seq`: batches are consecutive within an hour, so each hour shifts by the batches before it.
+
+    The batches are stored first; numbering and running totals read them several times.
+    """
+    batches = materialise(batches, "batches")
     hours = batches.groupBy("run_id", "event_hour").agg(F.count("*").alias("_batches"))
     earlier = Window.partitionBy("run_id").orderBy("event_hour").rowsBetween(Window.unboundedPreceding, -1)
     shifts = hours.select("run_id", "event_hour", F.coalesce(F.sum("_batches").over(earlier), F.lit(0)).alias("_shift"))
