@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,7 @@ def view_row_counts(views: dict[str, DataFrame]) -> DataFrame:
 def key_load(records: DataFrame, key: str = "store_id") -> DataFrame:
     """Records per stream key, their share of all, and how far the key lies above the mean key."""
     per_key = records.groupBy(F.col(key).alias("partition_key")).agg(F.count("*").alias("records"))
-    whole = per_key.agg(F.sum("records").alias("records"), F.avg("records").alias("mean"))
-    share: Column = F.col("records") / whole.select("records").scalar()
-    return per_key.select(
-        "partition_key", "records", share.alias("share"), (F.col("records") / whole.select("mean").scalar()).alias("skew")
+    whole = per_key.agg(F.struct(F.sum("records").alias("all"), F.avg("records").alias("mean"))).scalar()
+    return per_key.withColumns(
+        {"share": F.col("records") / whole["all"], "skew": F.col("records") / whole["mean"]}
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakflow.functions.bands import latency_segment
 from peakflow.functions.times import hour_from_label, hour_label_from_text, millis_between
-from peakflow.operators.ordering import percentiles, sorted_slices
+from peakflow.operators.ordering import percentiles, sorted_slices, with_row_number
 
 # Reported segments and percents, and the alarm rule.
 SEGMENTS = ("all", "peak", "shoulder", "off-peak")
@@ -29,6 +29,12 @@ def read_latencies(records: DataFrame, read_at: Column, arrived_at: Column) -> D
     )
 
 
+def with_records_read(log: DataFrame) -> DataFrame:
+    """How many records had been read when each one was, itself included."""
+    numbered = with_row_number(log, [], ["read_at", "event_id"], "_earlier")
+    return numbered.withColumn("records_read", F.col("_earlier") + 1).drop("_earlier")
+
+
 def _value_counts(log: DataFrame) -> DataFrame:
     """How often each latency occurs, per segment and over all. A blank hour counts in `all` only."""
     measures = F.array(

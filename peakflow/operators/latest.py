@@ -33,14 +33,17 @@ def latest_orders(events: DataFrame) -> DataFrame:
         *_if_present(events, "updated_at"),
         "event_id",
     )
-    return latest_per_key(states, ["order_id"], ["event_time", "event_id"]).drop("event_id")
+    # The columns after the id only matter if two different events share one id.
+    order = ["event_time", "event_id", "order_total", "order_status", "store_id", "customer_id"]
+    return latest_per_key(states, ["order_id"], order).drop("event_id")
 
 
 def latest_order_items(events: DataFrame) -> DataFrame:
     """One line per order and product; of two lines in one event the later position survives."""
     kept = ["event_id", "order_id", "store_id", F.col("event_ts").alias("event_time"), *_if_present(events, "updated_at")]
-    lines = exploded(events, *kept).where("product_id IS NOT NULL")
-    newest = latest_per_key(lines, ["order_id", "product_id"], ["event_time", "event_id", "item_no"])
+    lines = exploded(events, *kept)
+    order = ["event_time", "event_id", "item_no", "quantity", "unit_price"]
+    newest = latest_per_key(lines, ["order_id", "product_id"], order)
     return newest.select(
         "order_id",
         "store_id",
@@ -53,9 +56,9 @@ def latest_order_items(events: DataFrame) -> DataFrame:
     )
 
 
-def earliest_delivery(events: DataFrame, key: str = "event_id", time: str = "event_ts") -> DataFrame:
-    """Drop repeated deliveries of an event and keep the first."""
-    return first_per_key(events, [key], [F.asc(time)])
+def earliest_delivery(events: DataFrame, key: str = "event_id", order: Sequence[str] = ("event_ts",)) -> DataFrame:
+    """Drop repeated deliveries of an event and keep the first in `order`."""
+    return first_per_key(events, [key], [F.asc(c) for c in order])
 
 
 def _if_present(df: DataFrame, *names: str) -> list[str]:

@@ -17,10 +17,11 @@ MIN_DELTA = "0.0001"
 
 
 def with_batch_number(events: DataFrame, batch_size: int = BATCH_SIZE, time: str = "event_ts") -> DataFrame:
-    """`event_hour` and the number of the batch in that hour, in the order of time and id."""
+    """`event_hour`, the batch in that hour in the order of time and id, and the place in the batch."""
     hours = events.withColumn("event_hour", F.hour(time))
     numbered = with_row_number(hours, ["event_hour"], [time, "event_id"])
-    return numbered.withColumn("batch_no", F.floor(F.col("row_no") / batch_size)).drop("row_no")
+    places = {"batch_no": F.floor(F.col("row_no") / batch_size), "batch_place": F.col("row_no") % batch_size}
+    return numbered.withColumns(places).drop("row_no")
 
 
 def replay_plan(

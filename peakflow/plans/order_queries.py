@@ -169,7 +169,8 @@ def schema_violations(spark, sf_dir):
   UNION ALL SELECT event_id, order_id, customer_id, store_id, event_type, event_time, NULL FROM bare
 ) SELECT order_id, customer_id, store_id, event_type AS order_status, CAST(order_total AS DECIMAL(12,2)) AS order_total,
   event_time FROM states
-  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_time DESC, event_id DESC) = 1"""
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_time DESC, event_id DESC, order_total DESC,
+    event_type DESC, store_id DESC, customer_id DESC) = 1"""
 )
 def latest_orders(spark, sf_dir):
     return latest.latest_orders(tables.line_events(spark, sf_dir))
@@ -178,8 +179,9 @@ def latest_orders(spark, sf_dir):
 @query(
     LINE_EVENTS
     + """ SELECT order_id, store_id, product_id, quantity, CAST(unit_price AS DECIMAL(12,2)) AS unit_price, line_total,
-  event_time FROM items
-  QUALIFY row_number() OVER (PARTITION BY order_id, product_id ORDER BY event_time DESC, event_id DESC, item_no DESC) = 1"""
+  event_time FROM items WHERE product_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY order_id, product_id ORDER BY event_time DESC, event_id DESC, item_no DESC,
+    quantity DESC, items.unit_price DESC) = 1"""
 )
 def latest_order_items(spark, sf_dir):
     return latest.latest_order_items(tables.line_events(spark, sf_dir, with_bare_orders=False))
@@ -190,7 +192,7 @@ DEMAND = (
     + """, demand AS (
   SELECT CAST(event_time AS DATE) AS demand_date, store_id, product_id, count(DISTINCT order_id) AS order_count,
     CAST(sum(quantity) AS BIGINT) AS units_sold, CAST(sum(line_total) AS DECIMAL(18,2)) AS gross_sales
-  FROM items WHERE quantity > 0 AND unit_price >= 0 GROUP BY ALL)"""
+  FROM items WHERE product_id IS NOT NULL AND quantity > 0 AND unit_price >= 0 GROUP BY ALL)"""
 )
 SUMS = """CAST(sum(order_count) AS BIGINT) AS order_count, CAST(sum(units_sold) AS BIGINT) AS units_sold,
   CAST(sum(gross_sales) AS DECIMAL(18,2)) AS gross_sales"""
@@ -210,7 +212,7 @@ def product_leaderboard(spark, sf_dir):
     DEMAND
     + f""", sums AS (SELECT demand_date, store_id, {SUMS} FROM demand GROUP BY ALL),
   orders_once AS (SELECT CAST(event_time AS DATE) AS demand_date, store_id, count(DISTINCT order_id) AS distinct_orders
-    FROM items WHERE quantity > 0 AND unit_price >= 0 GROUP BY ALL)
+    FROM items WHERE product_id IS NOT NULL AND quantity > 0 AND unit_price >= 0 GROUP BY ALL)
   SELECT s.*, distinct_orders FROM sums s JOIN orders_once o
     ON s.demand_date = o.demand_date AND s.store_id IS NOT DISTINCT FROM o.store_id"""
 )
@@ -225,7 +227,8 @@ def store_daily_summary(spark, sf_dir):
     CAST(quantity_0 * price_0 AS DECIMAL(12,2)) + CAST(quantity_1 * price_1 AS DECIMAL(12,2)) AS order_total FROM ev
   UNION ALL SELECT event_id, order_id, event_type, event_time, NULL FROM bare
 ), newest AS (SELECT * FROM states
-  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_time DESC, event_id DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_time DESC, event_id DESC, order_total DESC,
+    event_type DESC) = 1)
 SELECT event_type AS order_status, count(*) AS order_count, CAST(sum(order_total) AS DECIMAL(18,2)) AS gross_sales,
   TIMESTAMP '{RUN_TS}' AS latest_update_at FROM newest GROUP BY 1"""
 )

@@ -7,7 +7,7 @@ from peakflow.operators.dashboard import MATRIX as MATRIX_COLUMNS
 from peakflow.operators.pressure import is_alert, severity
 from peakflow.plans.registry import query, two_digits
 from peakflow.plans.traffic_queries import DAY_THRESHOLD, EVENTS, MIN_ORDERS
-from peakflow.session import scratch_path
+from peakflow.session import materialise, scratch_path
 from peakflow.sinks.files import write_dated, write_evidence
 from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
@@ -120,8 +120,9 @@ BATCHES = (
     EVENTS
     + f""", numbered AS (
   SELECT event_id, store_id, CAST(hour(event_ts) AS INTEGER) AS event_hour,
-    (row_number() OVER (PARTITION BY hour(event_ts) ORDER BY event_ts, event_id) - 1) // {publishing.BATCH_SIZE}
-      AS batch_no FROM ev)"""
+    (row_number() OVER by_hour - 1) // {publishing.BATCH_SIZE} AS batch_no,
+    (row_number() OVER by_hour - 1) % {publishing.BATCH_SIZE} AS batch_place, product_id
+  FROM ev WINDOW by_hour AS (PARTITION BY hour(event_ts) ORDER BY event_ts, event_id))"""
 )
 PROGRESS = (
     BATCHES
@@ -140,9 +141,9 @@ PROGRESS = (
 )
 
 
-@query(BATCHES + " SELECT event_id, event_hour, CAST(batch_no AS BIGINT) AS batch_no FROM numbered")
+@query(BATCHES + " SELECT event_id, event_hour, CAST(batch_no AS BIGINT) AS batch_no, CAST(batch_place AS BIGINT) AS batch_place FROM numbered")
 def replay_batches(spark, sf_dir):
-    return _numbered(spark, sf_dir).select("event_id", "event_hour", "batch_no")
+    return _numbered(spark, sf_dir).select("event_id", "event_hour", "batch_no", "batch_place")
 
 
 @query(
@@ -179,7 +180,7 @@ def publish_progress(spark, sf_dir):
     max(records / CAST(seconds AS DOUBLE)) AS max_records_per_second FROM steps GROUP BY 1"""
 )
 def publish_by_hour(spark, sf_dir):
-    return publishing.publish_by_hour(_progress(spark, sf_dir))
+    return publishing.publish_by_hour(materialise(_progress(spark, sf_dir), "progress"))
 
 
 @query(
@@ -193,24 +194,60 @@ def publish_summary(spark, sf_dir):
     return publishing.publish_summary(_progress(spark, sf_dir))
 
 
-@query(EVENTS + " SELECT event_id, store_id, event_ts FROM ev")
+def _put_results(spark, sf_dir):
+    """Requests by batch and place, and the answer to each: failed events were turned down with a code."""
+    events = tables.replay_events(spark, sf_dir).select(
+        "event_id", "store_id", "event_ts", F.col("items")[0]["product_id"].alias("product_id")
+    )
+    numbered = materialise(publishing.with_batch_number(events), "requests").select(
+        F.concat_ws("-", "event_hour", "batch_no").alias("batch_id"),
+        F.col("batch_place").alias("seq"),
+        "event_id",
+        F.when(F.col("store_id") == "error", F.concat(F.lit("code-"), F.col("product_id"))).alias("error_code"),
+    )
+    return numbered.select("batch_id", "seq", "event_id"), numbered.select("batch_id", "seq", "error_code")
+
+
+@query(
+    BATCHES
+    + """ SELECT event_hour || '-' || batch_no AS batch_id, CAST(batch_place AS BIGINT) AS seq, event_id,
+  'code-' || product_id AS error_code FROM numbered WHERE store_id = 'error' AND product_id IS NOT NULL"""
+)
+def failed_requests(spark, sf_dir):
+    return publishing.failed_requests(*_put_results(spark, sf_dir))
+
+
+@query(
+    BATCHES
+    + """ SELECT 'code-' || product_id AS error_code, count(*) AS failed_records FROM numbered
+  WHERE store_id = 'error' AND product_id IS NOT NULL GROUP BY 1"""
+)
+def error_counts(spark, sf_dir):
+    return publishing.error_counts(_put_results(spark, sf_dir)[1])
+
+
+@query(
+    EVENTS
+    + """ SELECT event_id, store_id, event_ts FROM ev
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_ts, store_id) = 1"""
+)
 def dedup_events(spark, sf_dir):
     """Every event arrives a second time five minutes later; the first delivery stays."""
     events = tables.replay_events(spark, sf_dir).select("event_id", "store_id", "event_ts")
     again = events.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 5 MINUTES"))
-    return latest.earliest_delivery(events.unionByName(again))
+    return latest.earliest_delivery(events.unionByName(again), order=["event_ts", "store_id"])
 
 
 @query(
     EVENTS
     + """ SELECT customer_id, event_id, store_id, event_ts FROM ev
-  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY event_ts DESC, event_id DESC) = 1"""
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY event_ts DESC, event_id DESC, store_id DESC) = 1"""
 )
 def upsert_latest(spark, sf_dir):
     """State per customer after three batches: the newer half, a replay of everything, and that replay again."""
     events = tables.replay_events(spark, sf_dir).select("customer_id", "event_id", "store_id", "event_ts")
     state = latest_state(
-        spark, scratch_path(spark, "customers"), events, ["customer_id"], ["event_ts", "event_id"], fold_every=1
+        spark, scratch_path(spark, "customers"), events, ["customer_id"], ["event_ts", "event_id", "store_id"], fold_every=1
     )
     state.apply(0, events.where("event_ts >= TIMESTAMP '2024-01-16'"))
     state.apply(1, events)
@@ -252,7 +289,8 @@ def live_snapshot(spark, sf_dir):
 
 @query(
     LATENCY
-    + """ SELECT event_hour, publish_to_read_latency_ms, arrival_latency_ms, partition_key, event_id FROM log
+    + """ SELECT * FROM (SELECT event_hour, row_number() OVER (ORDER BY read_at, event_id) AS records_read,
+    publish_to_read_latency_ms, arrival_latency_ms, partition_key, event_id FROM log)
   WHERE partition_key <> 'error'"""
 )
 def evidence_csv(spark, sf_dir):
@@ -260,10 +298,10 @@ def evidence_csv(spark, sf_dir):
     reading = F.when(F.col("partition_key") == "error", "n/a").otherwise(
         F.col("publish_to_read_latency_ms").cast("string")
     )
-    log = tables.read_log(spark, sf_dir).select(
+    log = latency.with_records_read(tables.read_log(spark, sf_dir)).select(
         F.date_format("read_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("read_timestamp_utc"),
         "event_hour",
-        F.lit(None).cast("bigint").alias("records_read"),
+        "records_read",
         reading.alias("publish_to_read_latency_ms"),
         F.col("arrival_latency_ms").cast("string").alias("arrival_latency_ms"),
         "partition_key",
@@ -271,7 +309,7 @@ def evidence_csv(spark, sf_dir):
     )
     path = scratch_path(spark, "evidence")
     write_evidence(log, path)
-    return read_latency_csv(spark, path).drop("read_timestamp_utc", "records_read")
+    return read_latency_csv(spark, path).drop("read_timestamp_utc")
 
 
 @query(

@@ -20,14 +20,14 @@ WITH ev AS (
     'k' || json_extract_string(props, '$.k') AS product_id, 1 AS quantity, value AS unit_price,
     CAST(value AS DECIMAL(12,2)) AS line_total
   FROM events
-)"""
+), items AS (SELECT * FROM ev WHERE product_id IS NOT NULL AND quantity > 0 AND unit_price >= 0)"""
 
 
 def _hourly_sql(store: str) -> str:
     return f""", hourly AS (
   SELECT date_trunc('hour', event_ts) AS hour_start, {store} AS store_id, count(DISTINCT order_id) AS order_count,
     CAST(sum(quantity) AS BIGINT) AS units_sold, CAST(sum(line_total) AS DECIMAL(18,2)) AS gross_sales
-  FROM ev WHERE quantity > 0 AND unit_price >= 0 GROUP BY ALL)"""
+  FROM items GROUP BY ALL)"""
 
 
 HOURLY = EVENTS + _hourly_sql("store_id")
@@ -65,12 +65,12 @@ MATRIX = (
   FROM matrix WHERE orders >= {MIN_ORDERS} AND ratio >= {DAY_THRESHOLD}
 ), products AS (
   SELECT product_id, CAST(sum(quantity) AS BIGINT) AS units_sold, CAST(sum(line_total) AS DECIMAL(18,2)) AS gross_sales
-  FROM ev WHERE quantity > 0 AND unit_price >= 0 GROUP BY 1
+  FROM items GROUP BY 1
 ), summary AS (
   SELECT CAST(sum(orders) AS BIGINT) AS total_orders,
     CAST(sum(orders) FILTER (hour_no IN (12, 13, 18, 19)) AS BIGINT) AS peak_orders,
     (SELECT CAST(sum(gross_sales) AS DECIMAL(18,2)) FROM products) AS total_sales,
-    (SELECT count(*) FROM day_alerts) AS alert_count, count(DISTINCT store_id) AS store_count
+    (SELECT count(*) FROM day_alerts) AS alert_count, count(*) FILTER (hour_no = 0) AS store_count
   FROM matrix
 )"""
 )
@@ -144,7 +144,7 @@ def pressure_join(spark, sf_dir):
 
 @query(
     PRESSURE
-    + f""" SELECT store_id || '#' || strftime(hour_start, '%Y%m%d%H') AS alert_id, store_id, hour_start, order_count,
+    + f""" SELECT concat_ws('#', store_id, strftime(hour_start, '%Y%m%d%H')) AS alert_id, store_id, hour_start, order_count,
   baseline_order_count, pressure_ratio,
   CASE WHEN pressure_ratio >= {THRESHOLD} * 1.5 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
   'Hourly order pressure ratio ' || {two_digits('pressure_ratio')} || ' exceeded threshold {THRESHOLD}' AS reason
@@ -167,11 +167,11 @@ def store_hour_features(spark, sf_dir):
 @query(
     EVENTS
     + """ SELECT customer_id, event_id, store_id, event_ts FROM ev
-  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY event_ts DESC, event_id DESC) = 1"""
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY event_ts DESC, event_id DESC, store_id DESC) = 1"""
 )
 def latest_event_per_user(spark, sf_dir):
     events = tables.replay_events(spark, sf_dir).select("customer_id", "event_id", "store_id", "event_ts")
-    return latest.latest_per_key(events, ["customer_id"], ["event_ts", "event_id"])
+    return latest.latest_per_key(events, ["customer_id"], ["event_ts", "event_id", "store_id"])
 
 
 @query(
@@ -272,9 +272,9 @@ def role_metrics(spark, sf_dir):
   SELECT 'summary' AS section, '' AS entry_key, to_json(summary) AS entry FROM summary
   UNION ALL SELECT 'hourly_orders', hour, to_json({'hour': hour, 'orders': n})
     FROM (SELECT hour, CAST(sum(orders) AS BIGINT) AS n FROM matrix GROUP BY 1)
-  UNION ALL SELECT 'store_pressure', store_id || '#' || hour, to_json({'store_id': store_id, 'hour': hour,
+  UNION ALL SELECT 'store_pressure', concat_ws('#', store_id, hour), to_json({'store_id': store_id, 'hour': hour,
     'orders': orders, 'baseline_orders': baseline_orders, 'pressure_ratio': pressure_ratio}) FROM matrix
-  UNION ALL (SELECT 'alerts', store_id || '#' || hour, to_json(day_alerts) FROM day_alerts
+  UNION ALL (SELECT 'alerts', concat_ws('#', store_id, hour), to_json(day_alerts) FROM day_alerts
     ORDER BY pressure_ratio DESC, store_id, hour LIMIT 12)
   UNION ALL (SELECT 'top_products', product_id, to_json(products) FROM products
     ORDER BY units_sold DESC, product_id LIMIT 8)
@@ -282,9 +282,10 @@ def role_metrics(spark, sf_dir):
     FROM (SELECT store_id, count(*) AS n FROM ev GROUP BY 1))"""
 )
 def dashboard_doc(spark, sf_dir):
-    return dashboard.dashboard_sections(
-        _counts(spark, sf_dir), _products(spark, sf_dir), DAY_THRESHOLD, MIN_ORDERS
-    )
+    """Counts and product totals are stored once; the sections are drawn from these small tables."""
+    counts = materialise(_counts(spark, sf_dir), "counts")
+    products = materialise(_products(spark, sf_dir), "products")
+    return dashboard.dashboard_sections(counts, products, DAY_THRESHOLD, MIN_ORDERS)
 
 
 BASE_ORDERS, PEAK_MULTIPLIER, TOLERANCE = 400, 10, 0.25
@@ -318,9 +319,9 @@ def key_skew(spark, sf_dir):
 @query(
     PRESSURE
     + f""" SELECT 'raw_events' AS view, count(*) AS rows FROM ev
-  UNION ALL SELECT 'order_item_events', count(*) FROM ev WHERE quantity > 0 AND unit_price >= 0
+  UNION ALL SELECT 'order_item_events', count(*) FROM items
   UNION ALL SELECT 'product_demand_daily', count(*) FROM (
-    SELECT DISTINCT CAST(event_ts AS DATE), store_id, product_id FROM ev WHERE quantity > 0 AND unit_price >= 0)
+    SELECT DISTINCT CAST(event_ts AS DATE), store_id, product_id FROM items)
   UNION ALL SELECT 'store_order_pressure_hourly', count(*) FROM pressure
   UNION ALL SELECT 'peak_order_alerts', count(*) FROM pressure
     WHERE order_count >= {MIN_ORDERS} AND pressure_ratio >= {THRESHOLD}"""
@@ -340,10 +341,10 @@ def view_row_counts(spark, sf_dir):
     )
 
 
-@query(EVENTS + " SELECT event_id, store_id, event_ts FROM ev ORDER BY event_ts, event_id LIMIT 100")
+@query(EVENTS + " SELECT event_id, store_id, event_ts FROM ev ORDER BY event_ts, event_id, store_id LIMIT 100")
 def first_n_events(spark, sf_dir):
     events = tables.replay_events(spark, sf_dir).select("event_id", "store_id", "event_ts")
-    return first_events(events, 100, "event_ts")
+    return first_events(events, 100, ["event_ts", "event_id", "store_id"])
 
 
 @query(
@@ -353,4 +354,4 @@ def first_n_events(spark, sf_dir):
 )
 def head_tail_sample(spark, sf_dir):
     events = tables.replay_events(spark, sf_dir).select("event_id", "event_ts")
-    return head_and_tail(events, 1000, "event_ts")
+    return head_and_tail(events, 1000, ["event_ts", "event_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,17 +47,13 @@ def run_time(run_ts=None):
     return F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
 
 
-def in_time_order(events: DataFrame, time: str = "event_time", key: str = "event_id") -> DataFrame:
-    return events.orderBy(time, key)
-
-
-def first_events(events: DataFrame, n: int, time: str = "event_time", key: str = "event_id") -> DataFrame:
-    """The `n` earliest events; 0 means all."""
-    return in_time_order(events, time, key).limit(n) if n else events
+def first_events(events: DataFrame, n: int, order: Sequence[str] = ("event_time", "event_id")) -> DataFrame:
+    """The `n` earliest events; 0 means all. Every task hands on `n` rows at most."""
+    return events.orderBy(*order).limit(n) if n else events
 
 
-def head_and_tail(events: DataFrame, n: int, time: str = "event_time", key: str = "event_id") -> DataFrame:
+def head_and_tail(events: DataFrame, n: int, order: Sequence[str] = ("event_time", "event_id")) -> DataFrame:
     """The `n` earliest and the `n` latest events; a short table shows up twice, as in a list slice."""
-    head = events.orderBy(time, key).limit(n).withColumn("part", F.lit("head"))
-    tail = events.orderBy(F.desc(time), F.desc(key)).limit(n).withColumn("part", F.lit("tail"))
+    head = events.orderBy(*order).limit(n).withColumn("part", F.lit("head"))
+    tail = events.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("part", F.lit("tail"))
     return head.unionByName(tail)
