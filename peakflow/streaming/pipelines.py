@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from peakflow.operators.latest import latest_per_key
@@ -40,11 +41,23 @@ def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def run_to_evidence(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """CSV evidence, one folder per batch, so that a batch run again replaces its own rows."""
+def run_to_evidence(rows: DataFrame, path: str, checkpoint: str, max_records: int | None = None) -> StreamingQuery:
+    """CSV evidence, one folder per batch, so that a batch run again replaces its own rows.
+
+    `max_records` bounds an observation: once that many are written, further batches add none.
+    """
+    spark, state = rows.sparkSession, T.StructType().add("records", "long")
+    written = StateTable(spark, f"{path}-written", state, lambda n: n.agg(F.sum("records").alias("records")))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_evidence(batch, f"{path}/batch={batch_id}", mode="overwrite")
+        folder = f"{path}/batch={batch_id}"
+        if max_records is None:
+            write_evidence(batch, folder, mode="overwrite")
+            return
+        earlier = written.read(before=batch_id).first()["records"] or 0
+        write_evidence(batch.limit(max(max_records - earlier, 0)), folder, mode="overwrite")
+        added = spark.read.csv(folder, schema=batch.schema, header=True).agg(F.count("*").alias("records"))
+        written.apply(batch_id, added)
 
     return (
         rows.writeStream.foreachBatch(on_batch)

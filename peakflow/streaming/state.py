@@ -39,18 +39,18 @@ class StateTable:
     def compact(self, before: int) -> None:
         """Fold the batches before `before` into a new base; older folders stay until someone removes them."""
         through = before - 1
-        self._read(before).write.mode("overwrite").parquet(self._folder("base", through))
+        self.read(before).write.mode("overwrite").parquet(self._folder("base", through))
 
-    def read(self) -> DataFrame:
-        return self._read(None)
-
-    def _read(self, before: int | None) -> DataFrame:
+    def read(self, before: int | None = None) -> DataFrame:
+        """The state over all batches, or over those before a given one."""
         base = self._folded_through()
         folders = [] if base is None else [self._folder("base", base)]
         folders += [self._folder("batch", i) for i in self._ids("batch", after=base, before=before)]
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.fold(self.spark.read.schema(self.schema).parquet(*folders))
+        known = self.spark.read.schema(self.schema).parquet(*folders) if folders else self._empty()
+        return self.fold(known)
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
 
     def _folded_through(self) -> int | None:
         return max(self._ids("base"), default=None)

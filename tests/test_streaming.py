@@ -180,6 +180,18 @@ def test_latency_evidence_from_a_stream(spark, sf_dir, tmp_path):
     assert back.selectExpr(total).first() == want.selectExpr(total).first()
 
 
+def test_bounded_observation(spark, sf_dir, tmp_path):
+    from peakflow.plans.stream_queries import _records
+
+    records = _records(spark, sf_dir)
+    for i in range(3):
+        records.limit(40).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = payloads.decode(streams.parquet_stream(spark, str(tmp_path / "in"), records.schema, 1))
+    rows = latency.read_latencies(stream, F.col("read_at"), F.col("arrived_at"))
+    pipelines.run_to_evidence(rows, str(tmp_path / "out"), str(tmp_path / "cp"), max_records=100).awaitTermination()
+    assert spark.read.csv(str(tmp_path / "out" / "*"), header=True).count() == 100
+
+
 def test_latency_needs_a_publish_time(spark):
     records = spark.createDataFrame(
         [("e1", "2024-01-01T10:00:00Z", None, "s"), ("e2", "bad", "2024-01-01T10:00:00Z", "s")],
