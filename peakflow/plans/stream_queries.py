@@ -12,7 +12,7 @@ from peakflow.sinks.files import write_dated, write_evidence
 from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
 from peakflow.streaming.live import LiveCounters, run_live
-from peakflow.streaming.pipelines import latest_state
+from peakflow.streaming.pipelines import hourly_order_counts, latest_state, run_to_parquet, without_duplicates
 
 ALARM_RECORDS = 2
 
@@ -194,6 +194,53 @@ def publish_summary(spark, sf_dir):
     return publishing.publish_summary(_progress(spark, sf_dir))
 
 
+def _event_stream(spark, sf_dir):
+    """The event files as a stream; the braces make the name a pattern, so it may be a file or a folder."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    return tables.from_event_table(streams.parquet_stream(spark, f"{sf_dir}/{{events.parquet}}", schema))
+
+
+def _streamed(spark, rows, label):
+    """Run a stream over all that is there, appending to a table, and read the table."""
+    home = scratch_path(spark, label)
+    run_to_parquet(rows, f"{home}/rows", f"{home}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{home}/rows")
+
+
+# Windows that end after the newest event less the watermark are still open and not written yet.
+CLOSED_BEFORE = "(SELECT max(event_ts) FROM ev) - INTERVAL 1 HOUR"
+
+
+@query(
+    EVENTS
+    + f""" SELECT * FROM (
+    SELECT date_trunc('hour', event_ts) AS hour_start, store_id, count(DISTINCT order_id) AS order_count FROM ev
+    GROUP BY 1, 2) WHERE hour_start + INTERVAL 1 HOUR <= {CLOSED_BEFORE}"""
+)
+def stream_hourly_orders(spark, sf_dir):
+    return _streamed(spark, hourly_order_counts(_event_stream(spark, sf_dir), "1 hour"), "hourly-stream")
+
+
+@query(
+    EVENTS
+    + f""" SELECT * FROM (
+    SELECT date_trunc('minute', event_ts) AS period_start, date_trunc('minute', event_ts) + INTERVAL 1 MINUTE
+      AS period_end, count(*) AS records FROM ev GROUP BY 1)
+  WHERE records >= {ALARM_RECORDS} AND period_end <= {CLOSED_BEFORE}"""
+)
+def stream_ingestion_alarm(spark, sf_dir):
+    alarms = latency.ingestion_alarms(_event_stream(spark, sf_dir), "event_ts", ALARM_RECORDS, late="1 hour")
+    return _streamed(spark, alarms, "alarm-stream")
+
+
+@query(EVENTS + " SELECT DISTINCT event_id FROM ev")
+def stream_dedup(spark, sf_dir):
+    """Every event arrives twice, the copy five minutes later; both lie within the watermark."""
+    events = _event_stream(spark, sf_dir).select("event_id", "event_ts")
+    again = events.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 5 MINUTES"))
+    return _streamed(spark, without_duplicates(events.unionByName(again), "1 hour").select("event_id"), "dedup-stream")
+
+
 def _put_results(spark, sf_dir):
     """Requests by batch and place, and the answer to each: failed events were turned down with a code."""
     events = tables.replay_events(spark, sf_dir).select(
@@ -275,10 +322,9 @@ def upsert_latest(spark, sf_dir):
 def live_snapshot(spark, sf_dir):
     """Run the live pipeline over the event files as a stream and read its state."""
     source = tables.table(spark, sf_dir, "events")
-    stream = streams.parquet_stream(spark, f"{sf_dir}/{{events.parquet}}", source.schema)
     home = scratch_path(spark, "live")
     counters = LiveCounters(spark, f"{home}/state")
-    run_live(tables.from_event_table(stream), counters, f"{home}/checkpoint").awaitTermination()
+    run_live(_event_stream(spark, sf_dir), counters, f"{home}/checkpoint").awaitTermination()
     matrix = counters.matrix()
     hot = is_alert(F.col("orders"), F.col("ratio"), DAY_THRESHOLD, MIN_ORDERS)
     graded = matrix.withColumn("severity", F.when(hot, severity(F.col("ratio"), DAY_THRESHOLD)))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
+_stored: list[str] = []
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -33,6 +34,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/peakflow/{label}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from the stored copy.
 
@@ -40,5 +46,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     executor costs a re-read only, and values that depend on the physical layout stay fixed.
     """
     path = scratch_path(df.sparkSession, label)
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the copies `materialise` stored; frames that still read them end with this."""
+    while _stored:
+        delete_path(spark, _stored.pop())

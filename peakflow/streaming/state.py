@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from peakflow.session import delete_path
+
 _DIGITS = 12
 
 
@@ -37,10 +39,20 @@ class StateTable:
         self.fold(rows).select(names).write.mode("overwrite").parquet(self._folder("batch", batch_id))
 
     def compact(self, before: int) -> None:
-        """Fold the batches before `before` into a new base; older folders stay until someone removes them."""
+        """Fold the batches before `before` into a new base; older folders stay until `remove_folded`."""
         through = before - 1
         self.read(before).write.mode("overwrite").parquet(self._folder("base", through))
 
+    def remove_folded(self) -> None:
+        """Delete folders a newer base stands for. Only while no reader is at work on them."""
+        base = self._folded_through()
+        if base is None:
+            return
+        for i in self._ids("batch", before=base + 1):
+            delete_path(self.spark, self._folder("batch", i))
+        for i in self._ids("base", before=base):
+            delete_path(self.spark, self._folder("base", i))
+
     def read(self, before: int | None = None) -> DataFrame:
         """The state over all batches, or over those before a given one."""
         base = self._folded_through()

@@ -80,6 +80,21 @@ def test_same_batch_twice_counts_once(spark, sf_dir, tmp_path):
     counters.store_hours.compact(1)
     counters.apply(events, 1)
     assert counters.counts().agg(F.sum("events")).first()[0] == 2000
+    counters.store_hours.remove_folded()
+    assert [p.name for p in (tmp_path / "state" / "store_hours" / "batch").iterdir()] == ["id=000000000001"]
+    assert counters.counts().agg(F.sum("events")).first()[0] == 2000
+
+
+def test_stored_copies_can_be_removed(spark):
+    from pathlib import Path
+
+    from peakflow import session
+
+    session.materialise(spark.range(3), "copy")
+    path = Path(session._stored[-1])
+    assert path.exists()
+    session.clear_scratch(spark)
+    assert not path.exists() and not session._stored
 
 
 def test_empty_counters(spark, tmp_path):
