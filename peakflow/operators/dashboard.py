@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ TOP_ALERTS = 12
 TOP_PRODUCTS = 8
 TOP_PRESSURE = 8
 MIN_BAR = 3.0
+# An ordinary hour, and how much busier a peak hour has to be.
+NORMAL_HOUR = 10
+PEAK_FACTOR = 5
 HOURS = range(24)
 
 
@@ -112,15 +117,20 @@ def dashboard_summary(
 
 
 def volume_check(counts: DataFrame, base: int, multiplier: int, tolerance: float = 0.0) -> DataFrame:
-    """Events per hour of the day beside the volume its traffic band should bring."""
+    """Events per hour of the day beside the volume its traffic band should bring.
+
+    `as_expected` allows the given relative deviation; `peak_shape` asks of each peak hour that it
+    brings several times the events of an ordinary one.
+    """
     hour = F.col("hour_no")
     day = counts.agg(_by_hour(F.col("hour"), F.col("events")).alias("by_hour"))
-    rows = day.select(F.posexplode("by_hour").alias("hour_no", "orders"))
+    rows = day.select(F.col("by_hour")[NORMAL_HOUR].alias("normal"), F.posexplode("by_hour").alias("hour_no", "orders"))
     rows = rows.select(
         hour_label(hour).alias("hour"),
         traffic_band(hour).alias("band"),
         "orders",
         expected_volume(hour, base, multiplier).alias("expected_orders"),
+        (~is_peak(hour) | (F.col("orders") >= F.col("normal") * PEAK_FACTOR)).alias("peak_shape"),
     )
     off_by = F.abs(F.col("orders") - F.col("expected_orders"))
     return rows.withColumn("as_expected", off_by <= F.col("expected_orders") * tolerance)
@@ -130,28 +140,30 @@ def dashboard_sections(
     counts: DataFrame, totals: DataFrame, threshold: float = PEAK_THRESHOLD, min_orders: int = MIN_ORDERS,
     kind: str = "fixed_24",
 ) -> DataFrame:
-    """The dashboard document as rows: section, key and one JSON entry.
+    """The dashboard document as rows: section, key, weight and one JSON entry.
 
-    Sections of any length stay distributed; `dashboard_document` folds them into one record.
+    Within a section entries go by weight, heaviest first, then by key. Sections of any length stay
+    distributed; `dashboard_document` folds them into one record.
     """
     matrix = store_hour_matrix(counts, kind)
     parts = {
-        "summary": (dashboard_summary(matrix, totals, threshold, min_orders), []),
-        "hourly_orders": (hourly_orders(counts).select("hour", "orders"), ["hour"]),
-        "store_pressure": (matrix.select(*MATRIX), ["store_id", "hour"]),
-        "alerts": (top_alerts(matrix_alerts(matrix, threshold, min_orders)), ["store_id", "hour"]),
-        "top_products": (top_products(totals), ["product_id"]),
-        "store_totals": (store_totals(counts), ["store_id"]),
+        "summary": (dashboard_summary(matrix, totals, threshold, min_orders), [], None),
+        "hourly_orders": (hourly_orders(counts).select("hour", "orders"), ["hour"], None),
+        "store_pressure": (matrix.select(*MATRIX), ["store_id", "hour"], None),
+        "alerts": (top_alerts(matrix_alerts(matrix, threshold, min_orders)), ["store_id", "hour"], "pressure_ratio"),
+        "top_products": (top_products(totals), ["product_id"], "units_sold"),
+        "store_totals": (store_totals(counts), ["store_id"], "orders"),
     }
-    rows = None
-    for name, (part, keys) in parts.items():
-        entry = part.select(
+    entries = [
+        part.select(
             F.lit(name).alias("section"),
-            F.concat_ws("#", *keys).alias("entry_key") if keys else F.lit("").alias("entry_key"),
+            (F.concat_ws("#", *keys) if keys else F.lit("")).alias("entry_key"),
+            (F.col(weight) if weight else F.lit(0)).cast("double").alias("weight"),
             F.to_json(F.struct(*part.columns)).alias("entry"),
         )
-        rows = entry if rows is None else rows.unionByName(entry)
-    return rows
+        for name, (part, keys, weight) in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, entries)
 
 
 def dashboard_document(sections: DataFrame, max_entries: int = 100_000) -> DataFrame:
@@ -159,7 +171,7 @@ def dashboard_document(sections: DataFrame, max_entries: int = 100_000) -> DataF
     size = sections.limit(max_entries + 1).count()
     if size > max_entries:
         raise ValueError(f"more than {max_entries} entries: keep the sections as rows")
-    ordered = F.array_sort(F.collect_list(F.struct("entry_key", "entry")))
+    ordered = F.array_sort(F.collect_list(F.struct(-F.col("weight"), "entry_key", "entry")))
     bodies = F.array_join(F.transform(ordered, lambda e: e["entry"]), ",")
     body = F.when(F.col("section") == "summary", bodies).otherwise(F.concat(F.lit("["), bodies, F.lit("]")))
     per_section = sections.groupBy("section").agg(body.alias("body"))

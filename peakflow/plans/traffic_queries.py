@@ -266,28 +266,45 @@ def role_metrics(spark, sf_dir):
     return rows.withColumn("value", F.round("value", 4))
 
 
-@query(
+SECTIONS = (
     MATRIX
-    + """ SELECT section, entry_key, CAST(entry AS VARCHAR) AS entry FROM (
-  SELECT 'summary' AS section, '' AS entry_key, to_json(summary) AS entry FROM summary
-  UNION ALL SELECT 'hourly_orders', hour, to_json({'hour': hour, 'orders': n})
+    + """, sections AS (SELECT section, entry_key, CAST(weight AS DOUBLE) AS weight, CAST(entry AS VARCHAR) AS entry FROM (
+  SELECT 'summary' AS section, '' AS entry_key, 0.0 AS weight, to_json(summary) AS entry FROM summary
+  UNION ALL SELECT 'hourly_orders', hour, 0, to_json({'hour': hour, 'orders': n})
     FROM (SELECT hour, CAST(sum(orders) AS BIGINT) AS n FROM matrix GROUP BY 1)
-  UNION ALL SELECT 'store_pressure', concat_ws('#', store_id, hour), to_json({'store_id': store_id, 'hour': hour,
+  UNION ALL SELECT 'store_pressure', concat_ws('#', store_id, hour), 0, to_json({'store_id': store_id, 'hour': hour,
     'orders': orders, 'baseline_orders': baseline_orders, 'pressure_ratio': pressure_ratio}) FROM matrix
-  UNION ALL (SELECT 'alerts', concat_ws('#', store_id, hour), to_json(day_alerts) FROM day_alerts
+  UNION ALL (SELECT 'alerts', concat_ws('#', store_id, hour), pressure_ratio, to_json(day_alerts) FROM day_alerts
     ORDER BY pressure_ratio DESC, store_id, hour LIMIT 12)
-  UNION ALL (SELECT 'top_products', product_id, to_json(products) FROM products
+  UNION ALL (SELECT 'top_products', product_id, units_sold, to_json(products) FROM products
     ORDER BY units_sold DESC, product_id LIMIT 8)
-  UNION ALL SELECT 'store_totals', store_id, to_json({'store_id': store_id, 'orders': n})
-    FROM (SELECT store_id, count(*) AS n FROM ev GROUP BY 1))"""
+  UNION ALL SELECT 'store_totals', store_id, n, to_json({'store_id': store_id, 'orders': n})
+    FROM (SELECT store_id, count(*) AS n FROM ev GROUP BY 1)))"""
 )
-def dashboard_doc(spark, sf_dir):
+
+
+def _sections(spark, sf_dir):
     """Counts and product totals are stored once; the sections are drawn from these small tables."""
     counts = materialise(_counts(spark, sf_dir), "counts")
     products = materialise(_products(spark, sf_dir), "products")
     return dashboard.dashboard_sections(counts, products, DAY_THRESHOLD, MIN_ORDERS)
 
 
+@query(SECTIONS + " SELECT * FROM sections")
+def dashboard_doc(spark, sf_dir):
+    return _sections(spark, sf_dir)
+
+
+@query(
+    SECTIONS
+    + """ SELECT '{' || string_agg('"' || section || '":' || body, ',' ORDER BY section) || '}' AS document FROM (
+  SELECT section, CASE WHEN section = 'summary' THEN any_value(entry)
+    ELSE '[' || string_agg(entry, ',' ORDER BY weight DESC, entry_key) || ']' END AS body FROM sections GROUP BY 1)"""
+)
+def dashboard_record(spark, sf_dir):
+    return dashboard.dashboard_document(materialise(_sections(spark, sf_dir), "sections"))
+
+
 BASE_ORDERS, PEAK_MULTIPLIER, TOLERANCE = 400, 10, 0.25
 
 
@@ -295,12 +312,13 @@ BASE_ORDERS, PEAK_MULTIPLIER, TOLERANCE = 400, 10, 0.25
     EVENTS
     + f""", by_hour AS (SELECT h.hour_no, count(ev.event_id) AS orders
     FROM (SELECT unnest(range(24)) AS hour_no) h LEFT JOIN ev ON hour(event_ts) = hour_no GROUP BY 1),
-  banded AS (SELECT *, CASE WHEN hour_no IN (12, 13, 18, 19) THEN 'peak' WHEN hour_no IN (11, 17, 20) THEN 'ramp'
+  banded AS (SELECT *, max(orders) FILTER (hour_no = 10) OVER () AS normal, CASE WHEN hour_no IN (12, 13, 18, 19) THEN 'peak' WHEN hour_no IN (11, 17, 20) THEN 'ramp'
     WHEN hour_no < 8 OR hour_no > 21 THEN 'off-peak' ELSE 'shoulder' END AS band FROM by_hour),
   expected AS (SELECT *, CAST(CASE band WHEN 'peak' THEN {BASE_ORDERS * PEAK_MULTIPLIER}
     WHEN 'ramp' THEN {BASE_ORDERS * 2} WHEN 'off-peak' THEN {BASE_ORDERS // 3} ELSE {BASE_ORDERS} END AS BIGINT)
     AS expected_orders FROM banded)
   SELECT lpad(CAST(hour_no AS VARCHAR), 2, '0') || ':00' AS hour, band, orders, expected_orders,
+    band <> 'peak' OR orders >= normal * 5 AS peak_shape,
     abs(orders - expected_orders) <= expected_orders * {TOLERANCE} AS as_expected FROM expected"""
 )
 def band_volume(spark, sf_dir):

@@ -114,3 +114,32 @@ def test_document_holds_all_sections(spark):
     assert doc["alerts"][0]["severity"] == "CRITICAL" and doc["top_products"][0]["units_sold"] == 30
     with pytest.raises(ValueError):
         dashboard.dashboard_document(sections, max_entries=5)
+
+
+def test_lists_of_the_document_keep_their_order(spark):
+    import json
+
+    sizes = {"a": 3, "b": 9, "c": 9}
+    records = [
+        event(f"{s}{i}", f"{s}{i}", store=s, time="2024-01-01T12:00:00Z", items=((f"p-{s}", 1, 1.0),))
+        for s, n in sizes.items()
+        for i in range(n)
+    ]
+    events = events_df(spark, records)
+    sections = dashboard.dashboard_sections(
+        dashboard.event_counts(events), dashboard.product_totals(order_items(events)), 2.5, 2
+    )
+    doc = json.loads(dashboard.dashboard_document(sections).first().document)
+    assert [t["store_id"] for t in doc["store_totals"]] == ["b", "c", "a"]
+    assert [t["product_id"] for t in doc["top_products"]] == ["p-b", "p-c", "p-a"]
+    assert [t["store_id"] for t in doc["alerts"]] == ["a", "b", "c"]
+
+
+def test_volume_check_of_a_peaked_day(spark):
+    counts = spark.createDataFrame(
+        [("s", h, n) for h, n in {10: 100, 12: 500, 13: 499, 18: 1000, 19: 1000, 11: 200, 3: 33}.items()],
+        "store_id string, hour int, events long",
+    )
+    rows = {r["hour"]: r for r in dicts(dashboard.volume_check(counts, 100, 10))}
+    assert [h for h, r in rows.items() if not r["peak_shape"]] == ["13:00"]
+    assert {h for h, r in rows.items() if r["as_expected"]} == {"03:00", "10:00", "11:00", "18:00", "19:00"}
