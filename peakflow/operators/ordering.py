@@ -20,9 +20,13 @@ BLOCK_ROWS = 10_000
 _TASK_BITS = 33  # monotonically_increasing_id keeps the task number above these bits
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal keys where NULL equals NULL."""
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+def join_facts(left: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of rows with the facts of their slice, on equal keys where NULL equals NULL.
+
+    The facts are stored first: from the size of the files Spark sees that the list is short and
+    sends it to the rows, where by its estimate for an aggregate it would shuffle the rows.
+    """
+    renamed = materialise(facts, "slices").withColumnsRenamed({k: f"_right_{k}" for k in keys})
     matches = reduce(and_, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
     return left.join(renamed, matches).drop(*[f"_right_{k}" for k in keys])
 
@@ -46,7 +50,7 @@ def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str], n
     placed = sorted_slices(df, [*group, *order], "numbered")
     slices = placed.groupBy(*group, "_slice").agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
     starts = slices.select(*group, "_slice", "_first", _before("_rows", group, "_slice").alias("_start"))
-    numbered = null_safe_join(placed, starts, [*group, "_slice"])
+    numbered = join_facts(placed, starts, [*group, "_slice"])
     return numbered.withColumn(name, F.col("_start") + F.col("_pos") - F.col("_first")).drop(
         "_pos", "_slice", "_first", "_start"
     )
@@ -62,7 +66,7 @@ def with_running_sums(
     in_block = Window.partitionBy(run, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = {n: F.col(f"_start_{n}") + F.sum(c).over(in_block) for n, c in sums.items()}
     return (
-        null_safe_join(blocks, starts, [run, "_block"])
+        join_facts(blocks, starts, [run, "_block"])
         .withColumns(running)
         .drop("_block", *[f"_start_{n}" for n in sums])
     )
@@ -84,7 +88,7 @@ def with_previous(
         n: F.when(opens, F.col(f"_carry_{n}")).otherwise(F.lag(c).over(in_block)) for n, c in columns.items()
     }
     return (
-        null_safe_join(blocks, carried, [run, "_block"])
+        join_facts(blocks, carried, [run, "_block"])
         .withColumns(previous)
         .drop("_block", *[f"_carry_{n}" for n in columns])
     )
@@ -116,7 +120,7 @@ def percentiles(
     targets = slices.select(*group, "_slice", "_start", here.alias("_asked")).where(F.size("_asked") > 0)
 
     upto = F.sum(weight).over(Window.partitionBy(*group, "_slice").orderBy("_pos"))
-    ranked = null_safe_join(placed, targets, [*group, "_slice"]).withColumn("_end", F.col("_start") + upto)
+    ranked = join_facts(placed, targets, [*group, "_slice"]).withColumn("_end", F.col("_start") + upto)
     held = F.filter(
         "_asked", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col(weight))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakflow.functions.times import hour_label
-from peakflow.operators.ordering import BLOCK_ROWS, with_previous, with_row_number, with_running_sums
+from peakflow.operators.ordering import BLOCK_ROWS, join_facts, with_previous, with_row_number, with_running_sums
 from peakflow.session import materialise
 
 # Defaults of a replay, and the shortest times rates are computed with.
@@ -73,15 +73,13 @@ def with_batch_sequence(batches: DataFrame) -> DataFrame:
 
     The batches are stored first; numbering and running totals read them several times.
     """
+    keys = ["run_id", "event_hour"]
     batches = materialise(batches, "batches")
-    hours = batches.groupBy("run_id", "event_hour").agg(F.count("*").alias("_batches"))
+    hours = batches.groupBy(*keys).agg(F.count("*").alias("_batches"))
     earlier = Window.partitionBy("run_id").orderBy("event_hour").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = hours.select("run_id", "event_hour", F.coalesce(F.sum("_batches").over(earlier), F.lit(0)).alias("_shift"))
-    return (
-        batches.join(shifts, ["run_id", "event_hour"])
-        .withColumn("batch_seq", F.col("_shift") + F.col("batch_no"))
-        .drop("_shift")
-    )
+    shifts = hours.select(*keys, F.coalesce(F.sum("_batches").over(earlier), F.lit(0)).alias("_shift"))
+    shifted = join_facts(batches, shifts, keys)
+    return shifted.withColumn("batch_seq", F.col("_shift") + F.col("batch_no")).drop("_shift")
 
 
 def publish_progress(batches: DataFrame) -> DataFrame:

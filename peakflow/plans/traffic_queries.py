@@ -346,7 +346,8 @@ def key_skew(spark, sf_dir):
 )
 def view_row_counts(spark, sf_dir):
     """Items and pressure are stored once and counted from there."""
-    items = materialise(_items(spark, sf_dir), "items")
+    columns = ("order_id", "store_id", "product_id", "quantity", "line_total", "event_time")
+    items = materialise(_items(spark, sf_dir).select(*columns), "items")
     load = materialise(pressure.with_pressure(pressure.hourly_store_load(items)), "pressure")
     return audit.view_row_counts(
         {
