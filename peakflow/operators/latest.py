@@ -40,8 +40,8 @@ def latest_orders(events: DataFrame) -> DataFrame:
 
 def latest_order_items(events: DataFrame) -> DataFrame:
     """One line per order and product; of two lines in one event the later position survives."""
-    kept = ["event_id", "order_id", "store_id", F.col("event_ts").alias("event_time"), *_if_present(events, "updated_at")]
-    lines = exploded(events, *kept)
+    time = F.col("event_ts").alias("event_time")
+    lines = exploded(events, "event_id", "order_id", "store_id", time, *_if_present(events, "updated_at"))
     order = ["event_time", "event_id", "item_no", "quantity", "unit_price"]
     newest = latest_per_key(lines, ["order_id", "product_id"], order)
     return newest.select(

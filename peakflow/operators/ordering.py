@@ -46,13 +46,18 @@ def _before(column: str, group: Sequence[str], by: str) -> Column:
 
 
 def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """Number the rows of each group from 0. `order` has to tell all rows of a group apart."""
-    placed = sorted_slices(df, [*group, *order], "numbered")
+    """Number the rows of each group from 0 in `order`.
+
+    Rows that `order` does not tell apart, such as many copies of one event, go by their place in
+    the input, so that they need not share a task. `df` should read stored data, whose places stay.
+    """
+    told_apart = df.withColumn("_copy", F.monotonically_increasing_id())
+    placed = sorted_slices(told_apart, [*group, *order, "_copy"], "numbered")
     slices = placed.groupBy(*group, "_slice").agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
     starts = slices.select(*group, "_slice", "_first", _before("_rows", group, "_slice").alias("_start"))
     numbered = join_facts(placed, starts, [*group, "_slice"])
     return numbered.withColumn(name, F.col("_start") + F.col("_pos") - F.col("_first")).drop(
-        "_pos", "_slice", "_first", "_start"
+        "_pos", "_slice", "_first", "_start", "_copy"
     )
 
 

@@ -54,7 +54,8 @@ def stream_payloads(spark, sf_dir):
 
 @query(
     LATENCY
-    + """ SELECT read_at, event_hour, publish_to_read_latency_ms, arrival_latency_ms, partition_key, event_id FROM log"""
+    + """ SELECT read_at, event_hour, publish_to_read_latency_ms, arrival_latency_ms, partition_key, event_id
+  FROM log"""
 )
 def latency_rows(spark, sf_dir):
     records = payloads.decode(_records(spark, sf_dir))
@@ -141,7 +142,11 @@ PROGRESS = (
 )
 
 
-@query(BATCHES + " SELECT event_id, event_hour, CAST(batch_no AS BIGINT) AS batch_no, CAST(batch_place AS BIGINT) AS batch_place FROM numbered")
+@query(
+    BATCHES
+    + """ SELECT event_id, event_hour, CAST(batch_no AS BIGINT) AS batch_no, CAST(batch_place AS BIGINT) AS batch_place
+  FROM numbered"""
+)
 def replay_batches(spark, sf_dir):
     return _numbered(spark, sf_dir).select("event_id", "event_hour", "batch_no", "batch_place")
 
@@ -150,7 +155,8 @@ def replay_batches(spark, sf_dir):
     EVENTS
     + f""", hours AS (
   SELECT hour(event_ts) AS h, count(*) AS n, ceil(count(*) / {publishing.BATCH_SIZE}) AS batches FROM ev GROUP BY 1
-), ranked AS (SELECT *, {publishing.HOUR_SECONDS} / batches AS spacing, row_number() OVER (ORDER BY h) - 1 AS r FROM hours),
+), ranked AS (
+  SELECT *, {publishing.HOUR_SECONDS} / batches AS spacing, row_number() OVER (ORDER BY h) - 1 AS r FROM hours),
 plan AS (SELECT *, unnest(range(CAST(batches AS BIGINT))) AS batch_no FROM ranked)
 SELECT lpad(CAST(h AS VARCHAR), 2, '0') || ':00' AS event_hour, batch_no,
   least({publishing.BATCH_SIZE}, n - batch_no * {publishing.BATCH_SIZE}) AS batch_records, CAST(spacing AS DOUBLE)
@@ -293,9 +299,8 @@ def dedup_events(spark, sf_dir):
 def upsert_latest(spark, sf_dir):
     """State per customer after three batches: the newer half, a replay of everything, and that replay again."""
     events = tables.replay_events(spark, sf_dir).select("customer_id", "event_id", "store_id", "event_ts")
-    state = latest_state(
-        spark, scratch_path(spark, "customers"), events, ["customer_id"], ["event_ts", "event_id", "store_id"], fold_every=1
-    )
+    order = ["event_ts", "event_id", "store_id"]
+    state = latest_state(spark, scratch_path(spark, "customers"), events, ["customer_id"], order, fold_every=1)
     state.apply(0, events.where("event_ts >= TIMESTAMP '2024-01-16'"))
     state.apply(1, events)
     state.apply(1, events)
@@ -316,7 +321,8 @@ def upsert_latest(spark, sf_dir):
     {two_digits('baseline')} AS baseline_orders, {two_digits('ratio')} AS pressure_ratio,
     CASE WHEN orders >= {MIN_ORDERS} AND ratio >= {DAY_THRESHOLD} THEN
       CASE WHEN ratio >= {DAY_THRESHOLD} * 1.5 THEN 'CRITICAL' ELSE 'WARNING' END END AS severity,
-    (SELECT count(*) FROM ev) AS processed_events, (SELECT count(*) FROM ev) AS total_source_events, CAST(1 AS DOUBLE) AS progress
+    (SELECT count(*) FROM ev) AS processed_events, (SELECT count(*) FROM ev) AS total_source_events,
+    CAST(1 AS DOUBLE) AS progress
   FROM rated"""
 )
 def live_snapshot(spark, sf_dir):
@@ -358,13 +364,9 @@ def evidence_csv(spark, sf_dir):
     return read_latency_csv(spark, path).drop("read_timestamp_utc")
 
 
-@query(
-    """SELECT CAST(ts AS DATE) AS dt, event_type AS store_id, count(*) AS events FROM events
-  WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY ALL"""
-)
-def dated_week(spark, sf_dir):
-    """Events landed in one folder per day; a week is read from its seven folders only."""
+@query("SELECT CAST(ts AS DATE) AS dt, event_type AS store_id, count(*) AS events FROM events GROUP BY ALL")
+def dated_events(spark, sf_dir):
+    """Events landed in one folder per day and read back by folder."""
     path = scratch_path(spark, "dated")
     write_dated(tables.replay_events(spark, sf_dir), path, "event_ts", "parquet")
-    week = spark.read.parquet(path).where("dt BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
-    return week.groupBy("dt", "store_id").agg(F.count("*").alias("events"))
+    return spark.read.parquet(path).groupBy("dt", "store_id").agg(F.count("*").alias("events"))

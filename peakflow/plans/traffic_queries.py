@@ -144,8 +144,8 @@ def pressure_join(spark, sf_dir):
 
 @query(
     PRESSURE
-    + f""" SELECT concat_ws('#', store_id, strftime(hour_start, '%Y%m%d%H')) AS alert_id, store_id, hour_start, order_count,
-  baseline_order_count, pressure_ratio,
+    + f""" SELECT concat_ws('#', store_id, strftime(hour_start, '%Y%m%d%H')) AS alert_id, store_id, hour_start,
+  order_count, baseline_order_count, pressure_ratio,
   CASE WHEN pressure_ratio >= {THRESHOLD} * 1.5 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
   'Hourly order pressure ratio ' || {two_digits('pressure_ratio')} || ' exceeded threshold {THRESHOLD}' AS reason
   FROM pressure WHERE order_count >= {MIN_ORDERS} AND pressure_ratio >= {THRESHOLD}"""
@@ -268,7 +268,8 @@ def role_metrics(spark, sf_dir):
 
 SECTIONS = (
     MATRIX
-    + """, sections AS (SELECT section, entry_key, CAST(weight AS DOUBLE) AS weight, CAST(entry AS VARCHAR) AS entry FROM (
+    + """, sections AS (
+  SELECT section, entry_key, CAST(weight AS DOUBLE) AS weight, CAST(entry AS VARCHAR) AS entry FROM (
   SELECT 'summary' AS section, '' AS entry_key, 0.0 AS weight, to_json(summary) AS entry FROM summary
   UNION ALL SELECT 'hourly_orders', hour, 0, to_json({'hour': hour, 'orders': n})
     FROM (SELECT hour, CAST(sum(orders) AS BIGINT) AS n FROM matrix GROUP BY 1)
@@ -312,7 +313,8 @@ BASE_ORDERS, PEAK_MULTIPLIER, TOLERANCE = 400, 10, 0.25
     EVENTS
     + f""", by_hour AS (SELECT h.hour_no, count(ev.event_id) AS orders
     FROM (SELECT unnest(range(24)) AS hour_no) h LEFT JOIN ev ON hour(event_ts) = hour_no GROUP BY 1),
-  banded AS (SELECT *, max(orders) FILTER (hour_no = 10) OVER () AS normal, CASE WHEN hour_no IN (12, 13, 18, 19) THEN 'peak' WHEN hour_no IN (11, 17, 20) THEN 'ramp'
+  banded AS (SELECT *, max(orders) FILTER (hour_no = 10) OVER () AS normal,
+    CASE WHEN hour_no IN (12, 13, 18, 19) THEN 'peak' WHEN hour_no IN (11, 17, 20) THEN 'ramp'
     WHEN hour_no < 8 OR hour_no > 21 THEN 'off-peak' ELSE 'shoulder' END AS band FROM by_hour),
   expected AS (SELECT *, CAST(CASE band WHEN 'peak' THEN {BASE_ORDERS * PEAK_MULTIPLIER}
     WHEN 'ramp' THEN {BASE_ORDERS * 2} WHEN 'off-peak' THEN {BASE_ORDERS // 3} ELSE {BASE_ORDERS} END AS BIGINT)

@@ -84,6 +84,17 @@ def test_percentiles_of_one_hot_value(spark):
     assert (got["median"], got["p100"]) == (1.0, 2.0)
 
 
+def test_copies_of_one_row_are_spread(spark):
+    df = spark.range(50_000).select(F.lit("hot").alias("g"), F.lit(1).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = ordering.with_row_number(df, ["g"], ["k"])
+        assert numbered.select("row_no").distinct().count() == 50_000
+        assert numbered.agg(F.max("row_no")).first()[0] == 49_999
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_one_group_is_cut_into_several_tasks(spark):
     """A group far larger than a block is numbered by several tasks."""
     df = spark.range(200_000).select(F.lit("hot").alias("g"), F.col("id").alias("k"))
