@@ -17,6 +17,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def state_on_disk(spark: SparkSession) -> SparkSession:
+    """Keep the state of streams in RocksDB, so that many open keys need disk and not heap.
+
+    A stream that was started with another store goes on with that one.
+    """
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only for local runs without it."""
     global _local_scratch

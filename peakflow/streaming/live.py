@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +77,7 @@ def run_live(
     """Apply what the source holds now, batch by batch, and stop; call again to go on."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # counted twice: by store and by product
+        batch.persist(StorageLevel.DISK_ONLY)  # read twice, by store and by product; memory is for the counting
         try:
             counters.apply(batch, batch_id)
         finally:

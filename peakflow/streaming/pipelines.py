@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from peakflow.operators.latest import latest_per_key
+from peakflow.session import state_on_disk
 from peakflow.sinks.files import write_evidence
 from peakflow.streaming.state import StateTable
 
@@ -31,6 +32,7 @@ def hourly_order_counts(events: DataFrame, late: str, time: str = "event_ts") ->
 
 
 def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    state_on_disk(rows.sparkSession)
     return (
         rows.writeStream.format("parquet")
         .option("path", path)
@@ -88,6 +90,7 @@ def run_upserts(rows: DataFrame, state: StateTable, checkpoint: str) -> Streamin
 
 def run_alarms(alarms: DataFrame, notify, checkpoint: str) -> StreamingQuery:
     """Hand each closed period over the threshold to `notify(rows, batch_id)`."""
+    state_on_disk(alarms.sparkSession)
     return (
         alarms.writeStream.foreachBatch(notify)
         .outputMode("append")
