@@ -36,7 +36,7 @@ from peakflow.llm.shingles import set_ids, shingle_sets
 from peakflow.session import materialise
 
 BAND_RATIO = 1.6
-SKETCH_BITS = 1024
+LEAST_BITS = 512
 CELL_ROWS = 4096
 _BITMAP_BITS = 1 << 23
 
@@ -99,27 +99,46 @@ def _signature(content: np.ndarray, part: np.ndarray, band: np.ndarray) -> np.nd
     return mix(content + place)
 
 
-def sketches(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A row of SKETCH_BITS / 8 bytes for each set: the parity of its elements by bin."""
+def sketches(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parity of each set's elements by bin, packed in a row, and where each sketch begins.
+
+    A set has twice as many bins as elements, rounded up to a power of two and at least LEAST_BITS.
+    """
     sizes = np.diff(begins)
+    bits = np.maximum(1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), LEAST_BITS)
+    starts = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    bins = owner * SKETCH_BITS + (sets & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    odd = np.bincount(bins, minlength=len(sizes) * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sizes), SKETCH_BITS), axis=1)
-
-
-def _fixed_rows(rows: np.ndarray) -> pa.Array:
-    width = rows.shape[1]
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(
-        pa.binary()
-    )
+    bins = starts[owner] + (sets & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(bins, minlength=starts[-1]) & 1
+    return np.packbits(odd.astype(np.uint8)), starts // 8
+
+
+def sketch_difference(data: np.ndarray, starts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches x and y differ; the longer one is folded to the length of the other."""
+    out = np.zeros(len(x), np.int64)
+    size = np.diff(starts)
+    swap = size[x] > size[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    for short, long in sorted(set(zip(size[x].tolist(), size[y].tolist()))):
+        these = np.flatnonzero((size[x] == short) & (size[y] == long))
+        step = max((1 << 22) // long, 1)
+        for i in range(0, len(these), step):
+            some = these[i : i + step]
+            a = data[starts[x[some]][:, None] + np.arange(short)].view(np.uint64)
+            b = data[starts[y[some]][:, None] + np.arange(long)].view(np.uint64)
+            b = np.bitwise_xor.reduce(b.reshape(len(some), long // short, short // 8), axis=1)
+            out[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets, begins = shingle_sets(batch, size)
-            sketch = _fixed_rows(sketches(sets, begins))
+            packed, starts = sketches(sets, begins)
+            sketch = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(packed)]
+            ).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(begins)), pa.array(signed(set_ids(sets, begins))), sketch],
                 ["doc_id", "n_shingles", "set_id", "sketch"],
@@ -169,21 +188,13 @@ def _two_longs(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], ["signature", "set_id"])
 
 
-def _may_link(size_a, size_b, sketch_a, sketch_b, threshold: Fraction) -> np.ndarray:
-    """Whether sizes and sketches leave it open that two sets reach the threshold.
+def _may_link(size_a, size_b, differ, threshold: Fraction) -> np.ndarray:
+    """Whether sets that differ in `differ` elements or more may reach the threshold.
 
     Sets that do differ in at most (1 - t) / (1 + t) of the sum of their sizes.
     """
-    differ = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=1, dtype=np.int64)
     n, d = threshold.numerator, threshold.denominator
-    differ = np.maximum(differ, np.abs(size_a - size_b))
-    return differ * (d + n) <= (size_a + size_b) * (d - n)
-
-
-def _words_of(column: pa.Array) -> np.ndarray:
-    width = SKETCH_BITS // 8
-    data, _ = _binary(column)
-    return data.reshape(-1, width).view(np.uint64)
+    return np.maximum(differ, np.abs(size_a - size_b)) * (d + n) <= (size_a + size_b) * (d - n)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +204,11 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _pairs_in_cells(threshold: Fraction):
+def _pairs_in_cells(threshold: Fraction, best_only: bool):
     """Pairs of one cell, in different components, that sizes and sketches leave open.
 
-    Rows come sorted by cell; row i is compared with row i + 1, i + 2, ... of its cell.
+    Rows come sorted by cell; row i is compared with row i + 1, i + 2, ... of its cell. With
+    `best_only`, of all pairs that would join the same two components only the closest is given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +232,7 @@ def _pairs_in_cells(threshold: Fraction):
             cell = np.cumsum(np.r_[0, (key[:, 1:] != key[:, :-1]).any(axis=0)])
             one_chunk = key[1] == key[2]
             ids, label, size, chunk = (rows.column(c).to_numpy() for c in ("set_id", "component", "n_shingles", "chunk"))
-            sketch = _words_of(rows.column("sketch").combine_chunks())
+            data, starts = _binary(rows.column("sketch").combine_chunks())
             a = np.arange(len(ids) - 1)
             step = 1
             while len(a):
@@ -228,11 +240,23 @@ def _pairs_in_cells(threshold: Fraction):
                 a = a[cell[a] == cell[a + step]]
                 b = a + step
                 open_ = (label[a] != label[b]) & (one_chunk[a] | (chunk[a] != chunk[b]))
+                open_ &= _may_link(size[a], size[b], 0, threshold)
                 x, y = a[open_], b[open_]
-                ok = _may_link(size[x], size[y], sketch[x], sketch[y], threshold)
-                found.append(np.stack([ids[x[ok]], ids[y[ok]]]))
+                differ = sketch_difference(data, starts, x, y)
+                ok = _may_link(size[x], size[y], differ, threshold)
+                x, y, differ = x[ok], y[ok], differ[ok]
+                low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                share = differ / (size[x] + size[y])
+                found.append(np.rec.fromarrays([low, high, share, ids[x], ids[y]], names="low,high,share,a,b"))
                 step += 1
-        both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.empty((2, 0), np.int64)
+        both = np.empty((2, 0), np.int64)
+        if found:
+            all_ = np.concatenate(found)
+            if best_only:
+                all_ = all_[np.lexsort((all_["b"], all_["a"], all_["share"], all_["high"], all_["low"]))]
+                same = (all_["low"][1:] == all_["low"][:-1]) & (all_["high"][1:] == all_["high"][:-1])
+                all_ = all_[np.r_[True, ~same]] if len(all_) else all_
+            both = np.unique(np.sort(np.stack([all_["a"], all_["b"]]), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return run
@@ -242,9 +266,9 @@ def _passing(threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size_a, size_b = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
-            ok = _may_link(
-                size_a, size_b, _words_of(batch.column("sketch_a")), _words_of(batch.column("sketch_b")), threshold
-            )
+            data, starts = _binary(pa.concat_arrays([batch.column("sketch_a"), batch.column("sketch_b")]))
+            first = np.arange(batch.num_rows)
+            ok = _may_link(size_a, size_b, sketch_difference(data, starts, first, first + batch.num_rows), threshold)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -309,6 +333,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: Fraction)
     )
 
 
+def _open_pairs(rows: DataFrame, facts: DataFrame, labels: DataFrame, threshold: Fraction, best_only: bool) -> DataFrame:
+    """Pairs of sets that share a signature, lie in different components and may be linked."""
+    placed = rows.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = placed.groupBy("signature").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("members")
+    )
+    mixed = mixed.where("_low <> _high and members > 2")  # of two, the smaller was the other's head
+    mixed = materialise(mixed.select("signature", F.ceil(F.col("members") / CELL_ROWS).cast("int").alias("chunks")), "mixed")
+    chunk = F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int")
+    open_rows = placed.join(mixed, "signature").withColumn("chunk", chunk).join(facts, "set_id")
+    cells = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "signature", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+        "set_id", "component", "n_shingles", "chunk", "sketch",
+    )
+    cells = cells.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
+    pairs = cells.mapInArrow(_pairs_in_cells(threshold, best_only), "a long, b long")
+    return materialise(pairs.distinct(), "open-pairs")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """Link documents of shingle similarity `threshold` or more; a row for each row of `docs`.
 
@@ -343,21 +386,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     links = materialise(_verified(docs, near, size, share), "star-links")
     labels = components(links).withColumnRenamed("id", "set_id")
 
-    placed = rows.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = placed.groupBy("signature").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("members")
-    ).where("_low <> _high and members > 2")
-    mixed = materialise(mixed.select("signature", F.ceil(F.col("members") / CELL_ROWS).cast("int").alias("chunks")), "mixed")
-    chunk = F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int")
-    open_rows = placed.join(mixed, "signature").withColumn("chunk", chunk).join(facts, "set_id")
-    cells = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "signature", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        "set_id", "component", "n_shingles", "chunk", "sketch",
-    )
-    cells = cells.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
-    open_pairs = materialise(cells.mapInArrow(_pairs_in_cells(share), "a long, b long").distinct(), "open-pairs")
-    more = _verified(docs, open_pairs, size, share)
-    labels = components(links.union(more)).withColumnRenamed("id", "set_id")
+    # First the closest pair of any two components, then, where they are still apart, all their pairs.
+    for best_only in (True, False):
+        pairs = _open_pairs(rows, facts, labels, share, best_only)
+        links = materialise(links.union(_verified(docs, pairs, size, share)), "links")
+        labels = components(links).withColumnRenamed("id", "set_id")
 
     classes = info.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     classes = materialise(classes.withColumn("component", F.coalesce("component", "set_id")), "classes")
