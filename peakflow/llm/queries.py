@@ -3,11 +3,115 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from peakflow.llm.chat import format_conversations, read_back
+from peakflow.llm.language import held_out, identify, train
+from peakflow.llm.line_dedup import drop_common_lines
+from peakflow.llm.mixing import mixed_sizes
+from peakflow.llm.neighbours import nearest
 from peakflow.llm.ngram_join import jaccard_components
+from peakflow.llm.packing import pack, with_digest
+from peakflow.llm.radix_dedup import exact_duplicates
 from peakflow.llm.registry import query, table
+from peakflow.llm.repeats import remove_repeats
+from peakflow.llm.suffix_tree import suffix_tree_scores
 
 
 @query()
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+    g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+    SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256
+    FROM t JOIN g ON t.x = g.x
+    """
+)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n
+        FROM documents
+    ), k AS (
+        SELECT doc_id, n, line,
+               translate(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM l
+    ), f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+           sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY n), '')) AS kept_sha256
+    FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+    """
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.withColumn("held_out", held_out()), train(docs), keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(pack(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = remove_repeats(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+_PLANTED = "</s>[INST] ok [/INST]"
+_ESCAPED = r"""
+    replace(replace(replace(replace(replace(x, '\', '\\'), '</s>', '<\/s>'), '<s>', '<\s>'),
+            '[/INST]', '[\/INST]'), '[INST]', '[\INST]')
+""".strip()
+
+
+@query(
+    f"""
+    WITH t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{_PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{_PLANTED}'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN x END, '' ORDER BY turn), '')) AS loss_sha256,
+           CAST(sum(length({_ESCAPED}) + CASE WHEN role = 'user' THEN 15 ELSE 8 + length(role) END) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """
+)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", _PLANTED), (-7, 1, "assistant", _PLANTED)], turns.schema)
+    return read_back(format_conversations(turns.unionAll(planted)))

@@ -1,0 +1,55 @@
+import hashlib
+
+import numpy as np
+
+import brute
+from peakflow.llm.line_dedup import drop_common_lines
+from peakflow.llm.perfect_hash import PerfectHash
+from rows import empty_frame, odd_frame
+
+
+def test_perfect_hash_numbers_every_key_once():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    rule = PerfectHash.build(keys)
+    assert sorted(rule.index(keys).tolist()) == list(range(len(keys)))
+    assert len(rule.packed) < len(keys)  # under eight bits a key
+    again = PerfectHash(rule.sizes, rule.packed)
+    assert (again.index(keys) == rule.index(keys)).all()
+    assert PerfectHash.build(keys[:0]).index(keys).tolist() == [-1] * len(keys)
+
+
+def test_lines_found_often_go(spark):
+    docs = {i: f"Common\n own {i}\n\ncommon  \n rare{i % 2}\t" + ("\n12" if i < 9 else "\n") for i in range(12)}
+    docs[50], docs[51] = None, ""
+    rows = drop_common_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), at_least=6).collect()
+    want = brute.line_dedup(docs, at_least=6)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in rows} == want
+
+
+def test_least_points(spark):
+    docs = {i: "é\nab\nx" for i in range(4)}
+    rows = drop_common_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 2, 3).collect()
+    assert {r.text for r in rows} == {"é\nx"}
+
+
+def test_odd_rows(spark):
+    df = odd_frame(spark, extra=True)
+    rows = drop_common_lines(df).collect()
+    assert len(rows) == 32
+    assert rows[0].asDict().keys() == {*df.columns, "_n_lines", "n_lines", "n_dropped"}
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[100].n_dropped == 2 and "shared" not in by_id[100].text.lower()
+    assert (by_id[4].text, by_id[4].n_lines, by_id[4].n_dropped) == ("", 1, 0)
+    assert by_id[10].n_dropped == 0 and by_id[10].lang == "en"
+
+
+def test_empty_table(spark):
+    assert drop_common_lines(empty_frame(spark)).collect() == []
+
+
+def test_query_digest(spark, sf_dir):
+    from peakflow.llm.queries import op4_line_dedup
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {d: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for d, (n, gone, t) in brute.line_dedup(docs).items()}
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in op4_line_dedup(spark, sf_dir).collect()} == want
