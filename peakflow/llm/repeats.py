@@ -63,7 +63,7 @@ class Segments:
             return
         at = offsets[text] + np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         chosen = (least[at] & _PLACE).astype(np.int64)
-        anchor = at + ((chosen - at) & int(_PLACE))  # the window's own place has the same high bits, or one more
+        anchor = at + ((chosen - at) & int(_PLACE))  # places are known by their low bits only
         first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
         last = np.r_[first[1:], len(at)] - 1
         self.text, self.start, self.anchor = text[first], at[first], anchor[first] - at[first]
@@ -188,12 +188,13 @@ class SuffixSort:
         order = np.argsort(bucket, kind="stable")
         place, bucket = place[order], bucket[order]
         place = self.sorted(place, bucket)
-        near = np.flatnonzero((bucket[1:] == bucket[:-1]))
+        near = np.flatnonzero(bucket[1:] == bucket[:-1])
         near = near[self.common(place[near], place[near + 1]) == self.length]
         equal = np.ones(len(near), bool)
-        for i in range(0, len(near), 1 << 16):
-            p, q = (place[near[i : i + (1 << 16)] + d][:, None] + np.arange(self.length) for d in (0, 1))
-            equal[i : i + (1 << 16)] = (self.data[p] == self.data[q]).all(axis=1)
+        strings = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
+        for i in range(0, len(near), 1 << 15):
+            some = near[i : i + (1 << 15)]
+            equal[i : i + (1 << 15)] = (strings[place[some]] == strings[place[some + 1]]).all(axis=1)
         misled = np.unique(bucket[near[~equal]])
         near = near[equal & ~np.isin(bucket[near], misled)]
         found = [place[near], place[near + 1]]
