@@ -1,0 +1,66 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from peakflow.llm.byte_bpe import Encoder
+from peakflow.llm.packing import pack, piece_lengths, with_digest
+from rows import empty_frame, odd_documents, odd_frame
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def tokenizer():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_ids_equal_the_tokenizer_on_odd_texts():
+    rng = random.Random(4)
+    parts = [
+        "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", " '", "s", "don", " ", "  ", "\n", "\t", " ", "　", "12", "½",
+        "é", "日本", "🎉", "é", "_", "<|endoftext|>", ".", "...", "A", "'S", "\r\n", "​", "x", "ll", "٣", " ", "\x85", "\x1c",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(3000)] + ["", " ", "'", "'s", "\n"]
+    ids, bounds = Encoder(PATH).encode(pa.array(texts))
+    plain = tokenizer()
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_piece_lengths():
+    assert piece_lengths(2048 + 13, 1024) == [1024, 1024, 8, 4, 1]
+    assert piece_lengths(0, 1024) == []
+
+
+def test_pieces_cover_each_document_once(spark):
+    plain, rows = tokenizer(), pack(odd_frame(spark, extra=True)).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) and {r.offset for r in rows} == {0}
+    own = {}
+    for r in rows:
+        assert r.length in {1 << b for b in range(11)} and len(r.ids) == 4 * r.length
+        own.setdefault(r.doc_id, []).append(r)
+    for doc_id, text, *_ in odd_documents():
+        if doc_id in (None, 13):
+            continue
+        want = plain.encode(text or "", add_special_tokens=False).ids + [0]
+        pieces = sorted(own[doc_id], key=lambda r: r.start)
+        assert np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist() == want
+        assert [r.start for r in pieces] == np.cumsum([0] + [r.length for r in pieces])[:-1].tolist()
+        assert {r.doc_tokens for r in pieces} == {len(want)}
+    assert len(own[13]) % 2 == 0 and [r.length for r in own[4]] == [1]
+    assert sum(r.doc_tokens == 1 for r in own[None]) == 1
+
+
+def test_digest(spark):
+    pieces = pack(odd_frame(spark).where("doc_id = 1"))
+    want = {r.start: zlib.crc32(bytes(r.ids)) for r in pieces.collect()}
+    assert {r.start: r.ids_crc32 for r in with_digest(pieces).collect()} == want
+
+
+def test_empty_table(spark):
+    assert pack(empty_frame(spark)).collect() == []
