@@ -39,6 +39,7 @@ BAND_RATIO = 1.6
 LEAST_BITS = 512
 CELL_ROWS = 4096
 _BITMAP_BITS = 1 << 23
+_SHARED = ["signature", "set_id", "head", "place"]
 
 
 def _bands() -> np.ndarray:
@@ -170,22 +171,36 @@ def _signature_rows(size: int, threshold: Fraction):
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, those whose signature another row has too."""
-    held, matched = np.empty((2, 0), np.int64), False
+    """Of rows sorted by signature and set, once each, those whose signature another set has too.
+
+    Adds the smallest set of the signature (`head`) and the place of the row, from 0 for the head.
+    Only one row is held back at a time, however many share a signature.
+    """
+    held = np.empty((4, 0), np.int64)
     for batch in batches:
-        rows = np.concatenate([held, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]], axis=1)
+        new = np.zeros((4, batch.num_rows), np.int64)
+        new[0], new[1] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rows = np.concatenate([held, new], axis=1)
+        rows = rows[:, np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)][: rows.shape[1]]]
         if not rows.shape[1]:
             continue
         same = rows[0, 1:] == rows[0, :-1]
-        shared = np.r_[matched, same] | np.r_[same, False]
-        yield _two_longs(rows[:, :-1][:, shared[:-1]])
-        held, matched = rows[:, -1:], bool(shared[-1])
-    if matched:
-        yield _two_longs(held)
+        starts = np.flatnonzero(np.r_[True, ~same])
+        sizes = np.diff(np.r_[starts, rows.shape[1]])
+        head, place = rows[1, starts], np.zeros(len(starts), np.int64)
+        if held.shape[1]:  # the first group goes on from the row held back
+            head[0], place[0] = held[2, 0], held[3, 0]
+        rows[2] = np.repeat(head, sizes)
+        rows[3] = np.arange(rows.shape[1]) - np.repeat(starts - place, sizes)
+        shared = (rows[3] > 0) | np.r_[same, False]
+        yield _shared_rows(rows[:, :-1][:, shared[:-1]])
+        held = rows[:, -1:]
+    if held.shape[1] and held[3, 0] > 0:
+        yield _shared_rows(held)
 
 
-def _two_longs(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], ["signature", "set_id"])
+def _shared_rows(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], _SHARED)
 
 
 def _may_link(size_a, size_b, differ, threshold: Fraction) -> np.ndarray:
@@ -323,7 +338,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: Fraction)
     """The pairs (a, b) of set ids whose sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     maps = ids.coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # eight maps of one MiB at most
-    bits = np.bitwise_or.reduce([np.frombuffer(m.bits, np.uint8) for m in maps]) if maps else np.zeros(1 << 20, np.uint8)
+    none = np.zeros(_BITMAP_BITS // 8, np.uint8)
+    bits = np.bitwise_or.reduce([none, *(np.frombuffer(m.bits, np.uint8) for m in maps)])
     sets = docs.select("text").mapInArrow(_wanted_sets(size, bits.tobytes()), "set_id long, elements binary")
     sets = materialise(sets.groupBy("set_id").agg(F.first("elements").alias("elements")), "sets")
     a = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("set_a"))
@@ -339,7 +355,7 @@ def _open_pairs(rows: DataFrame, facts: DataFrame, labels: DataFrame, threshold:
     mixed = placed.groupBy("signature").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("members")
     )
-    mixed = mixed.where("_low <> _high and members > 2")  # of two, the smaller was the other's head
+    mixed = mixed.where("_low <> _high")
     mixed = materialise(mixed.select("signature", F.ceil(F.col("members") / CELL_ROWS).cast("int").alias("chunks")), "mixed")
     chunk = F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int")
     open_rows = placed.join(mixed, "signature").withColumn("chunk", chunk).join(facts, "set_id")
@@ -366,15 +382,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         docs.mapInArrow(_set_rows(size), "doc_id long, n_shingles long, set_id long, sketch binary"), "set-info"
     )
     signatures = docs.select("text").mapInArrow(_signature_rows(size, share), "signature long, set_id long")
-    sorted_rows = signatures.repartition("signature").sortWithinPartitions("signature")
-    rows = materialise(sorted_rows.mapInArrow(_shared_only, "signature long, set_id long").distinct(), "shared")
+    dealt = signatures.repartition("signature").sortWithinPartitions("signature", "set_id")
+    rows = materialise(dealt.mapInArrow(_shared_only, ", ".join(f"{c} long" for c in _SHARED)), "shared")
 
     facts = info.where("n_shingles > 0").groupBy("set_id").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
-    heads = rows.groupBy("signature").agg(F.min("set_id").alias("head"), F.count("*").alias("members"))
-    heads = materialise(heads.where("members > 1"), "heads")
-    stars = rows.join(heads, "signature").where("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b"))
+    stars = rows.where("place > 0").select(F.col("head").alias("a"), F.col("set_id").alias("b"))
 
     def side(name: str) -> DataFrame:
         return facts.select(
@@ -387,6 +401,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     labels = components(links).withColumnRenamed("id", "set_id")
 
     # First the closest pair of any two components, then, where they are still apart, all their pairs.
+    several = rows.where("place = 2").select("signature")  # of two sets, the smaller was the other's head
+    rows = materialise(rows.select("signature", "set_id").join(several, "signature", "left_semi"), "several")
     for best_only in (True, False):
         pairs = _open_pairs(rows, facts, labels, share, best_only)
         links = materialise(links.union(_verified(docs, pairs, size, share)), "links")
