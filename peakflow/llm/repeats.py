@@ -301,7 +301,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Dat
     keys = texts.select("text").mapInArrow(_keys(length, gram), "key long")
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     maps = shared.coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # eight maps of four MiB at most
-    bits = np.bitwise_or.reduce([np.frombuffer(m.bits, np.uint8) for m in maps]).tobytes()
+    none = np.zeros(BITMAP_BITS // 8, np.uint8)
+    bits = np.bitwise_or.reduce([none, *(np.frombuffer(m.bits, np.uint8) for m in maps)]).tobytes()
     members = materialise(
         texts.mapInArrow(
             _members(length, gram, bits),
