@@ -14,5 +14,10 @@ def line_total(quantity: Column, unit_price: Column) -> Column:
 
 
 def sales(lines: Column) -> Column:
-    """Sum of line totals."""
-    return F.sum(lines).cast("decimal(18,2)")
+    """Sum of line totals; NULL instead of an error when it does not fit."""
+    return F.sum(lines).try_cast("decimal(18,2)")
+
+
+def grand_total(sums: Column) -> Column:
+    """Sum over a whole table, wide enough for any number of sums."""
+    return F.sum(sums).try_cast("decimal(28,2)")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakflow.session import materialise
+
 
 def view_row_counts(views: dict[str, DataFrame]) -> DataFrame:
     counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("view"), "rows") for n, df in views.items()]
@@ -14,8 +16,12 @@ def view_row_counts(views: dict[str, DataFrame]) -> DataFrame:
 
 
 def key_load(records: DataFrame, key: str = "store_id") -> DataFrame:
-    """Records per stream key, their share of all, and how far the key lies above the mean key."""
+    """Records per stream key, their share of all, and how far the key lies above the mean key.
+
+    The counts are stored: the totals come from them, so the records are read once.
+    """
     per_key = records.groupBy(F.col(key).alias("partition_key")).agg(F.count("*").alias("records"))
+    per_key = materialise(per_key, "keys")
     whole = per_key.agg(F.struct(F.sum("records").alias("all"), F.avg("records").alias("mean"))).scalar()
     return per_key.withColumns(
         {"share": F.col("records") / whole["all"], "skew": F.col("records") / whole["mean"]}

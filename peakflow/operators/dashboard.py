@@ -11,6 +11,7 @@ from peakflow.functions.bands import expected_volume, is_peak, traffic_band
 from peakflow.functions.money import sales
 from peakflow.functions.times import hour_label
 from peakflow.operators.pressure import MIN_ORDERS, PEAK_THRESHOLD, baseline, is_alert, ratio_to, severity
+from peakflow.session import materialise
 
 # Lengths of the lists, and the smallest bar of the hourly chart in percent.
 TOP_ALERTS = 12
@@ -110,7 +111,8 @@ def dashboard_summary(
 ) -> DataFrame:
     """One row: events, events in peak hours, sales, alerts, stores."""
     load = matrix.agg(*matrix_summary(matrix, threshold, min_orders))
-    money = totals.agg(F.coalesce(sales(F.col("gross_sales")), F.lit(0)).cast("decimal(18,2)").alias("total_sales"))
+    total = F.coalesce(F.sum("gross_sales"), F.lit(0)).try_cast("decimal(28,2)")
+    money = totals.agg(total.alias("total_sales"))
     both = load.unionByName(money, allowMissingColumns=True)
     columns = ("total_orders", "peak_orders", "total_sales", "alert_count", "store_count")
     return both.agg(*[F.max(c).alias(c) for c in columns])
@@ -120,20 +122,37 @@ def volume_check(counts: DataFrame, base: int, multiplier: int, tolerance: float
     """Events per hour of the day beside the volume its traffic band should bring.
 
     `as_expected` allows the given relative deviation; `peak_shape` asks of each peak hour that it
-    brings several times the events of an ordinary one.
+    brings several times the events of an ordinary one. `run_orders` and `run_expected` are the totals
+    of the run, and `run_as_expected` compares them.
     """
     hour = F.col("hour_no")
     day = counts.agg(_by_hour(F.col("hour"), F.col("events")).alias("by_hour"))
-    rows = day.select(F.col("by_hour")[NORMAL_HOUR].alias("normal"), F.posexplode("by_hour").alias("hour_no", "orders"))
+    zero = F.lit(0).cast("bigint")
+    run_orders = F.aggregate("by_hour", zero, lambda total, n: total + n)
+    hours = F.array(*[F.lit(h) for h in HOURS])
+    run_expected = F.aggregate(hours, zero, lambda total, h: total + expected_volume(h, base, multiplier))
+    rows = day.select(
+        F.col("by_hour")[NORMAL_HOUR].alias("normal"),
+        run_orders.alias("run_orders"),
+        run_expected.alias("run_expected"),
+        F.posexplode("by_hour").alias("hour_no", "orders"),
+    )
     rows = rows.select(
+        "run_orders",
+        "run_expected",
         hour_label(hour).alias("hour"),
         traffic_band(hour).alias("band"),
         "orders",
         expected_volume(hour, base, multiplier).alias("expected_orders"),
         (~is_peak(hour) | (F.col("orders") >= F.col("normal") * PEAK_FACTOR)).alias("peak_shape"),
     )
-    off_by = F.abs(F.col("orders") - F.col("expected_orders"))
-    return rows.withColumn("as_expected", off_by <= F.col("expected_orders") * tolerance)
+
+    def near(found: str, expected: str) -> Column:
+        return F.abs(F.col(found) - F.col(expected)) <= F.col(expected) * tolerance
+
+    return rows.withColumns(
+        {"as_expected": near("orders", "expected_orders"), "run_as_expected": near("run_orders", "run_expected")}
+    )
 
 
 def dashboard_sections(
@@ -143,7 +162,7 @@ def dashboard_sections(
     """The dashboard document as rows: section, key, weight and one JSON entry.
 
     Within a section entries go by weight, heaviest first, then by key. Sections of any length stay
-    distributed; `dashboard_document` folds them into one record.
+    distributed; `document_lines` makes the lines of a file from them.
     """
     matrix = store_hour_matrix(counts, kind)
     parts = {
@@ -166,15 +185,42 @@ def dashboard_sections(
     return reduce(DataFrame.unionByName, entries)
 
 
-def dashboard_document(sections: DataFrame, max_entries: int = 100_000) -> DataFrame:
-    """One JSON record of all sections. Only for dashboards of checked size; beyond it use the sections."""
-    size = sections.limit(max_entries + 1).count()
-    if size > max_entries:
-        raise ValueError(f"more than {max_entries} entries: keep the sections as rows")
-    ordered = F.array_sort(F.collect_list(F.struct(-F.col("weight"), "entry_key", "entry")))
-    bodies = F.array_join(F.transform(ordered, lambda e: e["entry"]), ",")
-    body = F.when(F.col("section") == "summary", bodies).otherwise(F.concat(F.lit("["), bodies, F.lit("]")))
-    per_section = sections.groupBy("section").agg(body.alias("body"))
-    named = F.concat(F.lit('"'), F.col("section"), F.lit('":'), F.col("body"))
-    folded = F.array_join(F.array_sort(F.collect_list(named)), ",")
-    return per_section.agg(F.concat(F.lit("{"), folded, F.lit("}")).alias("document"))
+SINGLE_SECTIONS = ("summary",)
+
+
+def document_lines(sections: DataFrame) -> DataFrame:
+    """The lines of one JSON document of all sections: section, part, weight, entry_key, line.
+
+    Ordered by section, part, weight (heaviest first) and entry_key, the lines make up the document.
+    A section opens in part 0, has its entries in part 1 and closes in part 2. Nothing is gathered:
+    only the first entry of each section is looked for, to know which lines begin with a comma.
+    """
+    first = F.min(F.struct(-F.col("weight"), F.col("entry_key"), F.col("entry"))).alias("first")
+    firsts = materialise(sections.groupBy("section").agg(first), "first-entries")
+    bounds = firsts.agg(F.struct(F.min("section").alias("low"), F.max("section").alias("high"))).scalar()
+    single = F.col("section").isin(*SINGLE_SECTIONS)
+    opening = F.concat(
+        F.when(F.col("section") == bounds["low"], F.lit("{")).otherwise(F.lit(",")),
+        F.concat(F.lit('"'), F.col("section"), F.lit('":')),
+        F.when(single, F.lit("")).otherwise(F.lit("[")),
+    )
+    closing = F.concat(
+        F.when(single, F.lit("")).otherwise(F.lit("]")),
+        F.when(F.col("section") == bounds["high"], F.lit("}")).otherwise(F.lit("")),
+    )
+    here = F.struct(-F.col("weight"), F.col("entry_key"), F.col("entry"))
+    entry = F.concat(F.when(here == F.col("first"), F.lit("")).otherwise(F.lit(",")), F.col("entry"))
+
+    def frame(part: int, line: Column) -> DataFrame:
+        return firsts.select(
+            "section", F.lit(part).alias("part"), F.lit(0.0).alias("weight"), F.lit("").alias("entry_key"), line.alias("line")
+        )
+
+    entries = sections.join(firsts, "section").select("section", F.lit(1).alias("part"), "weight", "entry_key", entry.alias("line"))
+    return entries.unionByName(frame(0, opening)).unionByName(frame(2, closing))
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """The document as text files which, read in the order of their names, make up one JSON text."""
+    ordered = lines.orderBy("section", "part", F.desc("weight"), "entry_key")
+    ordered.select(F.col("line").alias("value")).write.text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakflow.functions.money import sales
+from peakflow.functions.money import grand_total, sales
 
 
 def line_measures() -> list:
@@ -58,7 +58,7 @@ def store_daily_summary_from_items(items: DataFrame) -> DataFrame:
 
 
 def order_status_summary(orders: DataFrame) -> DataFrame:
-    measures = [F.count("*").alias("order_count"), sales(F.col("order_total")).alias("gross_sales")]
+    measures = [F.count("*").alias("order_count"), grand_total(F.col("order_total")).alias("gross_sales")]
     if "updated_at" in orders.columns:
         measures.append(F.max("updated_at").alias("latest_update_at"))
     return orders.groupBy("order_status").agg(*measures).orderBy(F.desc("order_count"), "order_status")

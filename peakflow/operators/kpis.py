@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakflow.functions.bands import is_peak
-from peakflow.functions.money import sales
+from peakflow.functions.money import grand_total
 from peakflow.operators.dashboard import matrix_summary, top_products
 from peakflow.operators.pressure import MIN_ORDERS, PEAK_THRESHOLD
 
@@ -27,11 +27,11 @@ def _facts(
         *matrix_summary(matrix, threshold, min_orders),
         F.min_by(F.struct("store_id", "hour", "pressure_ratio"), peak_cell).alias("ceiling"),
     )
-    money = totals.agg(sales(F.col("gross_sales")).alias("total_sales"))
+    money = totals.agg(grand_total(F.col("gross_sales")).alias("total_sales"))
     # Best seller by money among the best sellers by units; the more units win a tie.
     rank = F.struct(-F.col("gross_sales"), -F.col("units_sold"), "product_id")
     driver = top_products(totals).agg(F.min_by(F.struct("product_id", "gross_sales"), rank).alias("driver"))
-    fresh = latencies.agg(F.avg(F.col("publish_to_read_latency_ms").cast("decimal(18,2)")).alias("freshness_ms"))
+    fresh = latencies.agg(F.avg(F.col("publish_to_read_latency_ms").try_cast("decimal(18,2)")).alias("freshness_ms"))
     rows = load
     for part in (money, driver, fresh):
         rows = rows.unionByName(part, allowMissingColumns=True)
@@ -92,7 +92,7 @@ def role_metrics(
 ) -> DataFrame:
     """What each role looks at, as (role, metric, value). Counts are counted, switches are 0 or 1."""
     load = matrix.agg(*matrix_summary(matrix, threshold, min_orders), F.count("*").alias("pressure_rows"))
-    money = totals.agg(sales(F.col("gross_sales")).alias("total_sales"), F.count("*").alias("products"))
+    money = totals.agg(grand_total(F.col("gross_sales")).alias("total_sales"), F.count("*").alias("products"))
     both = load.unionByName(money, allowMissingColumns=True)
     facts = both.agg(*[F.max(c).alias(c) for c in both.columns])
     share = _share(F.col("peak_orders") * 100, F.col("total_orders"))

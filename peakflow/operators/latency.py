@@ -35,6 +35,20 @@ def with_records_read(log: DataFrame) -> DataFrame:
     return numbered.withColumn("records_read", F.col("_earlier") + 1).drop("_earlier")
 
 
+def evidence(log: DataFrame, earlier: int = 0) -> DataFrame:
+    """The log in the layout of the evidence files; `earlier` records had been read before it."""
+    numbered = with_records_read(log)
+    return numbered.select(
+        F.date_format("read_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("read_timestamp_utc"),
+        "event_hour",
+        (F.col("records_read") + F.lit(earlier)).alias("records_read"),
+        F.col("publish_to_read_latency_ms").cast("string").alias("publish_to_read_latency_ms"),
+        F.col("arrival_latency_ms").cast("string").alias("arrival_latency_ms"),
+        "partition_key",
+        "event_id",
+    )
+
+
 def _value_counts(log: DataFrame) -> DataFrame:
     """How often each latency occurs, per segment and over all. A blank hour counts in `all` only."""
     measures = F.array(
@@ -52,13 +66,18 @@ def _value_counts(log: DataFrame) -> DataFrame:
 
 
 def _moments(counts: DataFrame) -> DataFrame:
-    """Count, mean, population deviation and maximum, with sums in decimal."""
-    ms = F.col("ms").cast("decimal(12,2)")
-    n, total, squares = F.sum("n"), F.sum(F.col("n") * ms), F.sum(F.col("n") * (ms * ms))
+    """Count, mean, population deviation and maximum, with sums in decimal.
+
+    A figure that does not fit is NULL: a mean beyond 300 years, say.
+    """
+    ms = F.col("ms").try_cast("decimal(15,2)")
+    n, total = F.sum("n"), F.try_sum(F.try_multiply("n", ms))
+    squares = F.try_sum(F.try_multiply("n", F.try_multiply(ms, ms)))
+    spread = F.try_subtract(F.try_multiply(squares, n), F.try_multiply(total, total))
     return counts.groupBy("segment", "measure").agg(
         n.alias("records"),
         (total.cast("double") / n).alias("mean"),
-        (F.sqrt((squares * n - total * total).cast("double")) / n).alias("std"),
+        (F.sqrt(spread.cast("double")) / n).alias("std"),
         F.max("ms").alias("max"),
     )
 

@@ -22,7 +22,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) ->
     return first_per_key(df, keys, [F.desc(c) for c in newest])
 
 
+# The columns after the id, or the position, only matter if two different events share one id.
+ORDER_RANK = ("event_time", "event_id", "order_total", "order_status", "store_id", "customer_id")
+ITEM_RANK = ("event_time", "event_id", "item_no", "quantity", "unit_price", "store_id")
+
+
 def latest_orders(events: DataFrame) -> DataFrame:
+    return latest_order_states(events).drop("event_id")
+
+
+def latest_order_states(events: DataFrame) -> DataFrame:
+    """Latest state per order with the event it comes from, which a later merge needs to settle ties."""
     states = events.select(
         "order_id",
         "customer_id",
@@ -33,17 +43,19 @@ def latest_orders(events: DataFrame) -> DataFrame:
         *_if_present(events, "updated_at"),
         "event_id",
     )
-    # The columns after the id only matter if two different events share one id.
-    order = ["event_time", "event_id", "order_total", "order_status", "store_id", "customer_id"]
-    return latest_per_key(states, ["order_id"], order).drop("event_id")
+    return latest_per_key(states, ["order_id"], ORDER_RANK)
 
 
 def latest_order_items(events: DataFrame) -> DataFrame:
     """One line per order and product; of two lines in one event the later position survives."""
+    return latest_item_states(events).drop("event_id", "item_no")
+
+
+def latest_item_states(events: DataFrame) -> DataFrame:
+    """Latest line per order and product with its event and position."""
     time = F.col("event_ts").alias("event_time")
     lines = exploded(events, "event_id", "order_id", "store_id", time, *_if_present(events, "updated_at"))
-    order = ["event_time", "event_id", "item_no", "quantity", "unit_price"]
-    newest = latest_per_key(lines, ["order_id", "product_id"], order)
+    newest = latest_per_key(lines, ["order_id", "product_id"], ITEM_RANK)
     return newest.select(
         "order_id",
         "store_id",
@@ -53,6 +65,8 @@ def latest_order_items(events: DataFrame) -> DataFrame:
         line_total(F.col("quantity"), F.col("unit_price")).alias("line_total"),
         "event_time",
         *_if_present(events, "updated_at"),
+        "event_id",
+        "item_no",
     )
 
 

@@ -4,17 +4,23 @@ from pyspark.sql import functions as F
 
 from peakflow.operators import latency, latest, publishing
 from peakflow.operators.dashboard import MATRIX as MATRIX_COLUMNS
+from peakflow.operators.ordering import with_row_number
 from peakflow.operators.pressure import is_alert, severity
 from peakflow.plans.registry import query, two_digits
-from peakflow.plans.traffic_queries import DAY_THRESHOLD, EVENTS, MIN_ORDERS
+from peakflow.plans.traffic_queries import DAY_THRESHOLD, EVENTS, MIN_ORDERS, SECTIONS
 from peakflow.session import materialise, scratch_path
 from peakflow.sinks.files import write_dated, write_evidence
 from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
+from peakflow.streaming import windows
 from peakflow.streaming.live import LiveCounters, run_live
-from peakflow.streaming.pipelines import hourly_order_counts, latest_state, run_to_parquet, without_duplicates
+from peakflow.streaming.pipelines import latest_state, run_to_evidence, run_to_parquet, without_duplicates
 
 ALARM_RECORDS = 2
+LIVE_SECTIONS = SECTIONS.replace(
+    "sum(orders) OVER (PARTITION BY store_id) / 24 AS baseline",
+    "greatest(1.0, sum(orders) OVER (PARTITION BY store_id) / 24) AS baseline",
+)
 
 LATENCY = """
 WITH travel AS (SELECT *, CAST(round(value * 10000) AS BIGINT) AS micros FROM events),
@@ -200,63 +206,78 @@ def publish_summary(spark, sf_dir):
     return publishing.publish_summary(_progress(spark, sf_dir))
 
 
-def _event_stream(spark, sf_dir):
-    """The event files as a stream; the braces make the name a pattern, so it may be a file or a folder."""
-    schema = tables.table(spark, sf_dir, "events").schema
-    return tables.from_event_table(streams.parquet_stream(spark, f"{sf_dir}/{{events.parquet}}", schema))
+LANDINGS = 4
+
+
+def _landed(rows, home, time="ts"):
+    """Land rows in files out of time order: every fourth day together, so each landing goes back in time."""
+    path = f"{home}/landed"
+    rows.withColumn("landing", F.dayofmonth(time) % LANDINGS).write.partitionBy("landing").parquet(path)
+    return path
 
 
-def _streamed(spark, rows, label):
+def _event_stream(spark, sf_dir, home):
+    """The events as a stream of landed files, one in a batch."""
+    source = tables.table(spark, sf_dir, "events")
+    path = _landed(source, home)
+    return tables.from_event_table(streams.parquet_stream(spark, f"{path}/*", source.schema, files_per_batch=1))
+
+
+def _streamed(spark, rows, home):
     """Run a stream over all that is there, appending to a table, and read the table."""
-    home = scratch_path(spark, label)
     run_to_parquet(rows, f"{home}/rows", f"{home}/checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{home}/rows")
 
 
-# Windows that end after the newest event less the watermark are still open and not written yet.
-CLOSED_BEFORE = "(SELECT max(event_ts) FROM ev) - INTERVAL 1 HOUR"
-
-
 @query(
     EVENTS
-    + f""" SELECT * FROM (
-    SELECT date_trunc('hour', event_ts) AS hour_start, store_id, count(DISTINCT order_id) AS order_count FROM ev
-    GROUP BY 1, 2) WHERE hour_start + INTERVAL 1 HOUR <= {CLOSED_BEFORE}"""
+    + """ SELECT date_trunc('hour', event_ts) AS hour_start, store_id, count(DISTINCT order_id) AS order_count FROM ev
+    GROUP BY 1, 2"""
 )
 def stream_hourly_orders(spark, sf_dir):
-    return _streamed(spark, hourly_order_counts(_event_stream(spark, sf_dir), "1 hour"), "hourly-stream")
+    """Every hour, the last one included, though files land out of time order."""
+    home = scratch_path(spark, "hourly-stream")
+    counts = windows.hourly_orders(spark, f"{home}/state", fold_every=2)
+    windows.run_windows(_event_stream(spark, sf_dir, home), counts, f"{home}/checkpoint").awaitTermination()
+    return windows.order_counts(counts.read())
 
 
 @query(
     EVENTS
-    + f""" SELECT * FROM (
-    SELECT date_trunc('minute', event_ts) AS period_start, date_trunc('minute', event_ts) + INTERVAL 1 MINUTE
-      AS period_end, count(*) AS records FROM ev GROUP BY 1)
-  WHERE records >= {ALARM_RECORDS} AND period_end <= {CLOSED_BEFORE}"""
+    + f""" SELECT date_trunc('minute', event_ts) AS period_start,
+    date_trunc('minute', event_ts) + INTERVAL 1 MINUTE AS period_end, CAST(count(*) AS BIGINT) AS records FROM ev
+    GROUP BY 1 HAVING count(*) >= {ALARM_RECORDS}"""
 )
 def stream_ingestion_alarm(spark, sf_dir):
-    alarms = latency.ingestion_alarms(_event_stream(spark, sf_dir), "event_ts", ALARM_RECORDS, late="1 hour")
-    return _streamed(spark, alarms, "alarm-stream")
+    home = scratch_path(spark, "alarm-stream")
+    periods = windows.period_counts(spark, f"{home}/state", latency.ALARM_PERIOD, fold_every=2)
+    windows.run_windows(_event_stream(spark, sf_dir, home), periods, f"{home}/checkpoint").awaitTermination()
+    return periods.read().where(F.col("records") >= ALARM_RECORDS)
 
 
 @query(EVENTS + " SELECT DISTINCT event_id FROM ev")
 def stream_dedup(spark, sf_dir):
-    """Every event arrives twice, the copy five minutes later; both lie within the watermark."""
-    events = _event_stream(spark, sf_dir).select("event_id", "event_ts")
+    """Every event arrives twice, the copy five minutes later; the watermark spans all landings."""
+    home = scratch_path(spark, "dedup-stream")
+    events = _event_stream(spark, sf_dir, home).select("event_id", "event_ts")
     again = events.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 5 MINUTES"))
-    return _streamed(spark, without_duplicates(events.unionByName(again), "1 hour").select("event_id"), "dedup-stream")
+    return _streamed(spark, without_duplicates(events.unionByName(again), "60 days").select("event_id"), home)
+
+
+def _answered(events):
+    """Failed events were turned down with a code."""
+    code = F.concat(F.lit("code-"), F.col("items")[0]["product_id"])
+    return events.select("event_id", "event_ts", F.when(F.col("store_id") == "error", code).alias("error_code"))
 
 
 def _put_results(spark, sf_dir):
-    """Requests by batch and place, and the answer to each: failed events were turned down with a code."""
-    events = tables.replay_events(spark, sf_dir).select(
-        "event_id", "store_id", "event_ts", F.col("items")[0]["product_id"].alias("product_id")
-    )
-    numbered = materialise(publishing.with_batch_number(events), "requests").select(
+    """Requests by batch and place, and the answer to each."""
+    events = _answered(tables.replay_events(spark, sf_dir))
+    numbered = publishing.with_batch_number(events).select(
         F.concat_ws("-", "event_hour", "batch_no").alias("batch_id"),
         F.col("batch_place").alias("seq"),
         "event_id",
-        F.when(F.col("store_id") == "error", F.concat(F.lit("code-"), F.col("product_id"))).alias("error_code"),
+        "error_code",
     )
     return numbered.select("batch_id", "seq", "event_id"), numbered.select("batch_id", "seq", "error_code")
 
@@ -276,7 +297,8 @@ def failed_requests(spark, sf_dir):
   WHERE store_id = 'error' AND product_id IS NOT NULL GROUP BY 1"""
 )
 def error_counts(spark, sf_dir):
-    return publishing.error_counts(_put_results(spark, sf_dir)[1])
+    """Codes are counted where they arise; the order of the records plays no part."""
+    return publishing.error_counts(_answered(tables.replay_events(spark, sf_dir)))
 
 
 @query(
@@ -330,7 +352,7 @@ def live_snapshot(spark, sf_dir):
     source = tables.table(spark, sf_dir, "events")
     home = scratch_path(spark, "live")
     counters = LiveCounters(spark, f"{home}/state")
-    run_live(_event_stream(spark, sf_dir), counters, f"{home}/checkpoint").awaitTermination()
+    run_live(_event_stream(spark, sf_dir, home), counters, f"{home}/checkpoint").awaitTermination()
     matrix = counters.matrix()
     hot = is_alert(F.col("orders"), F.col("ratio"), DAY_THRESHOLD, MIN_ORDERS)
     graded = matrix.withColumn("severity", F.when(hot, severity(F.col("ratio"), DAY_THRESHOLD)))
@@ -347,23 +369,68 @@ def live_snapshot(spark, sf_dir):
 )
 def evidence_csv(spark, sf_dir):
     """Latency evidence through CSV; readings of failed events are no numbers and are skipped."""
-    reading = F.when(F.col("partition_key") == "error", "n/a").otherwise(
-        F.col("publish_to_read_latency_ms").cast("string")
-    )
-    log = latency.with_records_read(tables.read_log(spark, sf_dir)).select(
-        F.date_format("read_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("read_timestamp_utc"),
-        "event_hour",
-        "records_read",
-        reading.alias("publish_to_read_latency_ms"),
-        F.col("arrival_latency_ms").cast("string").alias("arrival_latency_ms"),
-        "partition_key",
-        "event_id",
-    )
+    log = latency.evidence(tables.read_log(spark, sf_dir))
+    reading = F.when(F.col("partition_key") == "error", "n/a").otherwise(F.col("publish_to_read_latency_ms"))
     path = scratch_path(spark, "evidence")
-    write_evidence(log, path)
+    write_evidence(log.withColumn("publish_to_read_latency_ms", reading), path)
     return read_latency_csv(spark, path).drop("read_timestamp_utc")
 
 
+def _latency_stream(spark, sf_dir, home):
+    """Encoded records landed in files, decoded and measured as a stream."""
+    records = _records(spark, sf_dir)
+    path = _landed(records, home, "event_ts")
+    decoded = payloads.decode(streams.parquet_stream(spark, f"{path}/*", records.schema, files_per_batch=1))
+    return latency.read_latencies(decoded, F.col("read_at"), F.col("arrived_at"))
+
+
+@query(
+    LATENCY
+    + f""" SELECT 'all' AS segment, {STATS} FROM log
+  UNION ALL SELECT {SEGMENT} AS segment, {STATS} FROM log GROUP BY 1"""
+)
+def stream_evidence(spark, sf_dir):
+    """Stream to CSV evidence, and statistics of what is read back."""
+    home = scratch_path(spark, "stream-evidence")
+    run_to_evidence(_latency_stream(spark, sf_dir, home), f"{home}/evidence", f"{home}/checkpoint")
+    stats = latency.latency_stats(read_latency_csv(spark, f"{home}/evidence/*"))
+    rounded = ("mean", "median", "std", "p95", "p99", "arrival_mean", "arrival_p95")
+    return stats.withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@query(
+    LATENCY
+    + """ SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS records_read, event_id, partition_key,
+    publish_to_read_latency_ms, arrival_latency_ms FROM log"""
+)
+def bounded_observation(spark, sf_dir):
+    """An observation that stops at its bound, is taken up again with a higher one, then without.
+
+    All records are there and counted without a gap; the counts are given in the order of the ids,
+    as the order of reading follows the landings.
+    """
+    home = scratch_path(spark, "bounded")
+    rows = _latency_stream(spark, sf_dir, home)
+    for bound in (1, 2, None):
+        run_to_evidence(rows, f"{home}/evidence", f"{home}/checkpoint", max_records=bound)
+    log = materialise(read_latency_csv(spark, f"{home}/evidence/*"), "bounded-log")
+    counts = with_row_number(log.select("records_read"), [], ["records_read"], "place")
+    ids = with_row_number(log.drop("records_read"), [], ["event_id"], "place")
+    return ids.join(counts, "place").select(
+        "records_read", "event_id", "partition_key", "publish_to_read_latency_ms", "arrival_latency_ms"
+    )
+
+
+@query(LIVE_SECTIONS + " SELECT * FROM sections")
+def live_sections(spark, sf_dir):
+    """All sections of the live dashboard, whose baseline is at least one order an hour."""
+    home = scratch_path(spark, "live-sections")
+    counters = LiveCounters(spark, f"{home}/state")
+    counters.store_hours.fold_every = counters.products.fold_every = 2
+    run_live(_event_stream(spark, sf_dir, home), counters, f"{home}/checkpoint").awaitTermination()
+    return counters.snapshot(DAY_THRESHOLD, MIN_ORDERS)
+
+
 @query("SELECT CAST(ts AS DATE) AS dt, event_type AS store_id, count(*) AS events FROM events GROUP BY ALL")
 def dated_events(spark, sf_dir):
     """Events landed in one folder per day and read back by folder."""

@@ -69,7 +69,7 @@ MATRIX = (
 ), summary AS (
   SELECT CAST(sum(orders) AS BIGINT) AS total_orders,
     CAST(sum(orders) FILTER (hour_no IN (12, 13, 18, 19)) AS BIGINT) AS peak_orders,
-    (SELECT CAST(sum(gross_sales) AS DECIMAL(18,2)) FROM products) AS total_sales,
+    (SELECT CAST(sum(gross_sales) AS DECIMAL(28,2)) FROM products) AS total_sales,
     (SELECT count(*) FROM day_alerts) AS alert_count, count(*) FILTER (hour_no = 0) AS store_count
   FROM matrix
 )"""
@@ -105,6 +105,11 @@ def _products(spark, sf_dir):
     return dashboard.product_totals(_items(spark, sf_dir))
 
 
+def _stored_totals(spark, sf_dir):
+    """Counts and product totals, stored once: figures are drawn from these small tables."""
+    return materialise(_counts(spark, sf_dir), "counts"), materialise(_products(spark, sf_dir), "products")
+
+
 @query(HOURLY + " SELECT * FROM hourly")
 def hourly_store_window(spark, sf_dir):
     return _hourly(spark, sf_dir)
@@ -239,9 +244,9 @@ def store_totals(spark, sf_dir):
     FROM fresh"""
 )
 def pm_kpis(spark, sf_dir):
-    rows = kpis.pm_kpis(
-        _matrix(spark, sf_dir), _products(spark, sf_dir), tables.read_log(spark, sf_dir), DAY_THRESHOLD, MIN_ORDERS
-    )
+    counts, products = _stored_totals(spark, sf_dir)
+    matrix = dashboard.store_hour_matrix(counts)
+    rows = kpis.pm_kpis(matrix, products, tables.read_log(spark, sf_dir), DAY_THRESHOLD, MIN_ORDERS)
     return rows.withColumn("value", F.round("value", 4))
 
 
@@ -262,7 +267,8 @@ def pm_kpis(spark, sf_dir):
     ('leadership', 'active_stores', store_count)) AS m(role, metric, value)"""
 )
 def role_metrics(spark, sf_dir):
-    rows = kpis.role_metrics(_matrix(spark, sf_dir), _products(spark, sf_dir), 5, DAY_THRESHOLD, MIN_ORDERS)
+    counts, products = _stored_totals(spark, sf_dir)
+    rows = kpis.role_metrics(dashboard.store_hour_matrix(counts), products, 5, DAY_THRESHOLD, MIN_ORDERS)
     return rows.withColumn("value", F.round("value", 4))
 
 
@@ -285,9 +291,7 @@ SECTIONS = (
 
 
 def _sections(spark, sf_dir):
-    """Counts and product totals are stored once; the sections are drawn from these small tables."""
-    counts = materialise(_counts(spark, sf_dir), "counts")
-    products = materialise(_products(spark, sf_dir), "products")
+    counts, products = _stored_totals(spark, sf_dir)
     return dashboard.dashboard_sections(counts, products, DAY_THRESHOLD, MIN_ORDERS)
 
 
@@ -298,12 +302,17 @@ def dashboard_doc(spark, sf_dir):
 
 @query(
     SECTIONS
-    + """ SELECT '{' || string_agg('"' || section || '":' || body, ',' ORDER BY section) || '}' AS document FROM (
-  SELECT section, CASE WHEN section = 'summary' THEN any_value(entry)
-    ELSE '[' || string_agg(entry, ',' ORDER BY weight DESC, entry_key) || ']' END AS body FROM sections GROUP BY 1)"""
+    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY weight DESC, entry_key) AS n,
+    dense_rank() OVER (ORDER BY section) AS s FROM sections)
+  SELECT section, 1 AS part, weight, entry_key, CASE WHEN n > 1 THEN ',' ELSE '' END || entry AS line FROM placed
+  UNION ALL SELECT section, 0, 0, '', CASE WHEN s = 1 THEN '{' ELSE ',' END || '"' || section || '":'
+    || CASE WHEN section = 'summary' THEN '' ELSE '[' END FROM placed WHERE n = 1
+  UNION ALL SELECT section, 2, 0, '', CASE WHEN section = 'summary' THEN '' ELSE ']' END
+    || CASE WHEN s = (SELECT max(s) FROM placed) THEN '}' ELSE '' END FROM placed WHERE n = 1"""
 )
 def dashboard_record(spark, sf_dir):
-    return dashboard.dashboard_document(materialise(_sections(spark, sf_dir), "sections"))
+    """The document as the lines of a JSON file."""
+    return dashboard.document_lines(materialise(_sections(spark, sf_dir), "sections"))
 
 
 BASE_ORDERS, PEAK_MULTIPLIER, TOLERANCE = 400, 10, 0.25
@@ -320,6 +329,8 @@ BASE_ORDERS, PEAK_MULTIPLIER, TOLERANCE = 400, 10, 0.25
     WHEN 'ramp' THEN {BASE_ORDERS * 2} WHEN 'off-peak' THEN {BASE_ORDERS // 3} ELSE {BASE_ORDERS} END AS BIGINT)
     AS expected_orders FROM banded)
   SELECT lpad(CAST(hour_no AS VARCHAR), 2, '0') || ':00' AS hour, band, orders, expected_orders,
+    CAST(sum(orders) OVER () AS BIGINT) AS run_orders, CAST(sum(expected_orders) OVER () AS BIGINT) AS run_expected,
+    abs(sum(orders) OVER () - sum(expected_orders) OVER ()) <= sum(expected_orders) OVER () * {TOLERANCE} AS run_as_expected,
     band <> 'peak' OR orders >= normal * 5 AS peak_shape,
     abs(orders - expected_orders) <= expected_orders * {TOLERANCE} AS as_expected FROM expected"""
 )

@@ -54,6 +54,12 @@ TABLE_DDL = {
     ),
 }
 
+# State behind the two latest tables: their columns, the event and position that settle ties, and the month.
+STATE_DDL = {
+    "orders_latest": "event_id STRING, event_month DATE",
+    "order_items_latest": "event_id STRING, item_no INT, event_month DATE",
+}
+
 PUBLISH_PROGRESS = (
     "run_id STRING, batch_seq BIGINT, timestamp_utc TIMESTAMP, elapsed_seconds DECIMAL(18,3), event_hour STRING, "
     "batch_records BIGINT, published_records BIGINT, records_per_second DOUBLE, transient_failed_records BIGINT"
@@ -63,3 +69,7 @@ READ_LATENCY = (
     "read_timestamp_utc STRING, event_hour STRING, records_read BIGINT, publish_to_read_latency_ms STRING, "
     "arrival_latency_ms STRING, partition_key STRING, event_id STRING"
 )
+
+
+def column_names(ddl: str) -> list[str]:
+    return [column.split()[0] for column in ddl.split(", ")]

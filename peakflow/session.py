@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: str | None = None
-_stored: list[str] = []
+_stored: list[tuple[SparkSession, str]] = []
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """Days and hours are cut in UTC, whatever zone the cluster runs in."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -28,20 +30,18 @@ def state_on_disk(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only for local runs without it."""
-    global _local_scratch
+    """The shared folder the cluster names; without it, one in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="peakflow-")
-    return _local_scratch
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/peakflow/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, to be removed with the scope it was made in."""
+    path = f"{checkpoint_root(spark)}/peakflow/{label}-{uuid.uuid4().hex}"
+    _stored.append((spark, path))
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -56,12 +56,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     executor costs a re-read only, and values that depend on the physical layout stay fixed.
     """
     path = scratch_path(df.sparkSession, label)
-    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove the copies `materialise` stored; frames that still read them end with this."""
-    while _stored:
-        delete_path(spark, _stored.pop())
+def clear_scratch(since: int = 0) -> None:
+    """Remove the copies stored since a point; frames that still read them end with this."""
+    while len(_stored) > since:
+        delete_path(*_stored.pop())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove at the end, also after an error, whatever was stored inside."""
+    since = len(_stored)
+    try:
+        yield
+    finally:
+        clear_scratch(since)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    with suppress(Exception):  # the session may be gone already
+        clear_scratch()

@@ -22,9 +22,12 @@ def encode(events: DataFrame, published_at: Column) -> DataFrame:
 
 
 def decode(records: DataFrame) -> DataFrame:
-    """Payload back to columns; `data` may be base64 text or plain bytes."""
+    """Payload back to columns; `data` may be base64 text or plain bytes.
+
+    A record that cannot be decoded stays, with NULL in every column of the payload.
+    """
     is_text = dict(records.dtypes)["data"] == "string"
-    raw = F.unbase64("data") if is_text else F.col("data")
+    raw = F.try_to_binary("data", F.lit("base64")) if is_text else F.col("data")
     rest = [c for c in records.columns if c != "data"]
     parsed = F.from_json(raw.cast("string"), PUBLISHED_EVENT)
     return records.select(*rest, parsed.alias("payload")).select(*rest, "payload.*")

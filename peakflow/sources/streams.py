@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakflow.schemas import ORDER_EVENT
@@ -10,16 +13,23 @@ from peakflow.sources.events import with_event_ts
 
 
 def parquet_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, newest_first: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    files_per_batch: int | None = None,
+    since: datetime.datetime | None = None,
 ) -> DataFrame:
-    """`newest_first` reads the latest files first, the default the oldest.
+    """Files as they land, the oldest first, `files_per_batch` in a batch.
 
-    `path` is a folder of files or a pattern; a single file has to be given as a pattern.
+    Reading starts at the earliest file. With `since`, files that landed before that time are passed
+    over; a stream that is to start at the latest takes the current time, and keeps it when it goes
+    on. `path` is a folder of files or a pattern; a single file has to be given as a pattern.
     """
-    reader = spark.readStream.schema(schema).option("latestFirst", str(newest_first).lower())
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    return rows.where(F.col("_metadata.file_modification_time") >= F.lit(since)) if since else rows
 
 
 def json_event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from peakflow.operators.latency import evidence
 from peakflow.operators.latest import latest_per_key
+from peakflow.schemas import READ_LATENCY
 from peakflow.session import state_on_disk
 from peakflow.sinks.files import write_evidence
 from peakflow.streaming.state import StateTable
@@ -23,7 +26,7 @@ def hourly_order_counts(events: DataFrame, late: str, time: str = "event_ts") ->
 
     Streams have no distinct count, so repeated (order, hour, store) rows go first; `late` of an hour
     or more keeps an order in mind for its whole hour. Rows later than the watermark are left out;
-    corrections of closed hours need the latest-state path.
+    `windows.hourly_orders` corrects closed hours too.
     """
     hours = events.withColumn("hour_start", F.date_trunc("hour", time))
     once = hours.withWatermark(time, late).dropDuplicatesWithinWatermark(["order_id", "hour_start", "store_id"])
@@ -43,30 +46,38 @@ def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def run_to_evidence(rows: DataFrame, path: str, checkpoint: str, max_records: int | None = None) -> StreamingQuery:
-    """CSV evidence, one folder per batch, so that a batch run again replaces its own rows.
+class _BoundReached(Exception):
+    """Ends an observation before its next batch."""
 
-    `max_records` bounds an observation: once that many are written, further batches add none.
+
+def run_to_evidence(rows: DataFrame, path: str, checkpoint: str, max_records: int | None = None) -> int:
+    """Read latencies to CSV evidence, one folder per batch; returns how many records are written in all.
+
+    A batch that runs again replaces its own folder. `max_records` bounds an observation: the batch
+    that reaches it is written whole, and the next one stops the query before it is read, so that a
+    later run with a higher bound, or none, goes on there. No record is passed over.
     """
     spark, state = rows.sparkSession, T.StructType().add("records", "long")
     written = StateTable(spark, f"{path}-written", state, lambda n: n.agg(F.sum("records").alias("records")))
+    at_bound: list[int] = []
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{path}/batch={batch_id}"
-        if max_records is None:
-            write_evidence(batch, folder, mode="overwrite")
-            return
         earlier = written.read(before=batch_id).first()["records"] or 0
-        write_evidence(batch.limit(max(max_records - earlier, 0)), folder, mode="overwrite")
-        added = spark.read.csv(folder, schema=batch.schema, header=True).agg(F.count("*").alias("records"))
+        if max_records is not None and earlier >= max_records:
+            at_bound.append(batch_id)
+            raise _BoundReached(f"{max_records} records are read")
+        folder = f"{path}/batch={batch_id}"
+        write_evidence(evidence(batch, earlier), folder, mode="overwrite")
+        added = spark.read.csv(folder, schema=READ_LATENCY, header=True).agg(F.count("*").alias("records"))
         written.apply(batch_id, added)
 
-    return (
-        rows.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    try:
+        query.start().awaitTermination()
+    except StreamingQueryException:
+        if not at_bound:
+            raise
+    return written.read().first()["records"] or 0
 
 
 def latest_state(

@@ -34,6 +34,7 @@ class StateTable:
 
     def apply(self, batch_id: int, rows: DataFrame) -> None:
         if len(self._ids("batch", after=self._folded_through(), before=batch_id)) >= self.fold_every:
+            self.remove_folded()  # a reader has had all the batches since the last folding to end
             self.compact(batch_id)
         names = self.schema.fieldNames()
         self.fold(rows).select(names).write.mode("overwrite").parquet(self._folder("batch", batch_id))
@@ -44,7 +45,7 @@ class StateTable:
         self.read(before).write.mode("overwrite").parquet(self._folder("base", through))
 
     def remove_folded(self) -> None:
-        """Delete folders a newer base stands for. Only while no reader is at work on them."""
+        """Delete folders a newer base stands for. Readers that began before that base must have ended."""
         base = self._folded_through()
         if base is None:
             return

@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from cases import dicts, event, events_df, hourly_df
 from peakflow.operators import dashboard, demand, pressure
 from peakflow.operators.items import order_items
+from peakflow.operators.pressure import severity
 
 H = "2024-01-01 {:02d}:00:00".format
 
@@ -100,25 +103,30 @@ def test_expected_day_adds_up(spark):
     assert round(101_386 / 24, 2) == 4224.42
 
 
-def test_document_holds_all_sections(spark):
-    import json
+def document(sections):
+    lines = dashboard.document_lines(sections).orderBy("section", "part", F.desc("weight"), "entry_key").collect()
+    return json.loads("".join(r.line for r in lines))
+
+
+def test_an_unknown_ratio_is_a_warning(spark):
+    rows = spark.createDataFrame([(None,), (3.75,), (3.74,)], "ratio double")
+    graded = rows.select(severity(F.col("ratio"), 2.5).alias("s")).collect()
+    assert [r.s for r in graded] == ["WARNING", "CRITICAL", "WARNING"]
 
+
+def test_document_holds_all_sections(spark):
     events = events_df(spark, [event(f"e{i}", f"o{i}", time="2024-01-01T12:00:00Z") for i in range(30)])
     counts, totals = dashboard.event_counts(events), dashboard.product_totals(order_items(events))
     sections = dashboard.dashboard_sections(counts, totals)
-    doc = json.loads(dashboard.dashboard_document(sections).first().document)
+    doc = document(sections)
     assert doc["summary"] == {
         "total_orders": 30, "peak_orders": 30, "total_sales": 300.0, "alert_count": 1, "store_count": 1
     }
     assert len(doc["hourly_orders"]) == len(doc["store_pressure"]) == 24
     assert doc["alerts"][0]["severity"] == "CRITICAL" and doc["top_products"][0]["units_sold"] == 30
-    with pytest.raises(ValueError):
-        dashboard.dashboard_document(sections, max_entries=5)
 
 
 def test_lists_of_the_document_keep_their_order(spark):
-    import json
-
     sizes = {"a": 3, "b": 9, "c": 9}
     records = [
         event(f"{s}{i}", f"{s}{i}", store=s, time="2024-01-01T12:00:00Z", items=((f"p-{s}", 1, 1.0),))
@@ -129,7 +137,7 @@ def test_lists_of_the_document_keep_their_order(spark):
     sections = dashboard.dashboard_sections(
         dashboard.event_counts(events), dashboard.product_totals(order_items(events)), 2.5, 2
     )
-    doc = json.loads(dashboard.dashboard_document(sections).first().document)
+    doc = document(sections)
     assert [t["store_id"] for t in doc["store_totals"]] == ["b", "c", "a"]
     assert [t["product_id"] for t in doc["top_products"]] == ["p-b", "p-c", "p-a"]
     assert [t["store_id"] for t in doc["alerts"]] == ["a", "b", "c"]
@@ -143,3 +151,8 @@ def test_volume_check_of_a_peaked_day(spark):
     rows = {r["hour"]: r for r in dicts(dashboard.volume_check(counts, 100, 10))}
     assert [h for h, r in rows.items() if not r["peak_shape"]] == ["13:00"]
     assert {h for h, r in rows.items() if r["as_expected"]} == {"03:00", "10:00", "11:00", "18:00", "19:00"}
+    totals = {(r["run_orders"], r["run_expected"], r["run_as_expected"]) for r in rows.values()}
+    assert totals == {(3332, 5630, False)}
+    full = [("s", h, n) for h, n in enumerate([33] * 8 + [100] * 3 + [200, 1000, 1000] + [100] * 3 + [200, 1000, 1000, 200, 100] + [33] * 2)]
+    df = spark.createDataFrame(full, "store_id string, hour int, events long")
+    assert {r["run_as_expected"] for r in dicts(dashboard.volume_check(df, 100, 10))} == {True}

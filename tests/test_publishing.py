@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cases import dicts, event, events_df
 from peakflow.operators import publishing
+from peakflow.schemas import PUBLISH_PROGRESS
 from peakflow.sinks.files import write_evidence
 from peakflow.sources import payloads
 from peakflow.sources.evidence import read_latency_csv, read_progress_csv
@@ -67,7 +68,7 @@ def test_progress_log_survives_csv(spark, tmp_path):
     )
     columns = "run_id batch_seq timestamp_utc elapsed_seconds event_hour batch_records published_records".split()
     columns += ["records_per_second", "transient_failed_records"]
-    write_evidence(progress.withColumn("timestamp_utc", F.lit("2024-01-01T00:00:00Z")).select(columns), str(tmp_path / "p"))
+    write_evidence(progress.withColumn("timestamp_utc", F.lit("2024-01-01T00:00:00Z")).select(columns), str(tmp_path / "p"), layout=PUBLISH_PROGRESS)
     again = read_progress_csv(spark, str(tmp_path / "p"))
     assert publishing.publish_summary(again).first() == publishing.publish_summary(progress).first()
 
@@ -100,3 +101,21 @@ def test_failed_requests(spark):
     )
     assert sorted(r["event_id"] for r in dicts(publishing.failed_requests(requests, results))) == ["e2", "e3"]
     assert dicts(publishing.error_counts(results)) == [{"error_code": "Throttled", "failed_records": 2}]
+
+
+def test_old_records_and_large_totals_end_no_job(spark):
+    """A record read 300 days after its publish; totals beyond eighteen digits."""
+    from decimal import Decimal
+
+    from peakflow.functions.money import grand_total, sales
+    from peakflow.operators.latency import latency_stats
+
+    log = spark.createDataFrame(
+        [("12:00", 300 * 86_400_000.0, 1.0), ("12:00", 5.0, 1.0)],
+        "event_hour string, publish_to_read_latency_ms double, arrival_latency_ms double",
+    )
+    row = next(r for r in latency_stats(log).collect() if r.segment == "all")
+    assert (row.records, float(row.max)) == (2, 300 * 86_400_000.0)
+    big = spark.createDataFrame([(Decimal("9999999999.99"),)], "x decimal(12,2)").selectExpr("x", "explode(sequence(1, 2000000)) AS n")
+    got = big.agg(sales(F.col("x")).alias("s"), grand_total(F.col("x")).alias("g")).first()
+    assert got.s is None and got.g == Decimal("9999999999.99") * 2_000_000

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give, however the input is cut and interrupted."""
 
+import datetime
 import os
 
 import pytest
@@ -10,7 +11,8 @@ from peakflow.operators import dashboard, latency
 from peakflow.operators.items import order_items
 from peakflow.operators.latest import latest_per_key
 from peakflow.sources import payloads, streams, tables
-from peakflow.streaming import pipelines
+from peakflow.sources.evidence import read_latency_csv
+from peakflow.streaming import pipelines, windows
 from peakflow.streaming.live import LiveCounters, run_live
 
 
@@ -90,10 +92,12 @@ def test_stored_copies_can_be_removed(spark):
 
     from peakflow import session
 
-    session.materialise(spark.range(3), "copy")
-    path = Path(session._stored[-1])
-    assert path.exists()
-    session.clear_scratch(spark)
+    session.clear_scratch()
+    with pytest.raises(ValueError), session.scratch():
+        session.materialise(spark.range(3), "copy")
+        path = Path(session._stored[-1][1])
+        assert path.exists()
+        raise ValueError("the query fails")
     assert not path.exists() and not session._stored
 
 
@@ -187,10 +191,10 @@ def test_latency_evidence_from_a_stream(spark, sf_dir, tmp_path):
     records.write.parquet(str(tmp_path / "in"))
     stream = payloads.decode(streams.parquet_stream(spark, str(tmp_path / "in"), records.schema))
     rows = latency.read_latencies(stream, F.col("read_at"), F.col("arrived_at"))
-    pipelines.run_to_evidence(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    back = spark.read.csv(str(tmp_path / "out" / "*"), header=True, inferSchema=True)
+    assert pipelines.run_to_evidence(rows, str(tmp_path / "out"), str(tmp_path / "cp")) == 1000
+    back = read_latency_csv(spark, str(tmp_path / "out" / "*"))
     want = tables.read_log(spark, sf_dir)
-    assert back.count() == want.count()
+    assert sorted(r.records_read for r in back.collect()) == list(range(1, 1001))
     total = "sum(round(publish_to_read_latency_ms * 100))"
     assert back.selectExpr(total).first() == want.selectExpr(total).first()
 
@@ -203,8 +207,48 @@ def test_bounded_observation(spark, sf_dir, tmp_path):
         records.limit(40).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = payloads.decode(streams.parquet_stream(spark, str(tmp_path / "in"), records.schema, 1))
     rows = latency.read_latencies(stream, F.col("read_at"), F.col("arrived_at"))
-    pipelines.run_to_evidence(rows, str(tmp_path / "out"), str(tmp_path / "cp"), max_records=100).awaitTermination()
-    assert spark.read.csv(str(tmp_path / "out" / "*"), header=True).count() == 100
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=50) == 80  # whole batches of 40
+    assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=50) == 80
+    assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=120) == 120
+    assert sorted(r.records_read for r in read_latency_csv(spark, f"{out}/*").collect()) == list(range(1, 121))
+
+
+def test_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("event_hour,records_read\n10:00,1\n")
+    with pytest.raises(Exception):
+        read_latency_csv(spark, str(tmp_path / "log.csv")).collect()
+
+
+def test_stream_from_the_latest_file_on(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "in" / "old"))
+    for file in (tmp_path / "in" / "old").glob("part-*"):
+        os.utime(file, (1_700_000_000, 1_700_000_000))
+    since = datetime.datetime(2024, 1, 1)
+    spark.range(10, 12).coalesce(1).write.parquet(str(tmp_path / "in" / "new"))
+    rows = streams.parquet_stream(spark, str(tmp_path / "in" / "*"), spark.range(0).schema, since=since)
+    pipelines.run_to_parquet(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [10, 11]
+
+
+def test_broken_payloads_stay(spark):
+    rows = spark.createDataFrame([("s", "!!"), ("s", "bm90IGpzb24="), ("s", None)], "partition_key string, data string")
+    assert [r.event_id for r in payloads.decode(rows).collect()] == [None] * 3
+
+
+def test_late_rows_correct_closed_hours(spark, tmp_path):
+    counts = windows.hourly_orders(spark, str(tmp_path / "state"), "1 hour", fold_every=1)
+    batches = [["10:00", "10:50"], ["14:00"], ["10:30", "10:40"], ["14:10"]]
+    for i, times in enumerate(batches):
+        rows = [(f"o{i}-{t}", "s", f"2024-01-01 {t}:00") for t in times]
+        df = spark.createDataFrame(rows, "order_id string, store_id string, event_ts string")
+        df = df.withColumn("event_ts", F.to_timestamp("event_ts"))
+        for _ in range(2):
+            counts.apply(df, i)
+    got = {str(r.hour_start)[11:16]: r.order_count for r in windows.order_counts(counts.read()).collect()}
+    assert got == {"10:00": 4, "14:00": 2}
+    log = counts.log.read().first()
+    assert (log.rows, log.late_rows) == (6, 2)
 
 
 def test_latency_needs_a_publish_time(spark):
