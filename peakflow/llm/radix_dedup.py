@@ -55,7 +55,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         groups = materialise(groups, "radix-groups").withColumnRenamed("part", "_part")
         same = (F.col("part") == F.col("_part")) & (head == F.col("head")) & (ended == F.col("ended"))
         rest = F.when(~F.col("ended"), F.expr(f"substring(rest, {run + 1})"))
-        split = open_rows.join(groups, same, "left").select(
+        # By sorting at every size: the groups grow with the input, so they are not sent to the rows whole.
+        split = open_rows.join(groups.hint("merge"), same, "left").select(
             "doc_id", "text_sha256", "keep_id", "group_size", F.col("next").alias("part"), rest.alias("rest")
         )
         split = materialise(split, "radix-rows")
