@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _U64 = (1 << 64) - 1
 
@@ -49,8 +49,7 @@ def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least `size` of each."""
-    up, down = _powers_of(max(1 << (size - 1).bit_length(), 2 * BLOCK_BYTES))
-    return up, down
+    return _powers_of(-(-size // (2 * BLOCK_BYTES)) * 2 * BLOCK_BYTES)
 
 
 def prefix_hashes(values: np.ndarray) -> np.ndarray:

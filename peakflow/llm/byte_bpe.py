@@ -7,6 +7,7 @@ and only pieces not met before go to the tokenizer library.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -14,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from peakflow.llm.arrow_text import mix, prefix_hashes, span_hashes, utf8
+from peakflow.llm.arrow_text import mix, prefix_hashes, span_hashes
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = range(5)
-_MOST_PIECES = 300_000
+_MOST_PIECES = 1_500_000
 
 
 @lru_cache(maxsize=1)
@@ -61,25 +62,55 @@ def piece_starts(points: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes blocks of texts; keeps the ids of pieces it has met, up to a fixed number."""
+    """Encodes blocks of texts; keeps the ids of pieces it has met, up to a fixed number.
+
+    The pieces are known by a 64-bit hash. Sorted hashes, and for each where its ids lie in one flat
+    array, take few bytes a piece.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, np.ndarray] = {}
         self.values = mix(np.arange(1, 0x110001, dtype=np.uint64))
+        self._forget()
+
+    def _forget(self) -> None:
+        # 0 stands for the mark between texts, which has no ids.
+        self.keys, self.begins, self.sizes = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where known keys stand, and which of the given are known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        found, sizes = [], []
+        for i in range(0, len(pieces), 4096):
+            for e in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False):
+                ids = e.ids
+                found += ids
+                sizes.append(len(ids))
+        sizes = np.array(sizes, np.int64)
+        begins = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.array(found, np.uint32)])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.begins = np.insert(self.begins, at, begins[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where those of each text begin (one entry more); null is empty."""
         import pandas as pd
 
         texts = pc.fill_null(texts, "")
-        data, offsets = utf8(texts)
         # One code point between texts, so that no piece crosses them.
-        joined = b"\n".join([data[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])]) + b"\n"
-        points = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), np.uint32)
+        joined = "\n".join([*texts.to_pylist(), ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lengths + 1) - 1
         edge = np.zeros(len(points), bool)
@@ -92,19 +123,15 @@ class Encoder:
         codes, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        if len(self.known) > _MOST_PIECES:
-            self.known.clear()
-        self.known[0] = np.empty(0, np.uint32)
-        new = [i for i, k in enumerate(distinct.tolist()) if k not in self.known]
-        pieces = [points[starts[first[i]] : stops[first[i]]].tobytes().decode("utf-32-le") for i in new]
-        for i, piece in zip(new, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[int(distinct[i])] = np.array(piece.ids, np.uint32)
-        ids = [self.known[k] for k in distinct.tolist()]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        table = np.concatenate(ids)
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[codes]
+        if len(self.keys) > _MOST_PIECES:
+            self._forget()
+        new = np.flatnonzero(~self._places(distinct)[1])
+        pieces = [joined[a:z] for a, z in zip(starts[first[new]].tolist(), stops[first[new]].tolist())]
+        if pieces:
+            self._learn(distinct[new], pieces)
+        at = self._places(distinct)[0][codes]
+        begins, counts, table = self.begins[at], self.sizes[at], self.ids
         total = np.r_[0, np.cumsum(counts)]
-        out = table[np.repeat(begins[codes] - total[:-1], counts) + np.arange(total[-1])]
+        out = table[np.repeat(begins - total[:-1], counts) + np.arange(total[-1])]
         bounds = total[np.searchsorted(starts, np.r_[0, ends])]
         return out, bounds

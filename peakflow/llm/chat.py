@@ -12,6 +12,7 @@ back as it was. Roles are percent-encoded.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote, unquote
@@ -76,6 +77,7 @@ def loss_spans(tokens: np.ndarray, learned: np.ndarray) -> np.ndarray:
 
 def _format(path: str | None, learn: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
