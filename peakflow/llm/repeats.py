@@ -12,7 +12,8 @@ suffixes would bring such places together; here only those are sorted that can h
    at the same distance make a bucket. A mergesort over all buckets at once compares two suffixes by
    prefix polynomial hashes: a binary search finds how far they agree, the next byte decides.
    Neighbours that agree for `length` bytes are verified byte by byte. A bucket where a hash has
-   misled the order is settled by its bytes.
+   misled the order is settled by its bytes. Under a gram with more than MOST_VARIANTS variants the
+   windows are counted one by one, over all tasks, instead.
 
 Windows of a text depend on the text alone, so texts are known by a hash, and copies share results.
 """
@@ -32,6 +33,7 @@ from peakflow.session import materialise
 
 GRAM = 32
 BITMAP_BITS = 1 << 25
+MOST_VARIANTS = 20_000
 _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
@@ -293,6 +295,40 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _window_rows(length: int):
+    """Each window of a variant with two hashes of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "bytes"):
+            data, offsets = utf8(batch.column("bytes"))
+            windows = np.diff(offsets) - length + 1
+            owner = np.repeat(np.arange(len(windows)), windows)
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = offsets[owner] + start
+            ids = [span_hashes(prefix_hashes(v[data]), at, at + length) for v in (BYTE_VALUES, mix(BYTE_VALUES))]
+            rest = batch.select(["key", "content", "copies"]).take(pa.array(owner))
+            columns = [*rest.columns, pa.array(start), *(pa.array(signed(mix(x))) for x in ids)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "content", "copies", "start", "first_id", "second_id"])
+
+    return run
+
+
+def _spread_spans(variants: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of variants under a gram that has too many of them for one task to sort.
+
+    Every window is counted by 128 bits of hash, summed up before the rows are dealt; a window that
+    very many variants share is then joined back by sorting, where Spark splits the hot key.
+    """
+    ids = ["first_id", "second_id"]
+    rows = variants.select("key", "content", "copies", "bytes").mapInArrow(
+        _window_rows(length), "key long, content long, copies long, start long, first_id long, second_id long"
+    )
+    rows = materialise(rows, "windows")
+    repeated = rows.groupBy(*ids).agg(F.sum("copies").alias("times")).where("times > 1")
+    span = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + length).cast("int").alias("end"))
+    return rows.join(repeated, ids).groupBy("key", "content").agg(F.collect_list(span).alias("spans"))
+
+
 def repeated_spans(texts: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
     """(text_id, spans): for rows (text_id, text), the bytes to remove; spans may overlap.
 
@@ -315,15 +351,16 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Dat
         F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"),
     )
     variants = materialise(variants, "variants")
-    grams = variants.groupBy("key").agg(F.count("*").alias("variants"))
-    several = grams.where("variants > 1").select("key")
-    sort = variants.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    grams = materialise(variants.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1"), "grams")
+    few = grams.where(F.col("variants") <= MOST_VARIANTS).select("key")
+    sort = variants.join(few, "key", "left_semi").repartition("key").sortWithinPartitions("key")
     sort = sort.select("key", "content", "copies", "anchor", "bytes")
     spans = "array<struct<start:int,end:int>>"
     found = sort.mapInArrow(_sort_variants(length), f"key long, content long, spans {spans}").where(F.size("spans") > 0)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end"))).cast(spans)
-    alone = variants.where("copies > 1").join(several, "key", "left_anti").select("key", "content", whole.alias("spans"))
-    verdicts = materialise(found.unionAll(alone), "verdicts")
+    alone = variants.where("copies > 1").join(grams, "key", "left_anti").select("key", "content", whole.alias("spans"))
+    many = variants.join(grams.where(F.col("variants") > MOST_VARIANTS), "key", "left_semi")
+    verdicts = materialise(found.unionAll(alone).unionAll(_spread_spans(many, length)), "verdicts")
     spread = members.select("key", "content", "text_id", "start").join(verdicts, ["key", "content"])
     placed = spread.select("text_id", "start", F.explode("spans").alias("span")).select(
         "text_id",

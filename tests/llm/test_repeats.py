@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 import brute
-from peakflow.llm.repeats import SuffixSort, remove_repeats, repeated_spans
+from peakflow.llm import repeats
+from peakflow.llm.repeats import SuffixSort, remove_repeats
 from rows import empty_frame, odd_documents, odd_frame
 
 
@@ -31,6 +32,16 @@ def test_equals_brute_force(spark, letters):
     assert found(df, 20, 6) == wanted(docs, 20)
 
 
+def test_grams_with_many_variants_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_VARIANTS", 2)
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcd") for _ in range(60))
+    docs = {i: "".join(rng.choice("abcd") for _ in range(30)) + shared + "".join(rng.choice("abcd") for _ in range(9)) for i in range(25)}
+    docs |= {50: docs[3], 51: docs[4][10:], 52: shared * 2}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert found(df, 20, 6) == wanted(docs, 20)
+
+
 def test_odd_rows(spark):
     rows = remove_repeats(odd_frame(spark, extra=True)).collect()
     assert len(rows) == 32
