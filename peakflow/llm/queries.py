@@ -18,7 +18,27 @@ from peakflow.llm.repeats import remove_repeats
 from peakflow.llm.suffix_tree import suffix_tree_scores
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, sh FROM (
+            SELECT doc_id, array_to_string(ws[i : least(i + 4, len(ws))], ' ') AS sh
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws) + 1, 2)))) AS i FROM w))
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id
+          GROUP BY x.doc_id, y.doc_id),
+    links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, seen) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.seen = ways.a
+    ), smallest AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+    SELECT smallest.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+    FROM smallest LEFT JOIN n ON smallest.doc_id = n.doc_id
+    """
+)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
