@@ -26,7 +26,7 @@ def random_family(seed, count=60):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_components_equal_all_pairs(spark, seed):
     docs = random_family(seed)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
