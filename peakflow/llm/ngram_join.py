@@ -38,6 +38,8 @@ from peakflow.session import materialise
 BAND_RATIO = 1.6
 LEAST_BITS = 512
 CELL_ROWS = 4096
+TASKS_OF_A_HEAD = 4
+_PAIRS_IN_MIND = 1_000_000
 _BITMAP_BITS = 1 << 23
 _SHARED = ["signature", "set_id", "head", "place"]
 
@@ -227,7 +229,7 @@ def _pairs_in_cells(threshold: Fraction, best_only: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, seen = None, set()
         for batch in batches:
             rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             key = np.stack([rows.column(c).to_numpy() for c in ("signature", "low", "high")])
@@ -235,11 +237,11 @@ def _pairs_in_cells(threshold: Fraction, best_only: bool):
                 continue
             last = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])[-1]
             held = rows.slice(last)
-            yield pairs(rows.slice(0, last))
+            yield pairs(rows.slice(0, last), seen)
         if held is not None:
-            yield pairs(held)
+            yield pairs(held, seen)
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    def pairs(rows: pa.Table, seen: set[tuple[int, int]]) -> pa.RecordBatch:
         found = []
         if len(rows) > 1:
             rows = rows.combine_chunks()
@@ -272,6 +274,11 @@ def _pairs_in_cells(threshold: Fraction, best_only: bool):
                 same = (all_["low"][1:] == all_["low"][:-1]) & (all_["high"][1:] == all_["high"][:-1])
                 all_ = all_[np.r_[True, ~same]] if len(all_) else all_
             both = np.unique(np.sort(np.stack([all_["a"], all_["b"]]), axis=0), axis=1)
+            if len(seen) > _PAIRS_IN_MIND:
+                seen.clear()
+            new = [p not in seen for p in zip(*both.tolist())]
+            both = both[:, np.array(new, bool)]
+            seen.update(zip(*both.tolist()))
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return run
@@ -361,9 +368,11 @@ def _open_pairs(rows: DataFrame, facts: DataFrame, labels: DataFrame, threshold:
     open_rows = placed.join(mixed, "signature").withColumn("chunk", chunk).join(facts, "set_id")
     cells = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "signature", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        "set_id", "component", "n_shingles", "chunk", "sketch",
+        "set_id", "component", "n_shingles", "chunk", "sketch", "head",
     )
-    cells = cells.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
+    # Signatures that similar sets share have mostly one head, so a pair meets itself in few tasks.
+    near = F.pmod("signature", F.lit(TASKS_OF_A_HEAD))
+    cells = cells.repartition("head", near, "low", "high").sortWithinPartitions("signature", "low", "high")
     pairs = cells.mapInArrow(_pairs_in_cells(threshold, best_only), "a long, b long")
     return materialise(pairs.distinct(), "open-pairs")
 
@@ -402,7 +411,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
 
     # First the closest pair of any two components, then, where they are still apart, all their pairs.
     several = rows.where("place = 2").select("signature")  # of two sets, the smaller was the other's head
-    rows = materialise(rows.select("signature", "set_id").join(several, "signature", "left_semi"), "several")
+    rows = materialise(rows.drop("place").join(several, "signature", "left_semi"), "several")
     for best_only in (True, False):
         pairs = _open_pairs(rows, facts, labels, share, best_only)
         links = materialise(links.union(_verified(docs, pairs, size, share)), "links")
