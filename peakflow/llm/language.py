@@ -118,7 +118,8 @@ class Model:
         begins[words.first[:-1][words.first[:-1] < len(words.codes)]] = True
         probability, _, _ = posteriors(self.scores(words)[words.codes], begins, self.moves, self.opens)
         letters = (words.end - words.start)[words.codes]
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(probability * letters[:, None], axis=0, dtype=float)])
+        sums = np.cumsum(probability * letters[:, None], axis=0, dtype=float)
+        sums = np.concatenate([np.zeros((1, len(self.languages))), sums])
         share = sums[words.first[1:]] - sums[words.first[:-1]]
         total = share.sum(axis=1)
         best = share.argmax(axis=1)

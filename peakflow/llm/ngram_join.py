@@ -420,6 +420,5 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     classes = info.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     classes = materialise(classes.withColumn("component", F.coalesce("component", "set_id")), "classes")
     smallest = classes.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return classes.join(smallest, "component", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return classes.join(smallest, "component", "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -7,7 +7,7 @@ import pytest
 import brute
 from peakflow.llm import ngram_join
 from peakflow.llm.ngram_join import PartEnum, jaccard_components, sketch_difference, sketches
-from rows import SCHEMA, empty_frame, odd_frame, words_at
+from rows import empty_frame, odd_frame, words_at
 
 
 def found(df):
