@@ -216,7 +216,8 @@ def document_lines(sections: DataFrame) -> DataFrame:
             "section", F.lit(part).alias("part"), F.lit(0.0).alias("weight"), F.lit("").alias("entry_key"), line.alias("line")
         )
 
-    entries = sections.join(firsts, "section").select("section", F.lit(1).alias("part"), "weight", "entry_key", entry.alias("line"))
+    named = ["section", F.lit(1).alias("part"), "weight", "entry_key", entry.alias("line")]
+    entries = sections.join(firsts, "section").select(*named)
     return entries.unionByName(frame(0, opening)).unionByName(frame(2, closing))
 
 
