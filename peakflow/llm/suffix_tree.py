@@ -7,11 +7,11 @@ its own; what is left of its mass goes to the other symbols in proportion to the
 the empty context smooths all word counts. A token is scored in the state of the longest suffix of
 what stands before it.
 
-The tree has a proven bound: at most 1 / `least_share` contexts of a length exist that make up
-`least_share` of all tokens, and at most 1 / `least_next` symbols of probability `least_next` in each.
-So the tree is sent to the tasks. Word counts have no bound and are never sent whole: documents
-are stored in blocks, and the distinct words of a block meet the counts of all blocks by word, then
-come back to their block.
+The tree grows with the corpus: every context seen `least_count` times can be a state, and a kept
+context lists all that followed it. So neither the tree nor the word counts are ever sent whole.
+Documents are stored in blocks. What a block has seen (its distinct words, and for each length the
+distinct pairs of a context and its symbol, already added up) meets that of all blocks by word or
+pair, and the sums come back to the block. A block that had all occurrences needs no answer.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,179 +107,135 @@ def _member(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == asked, at, -1)
 
 
-def _followers(depth: int, contexts: np.ndarray, symbols: np.ndarray):
-    """Counts of (context, symbol) in training documents, for given contexts and symbols, summed up by task.
-
-    c1, c2, ... are the hashes of the contexts of length 1, 2, ... up to `depth`, which is counted;
-    `longer` is the context that the symbol would make with it.
-    """
-    names = [*(f"c{d}" for d in range(1, depth + 1)), "symbol", "longer"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, counts, limit = np.empty((0, len(names)), np.uint64), np.empty(0, np.int64), 1 << 20
-        for batch in blocks(batches):
-            learn = pc.invert(batch.column("held_out"))
-            hashes, bounds = tokens_of(batch.column("text").filter(learn))
-            shorter = [contexts_of(hashes, bounds, d)[0] for d in range(1, depth)]
-            context, inside = contexts_of(hashes, bounds, depth)
-            asked = np.flatnonzero(inside)
-            asked = asked[_member(contexts, context[asked]) >= 0]
-            asked = asked[_member(symbols, hashes[asked]) >= 0]
-            longer, _ = contexts_of(np.r_[hashes, END], np.r_[bounds[:-1], len(hashes) + 1], depth + 1)
-            rows = np.stack([x[asked] for x in (*shorter, context, hashes, longer[1:])], axis=1)
-            kept, counts = np.concatenate([kept, rows]), np.concatenate([counts, np.ones(len(rows), np.int64)])
-            if len(kept) > limit:
-                kept, counts = _summed(kept, counts)
-                limit = max(1 << 20, 2 * len(kept))
-        kept, counts = _summed(kept, counts)
-        cells = [pa.array(np.ascontiguousarray(kept[:, i]).view(np.int64)) for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays([*cells, pa.array(counts)], [*names, "n"])
-
-    return run
-
-
-def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(rows):
-        return rows, counts
-    order = np.lexsort((rows[:, -1], rows[:, -2]))  # symbol and longer context tell all apart
-    rows, counts = rows[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (rows[1:, -2:] != rows[:-1, -2:]).any(axis=1)])
-    return rows[first], np.add.reduceat(counts, first)
+def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context * _CONTEXT_STEP + symbol)
 
 
 @dataclass
-class Level:
-    """The kept contexts of one length: what each leaves to the shorter context, and its own symbols."""
-
-    contexts: np.ndarray  # sorted
-    left: np.ndarray
-    pairs: np.ndarray  # hash of context and symbol, sorted
-    chances: np.ndarray
+class Walk:
+    """The tokens of a block, scored level by level by what is known of its words, pairs and contexts."""
 
-    def step(self, context: np.ndarray, symbol: np.ndarray, state: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probability of each symbol where the context has a state here, else that of the shorter one."""
-        out = shorter.copy()
-        at = np.flatnonzero(state >= 0)
-        own = _member(self.pairs, _pair(context[at], symbol[at]))
-        out[at] = self.left[state[at]] * shorter[at]
-        out[at[own >= 0]] = self.chances[own[own >= 0]]
-        return out
-
-
-@dataclass
-class Tree:
     tokens: int
     distinct: int
-    levels: list[Level]
+    least_count: int
+    discount: float
+
+    def start(self, docs: pa.Table, known: pa.Table) -> None:
+        self.hashes, self.bounds = tokens_of(docs.column("text").combine_chunks())
+        self.learn = np.repeat(~docs.column("held_out").to_numpy(), np.diff(self.bounds))
+        what = known.column("what").to_numpy()
+        self.key, self.value = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy()
+        self.rows = {w: np.flatnonzero(what == w) for w in np.unique(what).tolist()}
+        distinct, codes = np.unique(self.hashes, return_inverse=True)
+        words, counts = self.answers(0)
+        self.seen = counts[np.searchsorted(words, distinct)].astype(np.int64)[codes]
+        self.before = self.seen  # how often each token and the context before it were seen
+        self.chance = self.root = (self.seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+        self.open = np.ones(len(self.hashes), bool)
+
+    def answers(self, what: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of a kind and their values."""
+        rows = self.rows.get(what, np.empty(0, np.int64))
+        rows = rows[np.argsort(self.key[rows])]
+        return self.key[rows], self.value[rows]
+
+    def pairs(self, depth: int) -> None:
+        """The pairs of this length: the tokens that have a context that may be a state, and their distinct pairs."""
+        context, inside = contexts_of(self.hashes, self.bounds, depth)
+        total = np.r_[0, self.before[:-1]]  # a context was seen as often as its last word after the others
+        self.at = np.flatnonzero(inside & self.open & (total >= self.least_count))
+        self.context, self.total = context[self.at], total[self.at]
+        self.distinct_pairs, self.first, self.codes = np.unique(
+            _pair(self.context, self.hashes[self.at]), return_index=True, return_inverse=True
+        )
+        self.own = np.bincount(self.codes[self.learn[self.at]], minlength=len(self.distinct_pairs))
+
+    def step(self, depth: int) -> None:
+        """Score the tokens whose context of this length is a state."""
+        self.pairs(depth)
+        asked, counts = self.answers(2 * depth - 1)
+        place, n = _member(asked, self.distinct_pairs), self.own.copy()
+        n[place >= 0] = counts[place[place >= 0]]
+        n = n[self.codes]
+        contexts, left = self.answers(2 * depth)
+        state = _member(contexts, self.context)
+        kept, at = state >= 0, self.at[state >= 0]
+        shorter = self.chance[at]
+        self.chance = self.chance.copy()
+        self.chance[at] = np.where(
+            n[kept] > 0, (n[kept] - self.discount) / self.total[kept], left[state[kept]] * shorter
+        )
+        self.before = np.zeros(len(self.hashes), np.int64)
+        self.before[self.at] = n
+        self.open = np.zeros(len(self.hashes), bool)  # a longer context is kept only with its suffix
+        self.open[at] = True
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
 
-    def chance(self, hashes: np.ndarray, bounds: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Probability of each token in the state of the longest suffix before it."""
-        chance, open_ = root, np.ones(len(hashes), bool)
-        for depth, level in enumerate(self.levels, 1):
-            context, inside = contexts_of(hashes, bounds, depth)
-            state = np.full(len(hashes), -1, np.int64)
-            asked = np.flatnonzero(open_ & inside)
-            state[asked] = _member(level.contexts, context[asked])
-            chance = level.step(context, hashes, state, chance)
-            open_ = state >= 0  # a longer context is kept only with its suffix
-        return chance
+def _block_pairs(walk: Walk, depth: int):
+    """(block, context, pair, n, shorter): distinct pairs of a block, and with n = -1 the contexts it asks for."""
+    names = ["block", "context", "pair", "n", "shorter"]
 
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.float64())], names)
+        docs, block = docs.combine_chunks(), docs.column("block")[0].as_py()
+        walk.start(docs, known)
+        for d in range(1, depth):
+            walk.step(d)
+        walk.pairs(depth)
+        asked = np.unique(walk.context)
+        alone = mix(asked + mix(np.array([block + 1], np.uint64)))  # a key of its own, so that no task has all of them
+        return pa.table(
+            [
+                pa.array(np.full(len(walk.first) + len(asked), block, np.int64)),
+                pa.array(np.r_[walk.context[walk.first], asked].view(np.int64)),
+                pa.array(np.r_[walk.distinct_pairs, alone].view(np.int64)),
+                pa.array(np.r_[walk.own, np.full(len(asked), -1)].astype(np.int64)),
+                pa.array(np.r_[walk.chance[walk.at[walk.first]], np.zeros(len(asked))]),
+            ],
+            names,
+        )
 
-def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context * _CONTEXT_STEP + symbol)
+    return run
 
 
-def learn_tree(
-    stored: DataFrame,
-    counted: DataFrame,
-    depth: int,
-    least_share: float,
-    least_next: float,
-    least_divergence: float,
-    discount: float,
-) -> Tree:
-    """Grow the tree level by level; a level reads the training documents once."""
-    facts = counted.agg(F.sum("n").alias("tokens"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct")).first()
-    tokens, distinct = facts.tokens or 0, facts.distinct or 0
-    tree = Tree(tokens, distinct, [])
-    if not tokens:
-        return tree
-    # Symbols that can have `least_next` in some context: at most 1 / (least_share * least_next).
-    often = counted.where(F.col("first") & (F.col("c") >= max(least_share * least_next * tokens, 1)))
-    often = often.select("word", "c").toArrow()
-    symbols, count = often.column("word").to_numpy().view(np.uint64), often.column("c").to_numpy()
-    order = np.argsort(symbols)
-    symbols, count = symbols[order], count[order]
-    first = np.flatnonzero((count >= least_share * tokens) & (symbols != END))
-    # Each word followed by itself, to have the hash of the context that is the word alone.
-    contexts = contexts_of(np.repeat(symbols[first], 2), np.arange(0, 2 * len(first) + 1, 2), 1)[0][1::2]
-    totals = count[first]
-    for level in range(1, depth + 1):
-        order = np.argsort(contexts)
-        contexts, totals = contexts[order], totals[order]
-        names = [f"c{d}" for d in range(1, level + 1)]
-        found = stored.select("held_out", "text").mapInArrow(
-            _followers(level, contexts, symbols), ", ".join(f"{c} long" for c in [*names, "symbol", "longer", "n"])
-        )
-        found = found.groupBy(*names, "symbol", "longer").agg(F.sum("n").alias("n"))
-        total = F.sum("n").over(Window.partitionBy(names[-1]))
-        listed = found.withColumn("total", total).where(
-            F.col("n") >= F.least(F.lit(least_share * tokens), least_next * F.col("total"))
-        )
-        listed = listed.select(*names, "symbol", "longer", "n").toArrow()
-        if not len(listed):
-            break
-        chain = [listed.column(c).to_numpy().view(np.uint64) for c in names]
-        symbol, longer = (listed.column(c).to_numpy().view(np.uint64) for c in ("symbol", "longer"))
-        n = listed.column("n").to_numpy()
-        shorter, known = tree.root(count[_member(symbols, symbol)]), np.ones(len(symbol), bool)
-        for context, grown in zip(chain, tree.levels):
-            state = _member(grown.contexts, context)
-            known &= state >= 0
-            shorter = grown.step(context, symbol, state, shorter)
-        state = _member(contexts, chain[-1])
-        own = (n - discount) / totals[state]
-
-        def summed(x: np.ndarray) -> np.ndarray:
-            return np.bincount(state, x, minlength=len(contexts))
-
-        left, left_shorter = 1 - summed(own), np.maximum(1 - summed(shorter), 1e-12)
-        gain = summed(own * np.log2(own / shorter)) + left * np.log2(np.maximum(left, 1e-12) / left_shorter)
-        keep = (gain >= least_divergence) & (summed(~known) == 0)
-        pairs, order = np.unique(_pair(chain[-1], symbol)[keep[state]], return_index=True)
-        tree.levels.append(Level(contexts[keep], (left / left_shorter)[keep], pairs, own[keep[state]][order]))
-        grow = keep[state] & (n >= least_share * tokens) & (symbol != END)
-        contexts, totals = longer[grow], n[grow]
-        if not len(contexts):
-            break
-    return tree
-
-
-def _score_block(tree: Tree):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+def _answers(counted: DataFrame, level: int, least_divergence: float, discount: float) -> DataFrame:
+    """What blocks are told: counts of pairs that others had too, and what kept contexts leave to the shorter one."""
+    told = counted.where((F.col("n") >= 0) & (F.col("c") != F.col("n")))
+    told = told.select("block", F.lit(2 * level - 1).alias("what"), F.col("pair").alias("key"), F.col("c").cast("double").alias("value"))
+    own = F.col("c") - F.lit(discount)
+    stats = counted.where("first AND n >= 0 AND c > 0").groupBy("context").agg(
+        F.sum("c").alias("total"),
+        F.sum(own).alias("own"),
+        F.sum("shorter").alias("shorter"),
+        F.sum(own * F.log2(own / F.col("shorter"))).alias("bits"),
+    )
+    left, left_shorter = 1 - F.col("own") / F.col("total"), F.greatest(1 - F.col("shorter"), F.lit(1e-12))
+    gain = (F.col("bits") - F.col("own") * F.log2("total")) / F.col("total")
+    gain = gain + left * F.log2(F.greatest(left, F.lit(1e-12)) / left_shorter)
+    kept = stats.where(gain >= least_divergence).select("context", (left / left_shorter).alias("value"))
+    asked = counted.where("n < 0").select("block", "context").join(kept, "context")
+    return told.unionAll(asked.select("block", F.lit(2 * level).alias("what"), F.col("context").alias("key"), "value"))
+
+
+def _score_block(walk: Walk, depth: int):
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         if not len(docs):
             return docs.select(["doc_id", "held_out"]).slice(0, 0)
-        hashes, bounds = tokens_of(docs.column("text").combine_chunks())
-        word, c = counts.column("word").to_numpy().view(np.uint64), counts.column("c").to_numpy()
-        order = np.argsort(word)
-        distinct, codes = np.unique(hashes, return_inverse=True)
-        c = c[order][np.searchsorted(word[order], distinct)][codes]
-        root = tree.root(c)
-        score = np.log10(tree.chance(hashes, bounds, root))
-        begins = bounds[:-1]
+        walk.start(docs, known)
+        for d in range(1, depth + 1):
+            walk.step(d)
+        begins = walk.bounds[:-1]
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
                 "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(np.diff(bounds)),
-                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)),
-                "train_tokens": pa.array(np.full(len(docs), tree.tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(np.log10(root), begins)),
-                "score": pa.array(np.add.reduceat(score, begins)),
+                "n_tokens": pa.array(np.diff(walk.bounds)),
+                "n_known": pa.array(np.add.reduceat((walk.seen > 0).astype(np.int64), begins)),
+                "train_tokens": pa.array(np.full(len(docs), walk.tokens, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10(walk.root), begins)),
+                "score": pa.array(np.add.reduceat(np.log10(walk.chance), begins)),
             }
         )
 
@@ -290,8 +245,7 @@ def _score_block(tree: Tree):
 def suffix_tree_scores(
     docs: DataFrame,
     depth: int = 2,
-    least_share: float = 2e-4,
-    least_next: float = 2e-3,
+    least_count: int = 4,
     least_divergence: float = 0.01,
     discount: float = 0.5,
 ) -> DataFrame:
@@ -315,8 +269,28 @@ def suffix_tree_scores(
         ),
         "lm-counts",
     )
-    tree = learn_tree(stored, counted, depth, least_share, least_next, least_divergence, discount)
-    return stored.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(
-        _score_block(tree),
+    facts = counted.agg(F.sum("n").alias("tokens"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct")).first()
+    walk = Walk(facts.tokens or 0, facts.distinct or 0, least_count, discount)
+    depth = depth if walk.tokens else 0
+    known = counted.select("block", F.lit(0).alias("what"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    by_pair = Window.partitionBy("pair")
+    for level in range(1, depth + 1):
+        found = stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+            _block_pairs(walk, level), "block long, context long, pair long, n long, shorter double"
+        )
+        found = found.withColumns(
+            {"c": F.sum("n").over(by_pair), "first": F.row_number().over(by_pair.orderBy("block")) == 1}
+        )
+        told, once = F.col("c") != F.col("n"), F.col("first") & (F.col("c") != 0)
+        found = found.where(told | once).select(  # only what is read again is stored
+            F.when(told | (F.col("n") < 0), F.col("block")).alias("block"),
+            F.when(once, F.col("context")).alias("context"),
+            F.when(told, F.col("pair")).alias("pair"),
+            "n", "c", F.when(once, F.col("shorter")).alias("shorter"), "first",
+        )
+        answers = _answers(materialise(found, "lm-pairs"), level, least_divergence, discount)
+        known = known.unionAll(materialise(answers, "lm-answers") if level < depth else answers)
+    return stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        _score_block(walk, depth),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import brute
+from peakflow.llm import suffix_tree
 from peakflow.llm.suffix_tree import suffix_tree_scores
 from rows import empty_frame, odd_documents, odd_frame
 
@@ -86,3 +87,29 @@ def test_nothing_to_learn_from(spark):
     asked = next(i for i in range(100) if not in_training(i))
     [row] = suffix_tree_scores(spark.createDataFrame([(asked, "a b")], "doc_id long, text string")).collect()
     assert (row.n_known, row.train_tokens, row.n_tokens) == (0, 0, 3) and row.base_score == row.score == 0
+
+
+def test_rare_contexts_are_states_however_large_the_corpus(spark, monkeypatch):
+    """3,000 words with a follower of their own, each 1 / 6,700 of all tokens, seen in several blocks."""
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 1 << 16)
+    ids = [i for i in range(20_000) if in_training(i)][:10]
+    pairs = [" ".join(f"x{j} y{j}" for j in np.random.default_rng(i).permutation(3000)) for i in ids]
+    asked = next(i for i in range(20_000) if not in_training(i))
+    df = spark.createDataFrame([*zip(ids, pairs), (asked, "x7 y7")], "doc_id long, text string")
+    row = next(r for r in suffix_tree_scores(df.repartition(4), depth=1).collect() if r.held_out)
+    root = 10.5 / (60_010 + 0.5 * (6001 + 1))  # all words, and the end, are there ten times
+    after = Counter(([*p.split(), END] * 2)[p.split().index("y7") + 1] for p in pairs)
+    left = 0.5 * len(after) / 10 / (1 - len(after) * root)
+    end = (after[END] - 0.5) / 10 if END in after else left * root
+    assert (row.train_tokens, row.n_known, row.n_tokens) == (60_010, 3, 3)
+    assert row.base_score == pytest.approx(3 * math.log10(root), rel=1e-9)
+    assert row.score == pytest.approx(math.log10(root) + math.log10(0.95) + math.log10(end), rel=1e-9)
+
+
+def test_scores_do_not_depend_on_blocks(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = {r.doc_id: r.score for r in suffix_tree_scores(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 1 << 14)
+    cut = {r.doc_id: r.score for r in suffix_tree_scores(docs.repartition(3)).collect()}
+    assert cut.keys() == whole.keys()
+    assert all(cut[d] == pytest.approx(whole[d], rel=1e-9) for d in whole)
