@@ -14,7 +14,7 @@ from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
 from peakflow.streaming import windows
 from peakflow.streaming.live import LiveCounters, run_live
-from peakflow.streaming.pipelines import latest_state, run_to_evidence, run_to_parquet, without_duplicates
+from peakflow.streaming.pipelines import distinct_state, latest_state, run_to_evidence, run_upserts
 
 ALARM_RECORDS = 2
 LIVE_SECTIONS = SECTIONS.replace(
@@ -223,12 +223,6 @@ def _event_stream(spark, sf_dir, home):
     return tables.from_event_table(streams.parquet_stream(spark, f"{path}/*", source.schema, files_per_batch=1))
 
 
-def _streamed(spark, rows, home):
-    """Run a stream over all that is there, appending to a table, and read the table."""
-    run_to_parquet(rows, f"{home}/rows", f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{home}/rows")
-
-
 @query(
     EVENTS
     + """ SELECT date_trunc('hour', event_ts) AS hour_start, store_id, count(DISTINCT order_id) AS order_count FROM ev
@@ -257,11 +251,13 @@ def stream_ingestion_alarm(spark, sf_dir):
 
 @query(EVENTS + " SELECT DISTINCT event_id FROM ev")
 def stream_dedup(spark, sf_dir):
-    """Every event arrives twice, the copy five minutes later; the watermark spans all landings."""
+    """Every event arrives twice, the copy five minutes later, in landings that go back in time by any span."""
     home = scratch_path(spark, "dedup-stream")
     events = _event_stream(spark, sf_dir, home).select("event_id", "event_ts")
     again = events.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 5 MINUTES"))
-    return _streamed(spark, without_duplicates(events.unionByName(again), "60 days").select("event_id"), home)
+    seen = distinct_state(spark, f"{home}/state", events.select("event_id"), fold_every=2)
+    run_upserts(events.unionByName(again).select("event_id"), seen, f"{home}/checkpoint").awaitTermination()
+    return seen.read()
 
 
 def _answered(events):

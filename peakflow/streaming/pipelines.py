@@ -87,6 +87,11 @@ def latest_state(
     return StateTable(spark, path, like.schema, lambda rows: latest_per_key(rows, keys, newest), fold_every)
 
 
+def distinct_state(spark: SparkSession, path: str, like: DataFrame, fold_every: int = 20) -> StateTable:
+    """Each row once over all batches so far, however late its copies come: no watermark forgets it."""
+    return StateTable(spark, path, like.schema, DataFrame.distinct, fold_every)
+
+
 def run_upserts(rows: DataFrame, state: StateTable, checkpoint: str) -> StreamingQuery:
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         state.apply(batch_id, batch)

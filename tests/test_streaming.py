@@ -152,6 +152,18 @@ def test_duplicates_within_the_watermark(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
 
 
+def test_dedup_does_not_depend_on_the_span_of_the_table(spark, sf_dir, tmp_path):
+    """Events over a year: landings go back in time by far more than any fixed watermark."""
+    from peakflow.plans.stream_queries import stream_dedup
+
+    source = tables.table(spark, sf_dir, "events")
+    days = F.make_dt_interval(F.col("event_id") % 365)
+    source.withColumn("ts", F.col("ts") + days).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    got = [r.event_id for r in stream_dedup(spark, str(tmp_path / "sf")).collect()]
+    want = {str(r.event_id) for r in source.select("event_id").collect()}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_hourly_counts_on_a_stream(spark, tmp_path):
     """Two events of one order in one hour count once; an event behind the watermark is left out."""
     folder = tmp_path / "in"
