@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A vector is scaled by the largest norm and given one more coordinate that makes it a unit vector, so
-that the largest inner product is the nearest direction whatever the lengths. A table turns it by
+Vectors are put into bands of like length. A vector is scaled by the largest norm of its band and
+given one more coordinate that makes it a unit vector; a query is scaled to length one and gets a 0
+there, so that within a band the largest inner product is the nearest direction. A table turns it by
 three rounds of random signs and a Hadamard transform, and its bucket is the nearest signed axis. A
-query looks into the buckets of its nearest axes, in every table; what lies there is ranked by the
-exact inner product of the original vectors.
+query looks into the buckets of its nearest axes, in every table and band; what lies there is ranked
+by the exact inner product of the original vectors. Of a band with few rows it looks at all, in one
+table.
 
 The vectors of a table are dealt to cells by groups of buckets. A group with more rows than a cell
 should hold is cut at random, and its queries go to every part; very many queries are cut into
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 from peakflow.session import materialise
 
 TABLES = 6
-LEAST_PROBES = 32
+LEAST_PROBES = 40
 LEAST_CANDIDATES = 600
+BAND_RATIO = 1.25
+MOST_BANDS = 32  # the shortest vectors share the last one
+FEW_ROWS = 2_400
 GROUPS = 4
 CELL_ROWS = 16_384
 CELL_QUERIES = 4_096
@@ -70,53 +75,82 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def nearness(vectors: np.ndarray, longest: float, table: int) -> np.ndarray:
-    """How near each vector lies to each signed axis of a table: 2 x width columns."""
-    scaled = vectors / longest
-    rest = np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))
+def nearness(vectors: np.ndarray, last: np.ndarray | float, table: int) -> np.ndarray:
+    """How near each vector, with one coordinate more, lies to each signed axis of a table: 2 x width columns."""
     width = 1 << vectors.shape[1].bit_length()  # room for one coordinate more
     x = np.zeros((len(vectors), width))
-    x[:, : vectors.shape[1]] = scaled
-    x[:, vectors.shape[1]] = rest
+    x[:, : vectors.shape[1]] = vectors
+    x[:, vectors.shape[1]] = last
     signs = np.random.default_rng([8, table]).choice([-1.0, 1.0], (3, width))
     for s in signs:
         x = hadamard(x * s)
     return np.concatenate([x, -x], axis=1)
 
 
-def _buckets(longest: float, tables: int):
+def _steps(vectors: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """The norm of each vector, and how many times `BAND_RATIO` it is below the longest."""
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    return norms, np.floor(np.log(longest / norms) / np.log(BAND_RATIO) + 1e-9).astype(np.int32)
+
+
+def _band_sizes(longest: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                norms, step = _steps(_matrix(batch.column("vector")), longest)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(norms)], ["step", "norm"])
+
+    return run
+
+
+def _buckets(longest: float, steps: np.ndarray, norm: np.ndarray, few: np.ndarray, tables: int):
+    """The bucket of each vector in each table, counted on from band to band; bands of few rows are in table 0 only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = _matrix(batch.column("vector"))
+            band = np.minimum(np.searchsorted(steps, _steps(vectors, longest)[1]), len(steps) - 1)
+            scaled = vectors / norm[band][:, None]
+            rest = np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))
             for t in range(tables):
-                bucket = nearness(vectors, longest, t).argmax(axis=1)
+                here = np.flatnonzero(~few[band] | (t == 0))
+                if not len(here):
+                    continue
+                near = nearness(scaled[here], rest[here], t)
+                bucket = near.argmax(axis=1) + band[here] * near.shape[1]
+                rows = batch.take(pa.array(here))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(bucket), t, np.int32)), pa.array(bucket.astype(np.int32)), *batch.columns],
+                    [pa.array(np.full(len(here), t, np.int32)), pa.array(bucket.astype(np.int32)), *rows.columns],
                     ["table", "bucket", "vec_id", "vector"],
                 )
 
     return run
 
 
-def _probes(longest: float, counts: np.ndarray, groups: int):
-    """For each query, table and group the buckets to look into."""
+def _probes(counts: np.ndarray, few: np.ndarray, groups: int):
+    """For each query, table and group the buckets to look into; every band has `groups` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, buckets = counts.shape
+        tables, bands, buckets = counts.shape
         per_group = buckets // groups
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = _matrix(batch.column("vector"))
+            directions = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
             for t in range(tables):
-                order = np.argsort(-nearness(vectors, longest, t), axis=1, kind="stable")
-                held = np.cumsum(counts[t][order], axis=1)
-                probes = np.maximum((held < LEAST_CANDIDATES).sum(axis=1) + 1, LEAST_PROBES)
-                asked = np.zeros(order.shape, bool)
-                np.put_along_axis(asked, order, np.arange(buckets)[None] < probes[:, None], axis=1)
-                asked = asked.reshape(len(order), groups, per_group)
+                order = np.argsort(-nearness(directions, 0.0, t), axis=1, kind="stable")
+                asked = np.zeros((len(order), bands, buckets), bool)
+                for b in range(bands):
+                    held = np.cumsum(counts[t, b][order], axis=1)
+                    probes = np.maximum((held < LEAST_CANDIDATES).sum(axis=1) + 1, LEAST_PROBES)
+                    if few[b]:
+                        probes[:] = buckets
+                    np.put_along_axis(asked[:, b], order, np.arange(buckets)[None] < probes[:, None], axis=1)
+                asked &= counts[t] > 0
+                asked = asked.reshape(len(order), bands * groups, per_group)
                 row, group = np.nonzero(asked.any(axis=2))
                 masks = [m.tobytes() for m in np.packbits(asked[row, group], axis=1)]
                 yield pa.RecordBatch.from_arrays(
@@ -192,6 +226,11 @@ def _ranked(q, d, score, ids, k):
     return q[place < k], d[place < k], score[place < k]
 
 
+def _last_step(steps: DataFrame) -> int:
+    """The step from which on all vectors share a band: that of the last of the `MOST_BANDS` longest bands."""
+    return steps.select("step").distinct().orderBy("step").limit(MOST_BANDS).agg(F.max("step").alias("s")).first().s
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES) -> DataFrame:
     """For each query its `k` nearest: query_id, rank (from 1), vec_id, score (inner product in doubles).
 
@@ -212,12 +251,20 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
     buckets = 2 << (common.bytes // 8).bit_length()
     per_group = buckets // GROUPS
 
-    hashed = rows.mapInArrow(_buckets(longest, tables), "table int, bucket int, vec_id long, vector binary")
+    found = rows.mapInArrow(_band_sizes(longest), "step int, norm double")
+    found = found.withColumn("step", F.least("step", F.lit(_last_step(found)))).groupBy("step")
+    found = found.agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("step").collect()
+    steps, norm = np.array([r.step for r in found]), np.array([r.norm for r in found])
+    few = np.array([r.n <= FEW_ROWS for r in found])
+    hashed = rows.mapInArrow(
+        _buckets(longest, steps, norm, few, tables), "table int, bucket int, vec_id long, vector binary"
+    )
     hashed = materialise(hashed, "vector-buckets")
-    counts = np.zeros((tables, buckets), np.int64)
-    for r in hashed.groupBy("table", "bucket").count().collect():  # tables x buckets at most
+    counts = np.zeros((tables, len(steps) * buckets), np.int64)
+    for r in hashed.groupBy("table", "bucket").count().collect():  # tables x bands x buckets at most
         counts[r.table, r.bucket] = r["count"]
-    sizes = counts.reshape(tables, GROUPS, per_group).sum(axis=2)
+    sizes = counts.reshape(tables, len(steps) * GROUPS, per_group).sum(axis=2)
+    counts = counts.reshape(tables, len(steps), buckets)
     parts = F.array(*[F.array(*[F.lit(int(-(-n // CELL_ROWS)) or 1) for n in row]) for row in sizes.tolist()])
     queries = rows.where(F.col("vec_id") % every == 0)
     query_blocks = -(-queries.count() // CELL_QUERIES) or 1
@@ -226,7 +273,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
     data = data.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("table")][F.col("group")]).cast("int"))
     data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = queries.mapInArrow(
-        _probes(longest, counts, GROUPS), "table int, group int, query_id long, vector binary, asked binary"
+        _probes(counts, few, GROUPS), "table int, group int, query_id long, vector binary, asked binary"
     )
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("table")][F.col("group")] - 1)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))

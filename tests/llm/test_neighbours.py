@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import brute
 from peakflow.llm import neighbours
@@ -29,6 +30,23 @@ def test_recall_on_the_given_vectors(spark):
         assert abs(score - float(np.dot(vectors[q], vectors[v]))) < 1e-12
 
 
+@pytest.mark.parametrize("lengths", ["1% ten times", "5% twice", "spread"])
+def test_recall_on_vectors_of_unequal_length(spark, lengths):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    share, times = {"1% ten times": (0.01, 10), "5% twice": (0.05, 2), "spread": (0, 1)}[lengths]
+    x *= np.where(rng.random(len(x)) < share, times, 1)[:, None]
+    if lengths == "spread":
+        x *= rng.uniform(0.2, 1, len(x))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(q, v) for q, _, v, _ in rows_of(nearest(df, every=40))}
+    scores = x[::40] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, len(x), 40)] = -np.inf
+    want = {(40 * q, v) for q, best in enumerate(np.argsort(-scores, axis=1)[:, :20].tolist()) for v in best}
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_equal_vectors_go_by_id_in_small_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
     monkeypatch.setattr(neighbours, "CELL_QUERIES", 2)
