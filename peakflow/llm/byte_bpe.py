@@ -65,15 +65,18 @@ class Encoder:
     """Encodes blocks of texts; keeps the ids of pieces it has met, up to a fixed number.
 
     The pieces are known by a 64-bit hash. Sorted hashes, and for each where its ids lie in one flat
-    array, take few bytes a piece.
+    array, take few bytes a piece. With `plain`, texts that hold an added token such as <|endoftext|>
+    go whole through the library, which gives the token's own id; without, its letters are text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if plain else []
         self.values = mix(np.arange(1, 0x110001, dtype=np.uint64))
         self._forget()
 
@@ -105,9 +108,21 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where those of each text begin (one entry more); null is empty."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_pieces(texts)
+        ids, bounds = self._by_pieces(pc.if_else(pa.array(whole), "", texts))
+        parts = np.split(ids, bounds[1:-1])
+        for i in np.flatnonzero(whole).tolist():
+            parts[i] = np.array(self.plain.encode(texts[i].as_py(), add_special_tokens=False).ids, ids.dtype)
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         import pandas as pd
 
-        texts = pc.fill_null(texts, "")
         # One code point between texts, so that no piece crosses them.
         joined = "\n".join([*texts.to_pylist(), ""])
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)

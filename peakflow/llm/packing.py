@@ -28,7 +28,7 @@ def piece_lengths(tokens: int, longest: int) -> list[int]:
 
 def _pieces(longest: int, tokenizer: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+        encoder = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), plain=True)
         for batch in blocks(batches):
             ids, bounds = encoder.encode(batch.column("text"))
             row, start, length, tokens, held = [], [], [], [], []

@@ -32,6 +32,17 @@ def test_ids_equal_the_tokenizer_on_odd_texts():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_in_a_text_as_in_a_plain_call(spark):
+    plain, text = Tokenizer.from_file(PATH), "a <|endoftext|> b"
+    texts = ["one two", text, None, "<|endoftext|>" * 2, "", "don't"]
+    ids, bounds = Encoder(PATH, plain=True).encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    pieces = pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("start").collect()
+    want = plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist()[:-1] == want
+
+
 def test_piece_lengths():
     assert piece_lengths(2048 + 13, 1024) == [1024, 1024, 8, 4, 1]
     assert piece_lengths(0, 1024) == []
