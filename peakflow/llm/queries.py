@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakflow.llm.chat import format_conversations, read_back
+from peakflow.llm.fill_in_middle import fill_in_middle, frame_texts, with_digests
 from peakflow.llm.language import held_out, identify, train
+from peakflow.llm.lexical_search import search
 from peakflow.llm.line_dedup import drop_common_lines
 from peakflow.llm.mixing import mixed_sizes
 from peakflow.llm.neighbours import nearest
@@ -15,7 +17,9 @@ from peakflow.llm.packing import pack, with_digest
 from peakflow.llm.radix_dedup import exact_duplicates
 from peakflow.llm.registry import query, table
 from peakflow.llm.repeats import remove_repeats
+from peakflow.llm.sharding import shard_rows
 from peakflow.llm.suffix_tree import suffix_tree_scores
+from peakflow.session import materialise
 
 
 @query(
@@ -135,3 +139,56 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", _PLANTED), (-7, 1, "assistant", _PLANTED)], turns.schema)
     return read_back(format_conversations(turns.unionAll(planted)))
+
+
+@query()
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+    c AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS all_terms FROM d),
+    p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+          FROM (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+          FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+    q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times
+          FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    s AS (SELECT item_id, doc_id,
+                 CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // all_terms)))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10
+    """
+)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || doc_id) AS h FROM documents),
+    d AS (SELECT doc_id, x, CAST(length(x) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+                 CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+                 CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+    f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                 CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    s AS (SELECT *, substr(x, 1, a) AS pre, substr(x, a + 1, b - a) AS mid, substr(x, b + 1) AS suf FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(x) AS restored_sha256
+    FROM s
+    """
+)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = materialise(frame_texts(table(spark, sf_dir, "documents")), "frames")
+    return with_digests(fill_in_middle(framed))

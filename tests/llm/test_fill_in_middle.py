@@ -1,0 +1,90 @@
+import hashlib
+from collections import Counter
+
+import pytest
+import zstandard
+
+from peakflow.llm.fill_in_middle import FramedText, fill_in_middle, find_marks, frame_texts, with_digests, with_texts
+from rows import SCHEMA, empty_frame, odd_documents, odd_frame, words_at
+
+MARKED = {50: "a <P> b", 51: "<S>", 52: "x<M", 53: "<M>y", 54: "<P", 55: "<<PP>>", 56: ">" * 7, 57: "<" * 9}
+
+
+def plain_move(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    text = text or ""
+    n, digest = len(text), hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    pre, mid, suf = text[:a], text[a:b], text[b:]
+    if h[3] % 100 < 20:
+        return n, "spm", a, b - a, f"<S>{suf}<P>{pre}<M>{mid}"
+    return n, "psm", a, b - a, f"<P>{pre}<S>{suf}<M>{mid}"
+
+
+def documents():
+    own = [(d, t, None, None, 0) for d, t in MARKED.items()]
+    return [*odd_documents(), *own, *[(200 + i, words_at(i, i % 9), None, None, 0) for i in range(150)]]
+
+
+@pytest.mark.parametrize("units", [1, 7, 1000, 1 << 14])
+def test_equals_plain_moving_whatever_the_frames(spark, units):
+    docs = documents()
+    moved = fill_in_middle(frame_texts(spark.createDataFrame(docs, SCHEMA), units))
+    want = Counter((d, *plain_move(d, t)) for d, t, *_ in docs)
+    assert Counter((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.text) for r in with_texts(moved).collect()) == want
+    sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+    digests = Counter((r.doc_id, r.output_sha256, r.restored_sha256) for r in with_digests(moved).collect())
+    assert digests == Counter((d, sha(plain_move(d, t)[4]), sha(t)) for d, t, *_ in docs)
+    assert {f for _, _, f, *_ in want} == {"plain", "psm", "spm"}
+
+
+def test_whole_frames_go_on_as_they_are(spark):
+    docs = spark.createDataFrame([(i, words_at(i, 400), None, None, 0) for i in range(12)], SCHEMA)
+    framed = frame_texts(docs, 100)
+    before = {r.doc_id: r.frames for r in framed.collect()}
+    for r in fill_in_middle(framed, percent=100).collect():
+        old, new = [bytes(f.data) for f in before[r.doc_id]], [bytes(f.data) for f in r.frames]
+        assert len(set(old) - set(new)) <= 2  # those that hold a cut
+        assert [f.first for f in r.frames] == [sum(g.units for g in r.frames[:i]) for i in range(len(r.frames))]
+        assert sum(f.units for f in r.frames) == r.n + 9
+
+
+def test_spans_open_only_the_frames_they_touch():
+    opened, tool, unzip = [], zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+
+    class Counting:
+        def decompress(self, data):
+            opened.append(data)
+            return unzip.decompress(data)
+
+    text = FramedText([3, 3, 1], [tool.compress(x) for x in (b"abc", "déf".encode(), b"g")])
+    assert "".join(text.opened(Counting(), 4, 5)) == "é" and len(opened) == 1
+    assert "".join(text.opened(Counting(), 2, 4)) == "cd" and len(opened) == 3
+    assert "".join(text.opened(Counting())) == "abcdéfg" and "".join(text.opened(Counting(), 5, 5)) == ""
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
+def test_marks_are_found_across_parts(size):
+    text = "<P>ab<<S>S><M<M>x"
+    parts = [text[i : i + size] for i in range(0, len(text), size)]
+    assert find_marks(parts, ["<P>", "<S>", "<M>"]) == [0, 6, 13]
+    with pytest.raises(ValueError):
+        find_marks(parts, ["<P>", "<M>", "<S>"])
+
+
+def test_shares_and_odd_rows(spark):
+    docs = spark.createDataFrame([(i, "some text", None, None, 0) for i in range(1000)], SCHEMA)
+    forms = Counter(r.form for r in fill_in_middle(frame_texts(docs)).collect())
+    assert 860 < forms["psm"] + forms["spm"] < 940 and 120 < forms["spm"] < 240
+    assert {r.form for r in fill_in_middle(frame_texts(docs), percent=0).collect()} == {"plain"}
+    rows = with_texts(fill_in_middle(frame_texts(odd_frame(spark, extra=True)))).collect()
+    assert len(rows) == len(odd_documents())
+    assert {(r.n, r.form, r.text) for r in rows if r.doc_id in (4, 5)} == {(0, "plain", "")}
+
+
+def test_empty_table(spark):
+    moved = fill_in_middle(frame_texts(empty_frame(spark)))
+    assert with_digests(moved).collect() == [] and with_texts(moved).collect() == []

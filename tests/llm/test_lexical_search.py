@@ -1,0 +1,136 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+import brute
+from peakflow.llm import lexical_search
+from peakflow.llm.lexical_search import Lists, best_of_block, search, terms
+from rows import SCHEMA, empty_frame, odd_documents, odd_frame
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+ITEMS = "item_id long, text string"
+
+
+def plain_terms(text):
+    return TERM.findall(brute.lower(text))
+
+
+def plain_search(docs, items, k=10):
+    """(item_id, rank, doc_id, score) over all pairs of items and documents."""
+    found = [(d, Counter(plain_terms(t))) for d, t in docs]
+    found = [(d, c) for d, c in found if c]
+    n_docs, total = len(found), sum(sum(c.values()) for _, c in found)
+    df = Counter(t for _, c in found for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * f + 1))) for t, f in df.items()}
+    out = []
+    for item, text in items:
+        scored = []
+        for d, c in found:
+            m = 100 - 75 + (75 * sum(c.values()) * n_docs) // total
+            score = sum(weight[t] * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in plain_terms(text) if c[t])
+            if score:
+                scored.append((-score, d is None, d or 0, d))
+        scored.sort(key=lambda x: x[:3])
+        out += [(item, i, d, -s) for i, (s, _, _, d) in enumerate(scored[:k], 1)]
+    return out
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: (r[0] is None, r))
+
+
+def random_docs(rng, count, vocabulary=60):
+    words = [f"w{i}" for i in range(vocabulary)]
+    heavy = [1 / (i + 1) for i in range(vocabulary)]
+    docs = [(i, " ".join(rng.choices(words, heavy, k=rng.randrange(1, 60)))) for i in range(count)]
+    return docs + [(count + i, docs[i * 7 % count][1]) for i in range(count // 3)]
+
+
+@pytest.mark.parametrize("text", ["A-b_c Ärger ÉTAT x1!y2\x00z\x7f9", "", "…", "日本 語", "ÀÉ aZ", "[\\]^_`{|}~/:@"])
+def test_terms(text):
+    assert [t.decode() for t in terms(text)] == plain_terms(text)
+
+
+@pytest.mark.parametrize("step", [1, 3, 256])
+def test_equals_brute_force_in_small_blocks_with_ties(spark, monkeypatch, step):
+    rng = random.Random(step)
+    monkeypatch.setattr(lexical_search, "BLOCK_POSTINGS", 90)
+    monkeypatch.setattr(lexical_search, "FIRST_STEP", step)
+    docs = random_docs(rng, 240)
+    items = [(i, " ".join(f"w{rng.randrange(64)}" for _ in range(rng.randrange(1, 12)))) for i in range(30)]
+    got = search(
+        spark.createDataFrame([(d, t, None, None, 0) for d, t in docs], SCHEMA).repartition(5),
+        spark.createDataFrame(items, ITEMS),
+    )
+    assert rows_of(got) == sorted(plain_search(docs, items))
+
+
+def test_reading_stops_before_the_lists_end():
+    """A text that holds all rare terms of the item leaves the long tails unread, and the result exact."""
+    count = 5_000
+    tf = [[50, 50]] + [[1]] * (count - 1)
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array(range(count), pa.int64()),
+            pa.array([100] * count, pa.int64()),
+            pa.array([[0, 1]] + [[0]] * (count - 1), pa.list_(pa.int32())),
+            pa.array(tf, pa.list_(pa.int32())),
+        ],
+        ["doc_id", "n", "terms", "times"],
+    )
+    lists = Lists(batch, lexical_search.weights([count, 1], count), count, 100 * count)
+    read = []
+
+    class Counted(Lists):
+        def __init__(self):
+            self.__dict__ |= lists.__dict__
+
+        def of(self, term):
+            rows, impacts = lists.of(term)
+
+            class Spied(type(rows)):
+                def __getitem__(self, span):
+                    out = super().__getitem__(span)
+                    if isinstance(span, slice):
+                        read.append(len(out))
+                    return out
+
+            return rows.view(Spied), impacts
+
+    weight = lexical_search.weights([count, 1], count)
+    assert best_of_block(Counted(), [(0, 1), (1, 1)], 1, [], 4)[0][1] == 0
+    assert weight[1] > weight[0] and sum(read) < count
+
+
+def test_items_go_through_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "ITEM_CHARS", 12)
+    docs = random_docs(random.Random(5), 60)
+    items = [(i, f"w{i} w{i + 1} w{i}") for i in range(5)] + [(9, None), (8, "")]
+    got = search(spark.createDataFrame([(d, t, None, None, 0) for d, t in docs], SCHEMA), spark.createDataFrame(items, ITEMS), 3)
+    assert rows_of(got) == sorted(plain_search(docs, items, 3))
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, null ids last among equals, clashing columns."""
+    docs = [(d, t) for d, t, *_ in odd_documents()]
+    items = [(1, "w1x w8x other"), (2, None), (3, ""), (4, "nothing-there"), (5, "Ärger über STRASSE 日本語"), (5, "shared LINE"), (None, "text one")]
+    clash = spark.createDataFrame([(*i, "z", "z") for i in items], f"{ITEMS}, place string, doc_id string")
+    got = rows_of(search(odd_frame(spark, extra=True), clash))
+    want = sorted(plain_search(docs, items), key=lambda r: (r[0] is None, r))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+    assert Counter(r[2] for r in got) == Counter(r[2] for r in want)
+    tie = spark.createDataFrame([(None, "a b"), (3, "a b"), (-1, "a b"), (3, "a b")], ITEMS).withColumnRenamed("item_id", "doc_id")
+    other = spark.createDataFrame([(7, "c"), (8, "c c"), (9, "d")], ITEMS).withColumnRenamed("item_id", "doc_id")
+    found = rows_of(search(tie.unionAll(other), spark.createDataFrame([(1, "a")], ITEMS)))
+    assert [(r[1], r[2]) for r in found] == [(1, -1), (2, 3), (3, 3), (4, None)]
+
+
+def test_empty_tables(spark):
+    none, one = spark.createDataFrame([], ITEMS), spark.createDataFrame([(1, "a")], ITEMS)
+    assert search(empty_frame(spark), one).collect() == []
+    assert search(odd_frame(spark), none).collect() == []
+    assert search(spark.createDataFrame([(1, None)], "doc_id long, text string"), one).collect() == []

@@ -1,0 +1,118 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from peakflow.llm.sharding import differencing, shard_rows, write_shards
+from rows import SCHEMA, empty_frame, odd_documents, odd_frame, words_at
+
+
+def plain_differencing(sizes, shards):
+    """Lists of loads, put together the fullest against the emptiest; returns the loads."""
+    parts = [([s] + [0] * (shards - 1), i) for i, s in enumerate(sizes)]
+    age = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0][-1] - p[0][0], p[1]))
+        (a, _), (b, _) = parts.pop(0), parts.pop(0)
+        parts.append((sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), age))
+        age += 1
+    return parts[0][0] if parts else [0] * shards
+
+
+def loads_of(sizes, shard, shards):
+    out = [0] * shards
+    for size, s in zip(sizes, shard, strict=True):
+        out[s] += size
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 40])
+@pytest.mark.parametrize("count", [0, 1, 5, 60, 300])
+def test_differencing_is_that_of_plain_lists(shards, count):
+    rng = random.Random(count)
+    sizes = [rng.choice([1, 5, 5, rng.randrange(1, 10_000)]) for _ in range(count)]
+    assert loads_of(sizes, differencing(sizes, shards), shards) == plain_differencing(sizes, shards)
+
+
+def test_differencing_is_tighter_than_largest_first():
+    rng = random.Random(1)
+    sizes = sorted((int(rng.lognormvariate(7, 1)) for _ in range(2_000)), reverse=True)
+    greedy = [0] * 40
+    for s in sizes:
+        greedy[greedy.index(min(greedy))] += s
+    loads = loads_of(sizes, differencing(sizes, 40), 40)
+    assert max(loads) - min(loads) < max(greedy) - min(greedy)
+
+
+def check_law(rows, texts, shards):
+    """Sizes, whole groups, slots without gaps; returns the bytes of each shard."""
+    slots, homes, loads = defaultdict(list), defaultdict(set), Counter(dict.fromkeys(range(shards), 0))
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        loads[r.shard] += r.size
+        assert (r.law, r.grown_shard) == ("bytes", None) and 0 <= r.shard < shards
+        if r.doc_id in texts:
+            data = (texts[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
+            homes[data].add(r.shard)
+    assert all(len(s) == 1 for s in homes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return loads
+
+
+def test_shards_are_near_equal_and_groups_whole(spark):
+    rng = random.Random(7)
+    texts = {i: words_at(i, rng.randrange(1, 80)) for i in range(1_500)}
+    texts |= {2_000 + i: texts[i % 50] for i in range(400)}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], SCHEMA)
+    rows = shard_rows(docs).collect()
+    assert len(rows) == len(texts)
+    loads = check_law(rows, texts, 40)
+    assert max(loads.values()) - min(loads.values()) <= 40
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r.shard].append((r.slot, r.doc_id))
+    assert all([d for _, d in sorted(own)] == sorted(d for _, d in own) for own in by_shard.values())
+    again = {(r.doc_id, r.shard, r.slot) for r in shard_rows(docs.repartition(9)).collect()}
+    assert again == {(r.doc_id, r.shard, r.slot) for r in rows}
+
+
+def test_a_group_larger_than_a_shard_stays_whole_and_alone(spark):
+    texts = {i: words_at(i, 30) for i in range(600)} | {1_000 + i: "the same text again " * 5 for i in range(900)}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], SCHEMA)
+    rows = shard_rows(docs, 8).collect()
+    loads = check_law(rows, texts, 8)
+    home = next(r.shard for r in rows if r.doc_id == 1_000)
+    assert {r.doc_id for r in rows if r.shard == home} == set(range(1_000, 1_900))
+    rest = [n for s, n in loads.items() if s != home]
+    assert max(rest) - min(rest) <= 200 and loads[home] > max(rest)  # a document more or less
+
+
+def test_few_bundles_keep_groups_whole_too(spark):
+    texts = {i: words_at(i % 90, 9) for i in range(300)}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], SCHEMA)
+    check_law(shard_rows(docs, 3, bundles=5).collect(), texts, 3)
+
+
+def test_odd_rows(spark):
+    texts = {d: t for d, t, *_ in odd_documents() if d is not None}
+    rows = shard_rows(odd_frame(spark, extra=True), 4).collect()
+    assert len(rows) == len(odd_documents())
+    check_law(rows, texts, 4)
+    assert {(r.size, r.text_crc32) for r in rows if r.doc_id in (4, 5)} == {(16, 0)}
+    assert len({r.shard for r in rows if r.size == 16}) == 1  # null and empty texts are one group
+
+
+def test_empty_table(spark):
+    assert shard_rows(empty_frame(spark)).collect() == []
+
+
+def test_written_shards_hold_the_documents(spark, tmp_path):
+    docs = odd_frame(spark, extra=True).withColumnRenamed("rank", "shard")
+    write_shards(docs, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {*docs.columns} - {"shard"} | {"_shard", "shard"} == {*got.columns}
+    want = Counter((r.doc_id, r.shard) for r in shard_rows(docs, 4).collect())
+    assert Counter((r.doc_id, r.shard) for r in got.collect()) == want
+    assert Counter(r.text for r in got.collect()) == Counter(r.text for r in docs.collect())
