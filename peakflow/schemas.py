@@ -54,11 +54,10 @@ TABLE_DDL = {
     ),
 }
 
-# State behind the two latest tables: their columns, the event and position that settle ties, and the month.
-STATE_DDL = {
-    "orders_latest": "event_id STRING, event_month DATE",
-    "order_items_latest": "event_id STRING, item_no INT, event_month DATE",
-}
+# Sums that demand and hourly load are kept up by.
+FACT_SUMS = (
+    "orders BIGINT, units BIGINT, unit_lines BIGINT, sales DECIMAL(28,2), sales_lines BIGINT, updated_at TIMESTAMP"
+)
 
 PUBLISH_PROGRESS = (
     "run_id STRING, batch_seq BIGINT, timestamp_utc TIMESTAMP, elapsed_seconds DECIMAL(18,3), event_hour STRING, "

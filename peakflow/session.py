@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, suppress
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _stored: list[tuple[SparkSession, str]] = []
@@ -66,6 +68,17 @@ def clear_scratch(since: int = 0) -> None:
         delete_path(*_stored.pop())
 
 
+def in_parallel(spark: SparkSession, *steps: Callable[[], object]) -> None:
+    """Run steps that do not wait for one another side by side, so that their small stages share the cluster.
+
+    Returns when all have ended; the first error of any is raised then.
+    """
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    for step in running:
+        step.result()
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Remove at the end, also after an error, whatever was stored inside."""
