@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from peakflow.operators import latency, latest, publishing
 from peakflow.operators.dashboard import MATRIX as MATRIX_COLUMNS
-from peakflow.operators.ordering import with_row_number
 from peakflow.operators.pressure import is_alert, severity
 from peakflow.plans.registry import query, two_digits
 from peakflow.plans.traffic_queries import DAY_THRESHOLD, EVENTS, MIN_ORDERS, SECTIONS
@@ -13,8 +12,18 @@ from peakflow.sinks.files import write_dated, write_evidence
 from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
 from peakflow.streaming import windows
-from peakflow.streaming.live import LiveCounters, run_live
-from peakflow.streaming.pipelines import distinct_state, latest_state, run_to_evidence, run_upserts
+from peakflow.streaming.live import LiveCounters, RunningCounts, run_live
+from peakflow.streaming.pipelines import (
+    closed_hours,
+    distinct_state,
+    latest_state,
+    run_alarms,
+    run_to_evidence,
+    run_to_parquet,
+    run_upserts,
+    without_duplicates,
+)
+from peakflow.streaming.progress import ProgressLog
 
 ALARM_RECORDS = 2
 LIVE_SECTIONS = SECTIONS.replace(
@@ -394,27 +403,179 @@ def stream_evidence(spark, sf_dir):
     return stats.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+OBSERVED = "CASE WHEN published_at < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END"
+BOUNDS = (10, 25, 140)
+
+
 @query(
     LATENCY
-    + """ SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS records_read, event_id, partition_key,
-    publish_to_read_latency_ms, arrival_latency_ms FROM log"""
+    + f""" SELECT row_number() OVER (ORDER BY {OBSERVED}, read_at, event_id) AS records_read, event_id, partition_key,
+    publish_to_read_latency_ms, arrival_latency_ms FROM log
+  UNION ALL SELECT -unnest([{", ".join(map(str, BOUNDS))}]), NULL, NULL, NULL, NULL"""
 )
 def bounded_observation(spark, sf_dir):
-    """An observation that stops at its bound, is taken up again with a higher one, then without.
+    """An observation under rising bounds, over a landing that holds more, then a second landing, then no bound.
 
-    All records are there and counted without a gap; the counts are given in the order of the ids,
-    as the order of reading follows the landings.
+    Every record has the number it was read as; rows below zero tell how many were written under each bound.
     """
     home = scratch_path(spark, "bounded")
-    rows = _latency_stream(spark, sf_dir, home)
-    for bound in (1, 2, None):
-        run_to_evidence(rows, f"{home}/evidence", f"{home}/checkpoint", max_records=bound)
-    log = materialise(read_latency_csv(spark, f"{home}/evidence/*"), "bounded-log")
-    counts = with_row_number(log.select("records_read"), [], ["records_read"], "place")
-    ids = with_row_number(log.drop("records_read"), [], ["event_id"], "place")
-    return ids.join(counts, "place").select(
-        "records_read", "event_id", "partition_key", "publish_to_read_latency_ms", "arrival_latency_ms"
+    records = _records(spark, sf_dir)
+    first = F.col("event_ts") < F.lit("2024-01-16").cast("timestamp")
+    stopped = []
+    for landing, bounds in ((first, BOUNDS[:2]), (~first, (BOUNDS[2], None))):
+        records.where(landing).write.mode("append").parquet(f"{home}/landed")
+        decoded = payloads.decode(streams.parquet_stream(spark, f"{home}/landed", records.schema))
+        rows = latency.read_latencies(decoded, F.col("read_at"), F.col("arrived_at"))
+        for bound in bounds:
+            run_to_evidence(rows, f"{home}/evidence", f"{home}/checkpoint", max_records=bound)
+            if bound:
+                stopped.append((-read_latency_csv(spark, f"{home}/evidence/*").count(),))
+    columns = ("records_read", "event_id", "partition_key", "publish_to_read_latency_ms", "arrival_latency_ms")
+    log = read_latency_csv(spark, f"{home}/evidence/*").select(*columns)
+    return log.unionByName(spark.createDataFrame(stopped, "records_read long"), allowMissingColumns=True)
+
+
+DAYS_A_LANDING = 8
+LATE = "1 hour"
+CLOSING = "2024-03-01 00:00:00"
+
+
+def _in_time(events):
+    """The four landings of events that come in the order of time."""
+    slice_no = F.floor((F.dayofmonth("event_ts") - 1) / DAYS_A_LANDING)
+    return [events.where(slice_no == i) for i in range(4)]
+
+
+def _closing(events):
+    """One event of a later month, after which the watermark has passed all others."""
+    bare = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema}
+    bare |= {"event_ts": F.lit(CLOSING).cast("timestamp").alias("event_ts"), "event_id": F.lit("closing").alias("event_id")}
+    return events.sparkSession.range(1).select(*bare.values())
+
+
+def _run_by_landing(landings, home, start):
+    """Land one part after another; after each the stream is started anew and reads what it finds.
+
+    `start` is given the stream and the checkpoint and returns a started query. The log has the
+    progress of all runs; the list holds the rows read up to each landing.
+    """
+    spark, schema, read = landings[0].sparkSession, landings[0].schema, []
+    with ProgressLog(spark) as log:
+        for landing in landings:
+            landing.write.mode("append").parquet(f"{home}/landed")
+            stream = streams.parquet_stream(spark, f"{home}/landed", schema)
+            log.wait(start(stream, f"{home}/checkpoint"))
+            read.append(log.rows_read())
+    return log, read
+
+
+@query(EVENTS + " SELECT store_id, CAST(hour(event_ts) AS INTEGER) AS hour, count(*) AS events FROM ev GROUP BY 1, 2")
+def live_counters_update(spark, sf_dir):
+    """Store hours counted in stream state over four landings, each with a new start of the stream."""
+    home = scratch_path(spark, "live-update")
+    counts = RunningCounts(spark, f"{home}/totals", fold_every=2)
+    _run_by_landing(_in_time(tables.replay_events(spark, sf_dir)), home, counts.run)
+    return counts.read()
+
+
+@query(
+    EVENTS
+    + f""", landed AS (SELECT (day(event_ts) - 1) // {DAYS_A_LANDING} AS landing, count(*) AS n FROM ev GROUP BY 1),
+  steps AS (SELECT unnest(range(4)) AS landing)
+  SELECT CAST(s.landing AS INTEGER) AS landing, CAST(sum(n) AS BIGINT) AS processed_events,
+    (SELECT count(*) FROM ev) AS total_source_events,
+    round(CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM ev), 4) AS progress
+  FROM steps s JOIN landed l ON l.landing <= s.landing GROUP BY 1"""
+)
+def live_progress(spark, sf_dir):
+    """How far the live counters are after each landing, as the stream itself reports it."""
+    home, events = scratch_path(spark, "live-progress"), tables.replay_events(spark, sf_dir)
+    counts = RunningCounts(spark, f"{home}/totals")
+    _, read = _run_by_landing(_in_time(events), home, counts.run)
+    steps = spark.createDataFrame(list(enumerate(read)), "landing int, processed_events long")
+    total = events.agg(F.count("*").alias("n")).scalar()
+    ratio = F.coalesce(F.try_divide("processed_events", "total_source_events"), F.lit(0.0))
+    return steps.withColumn("total_source_events", total).withColumn("progress", F.round(ratio, 4))
+
+
+LATE_ROWS = f"store_id = 'error' AND day(event_ts) <= {DAYS_A_LANDING}"
+
+
+@query(
+    EVENTS
+    + f""" SELECT date_trunc('hour', event_ts) AS hour_start, store_id, count(*) AS events,
+    (SELECT count(*) FROM ev WHERE {LATE_ROWS}) AS late_rows
+  FROM ev WHERE NOT ({LATE_ROWS}) GROUP BY 1, 2"""
+)
+def stream_closed_hours(spark, sf_dir):
+    """Hours given out once when the watermark closes them; failures of the first landing come with the last, too late."""
+    home, events = scratch_path(spark, "closed-hours"), tables.replay_events(spark, sf_dir)
+    events = events.select("event_id", "store_id", "event_ts")
+    first, second, third, last = _in_time(events)
+    late = F.col("store_id") == "error"
+    landings = [first.where(~late), second, third, last.unionByName(first.where(late)), _closing(events)]
+    log, _ = _run_by_landing(
+        landings, home, lambda rows, checkpoint: run_to_parquet(closed_hours(rows, LATE), f"{home}/hours", checkpoint)
     )
+    hours = spark.read.schema("hour_start timestamp, store_id string, events long").parquet(f"{home}/hours")
+    return hours.withColumn("late_rows", F.lit(log.rows_dropped()).cast("long"))
+
+
+@query(EVENTS + " SELECT event_id FROM ev")
+def stream_dedup_watermark(spark, sf_dir):
+    """Every event arrives twice, the copy five minutes later; ids are forgotten when the watermark passes them."""
+    home, events = scratch_path(spark, "dedup-watermark"), tables.replay_events(spark, sf_dir)
+    events = events.select("event_id", "event_ts")
+    again = events.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 5 MINUTES"))
+    start = lambda rows, checkpoint: run_to_parquet(without_duplicates(rows, LATE), f"{home}/once", checkpoint)
+    log, _ = _run_by_landing([*_in_time(events.unionByName(again)), _closing(events)], home, start)
+    if log.rows_held() > 1:
+        raise RuntimeError(f"{log.rows_held()} ids are still held behind the watermark")  # the closing one may be
+    return spark.read.schema("event_id string").parquet(f"{home}/once").where("event_id <> 'closing'")
+
+
+@query(
+    EVENTS
+    + f""" SELECT event_id, store_id, event_ts FROM ev WHERE day(event_ts) > {2 * DAYS_A_LANDING}"""
+)
+def stream_latest(spark, sf_dir):
+    """A stream that starts when two landings are there reads the two that come after, also after a restart."""
+    home = scratch_path(spark, "latest")
+    events = tables.replay_events(spark, sf_dir).select("event_id", "store_id", "event_ts")
+    landings = _in_time(events)
+    for landing in landings[:2]:
+        landing.write.mode("append").parquet(f"{home}/landed")
+
+    def run():
+        rows = streams.latest_stream(spark, f"{home}/landed", events.schema, f"{home}/position")
+        run_to_parquet(rows, f"{home}/read", f"{home}/checkpoint").awaitTermination()
+
+    run()
+    for landing in landings[2:]:
+        landing.write.mode("append").parquet(f"{home}/landed")
+        run()
+    return spark.read.schema(events.schema).parquet(f"{home}/read")
+
+
+@query(
+    EVENTS
+    + f""" SELECT date_trunc('minute', event_ts) AS period_start,
+    date_trunc('minute', event_ts) + INTERVAL 1 MINUTE AS period_end, CAST(count(*) AS BIGINT) AS records FROM ev
+    GROUP BY 1 HAVING count(*) >= {ALARM_RECORDS}"""
+)
+def stream_alarm_notices(spark, sf_dir):
+    """The alarm as it is sent: each closed minute over the limit once, from a handler that a repeat does not double."""
+    home, events = scratch_path(spark, "notices"), tables.replay_events(spark, sf_dir).select("event_id", "event_ts")
+
+    def notify(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{home}/notices/batch={batch_id}")
+
+    def start(rows, checkpoint):
+        timed = rows.withWatermark("event_ts", LATE)
+        return run_alarms(latency.ingestion_alarms(timed, "event_ts", ALARM_RECORDS), notify, checkpoint)
+
+    _run_by_landing([*_in_time(events), _closing(events)], home, start)
+    return spark.read.schema("period_start timestamp, period_end timestamp, records long").parquet(f"{home}/notices/*")
 
 
 @query(LIVE_SECTIONS + " SELECT * FROM sections")

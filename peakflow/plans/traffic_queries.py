@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from peakflow.operators import audit, dashboard, demand, kpis, latest, pressure
+from peakflow.operators import audit, comparison, dashboard, demand, kpis, latest, pressure
 from peakflow.operators.items import order_items
 from peakflow.plans.registry import query, two_digits
 from peakflow.session import materialise
@@ -358,19 +358,17 @@ def key_skew(spark, sf_dir):
     WHERE order_count >= {MIN_ORDERS} AND pressure_ratio >= {THRESHOLD}"""
 )
 def view_row_counts(spark, sf_dir):
-    """Items and pressure are stored once and counted from there."""
+    """Every view is counted while it is written; none is read for its count."""
+    counts = audit.RowCounts()
     columns = ("order_id", "store_id", "product_id", "quantity", "line_total", "event_time")
-    items = materialise(_items(spark, sf_dir).select(*columns), "items")
-    load = materialise(pressure.with_pressure(pressure.hourly_store_load(items)), "pressure")
-    return audit.view_row_counts(
-        {
-            "raw_events": tables.replay_events(spark, sf_dir),
-            "order_item_events": items,
-            "product_demand_daily": demand.product_demand_daily(items),
-            "store_order_pressure_hourly": load,
-            "peak_order_alerts": pressure.peak_alerts(load, THRESHOLD, MIN_ORDERS),
-        }
-    )
+    items = order_items(counts.of(tables.replay_events(spark, sf_dir), "raw_events")).select(*columns)
+    items = materialise(counts.of(items, "order_item_events"), "items")
+    materialise(counts.of(demand.product_demand_daily(items), "product_demand_daily"), "demand")
+    load = pressure.with_pressure(pressure.hourly_store_load(items))
+    load = materialise(counts.of(load, "store_order_pressure_hourly"), "pressure")
+    materialise(counts.of(pressure.peak_alerts(load, THRESHOLD, MIN_ORDERS), "peak_order_alerts"), "alerts")
+    return counts.read(spark)
+
 
 
 @query(EVENTS + " SELECT event_id, store_id, event_ts FROM ev ORDER BY event_ts, event_id, store_id LIMIT 100")
@@ -387,3 +385,69 @@ def first_n_events(spark, sf_dir):
 def head_tail_sample(spark, sf_dir):
     events = tables.replay_events(spark, sf_dir).select("event_id", "event_ts")
     return head_and_tail(events, 1000, ["event_ts", "event_id"])
+
+
+def _lag_sql(name: str, hours: int) -> str:
+    then = f"(SELECT p.order_count FROM hourly p WHERE p.store_id = h.store_id AND p.hour_start = h.hour_start - INTERVAL {hours} HOUR)"
+    since = f"""(SELECT sum(p.order_count) FROM hourly p WHERE p.store_id = h.store_id
+      AND p.hour_start >= h.hour_start - INTERVAL {hours} HOUR AND p.hour_start < h.hour_start)"""
+    known = f"h.hour_start - INTERVAL {hours} HOUR >= h.opened"
+    return f"""CASE WHEN {known} THEN CAST(coalesce({then}, 0) AS BIGINT) END AS prior_{name},
+    CASE WHEN {known} THEN CAST(coalesce({since}, 0) AS DOUBLE) / {hours} END AS trailing_{name}"""
+
+
+@query(
+    HOURLY
+    + f""", opened AS (SELECT *, min(hour_start) OVER (PARTITION BY store_id) AS opened FROM hourly),
+  lagged AS (SELECT h.hour_start, h.store_id, h.order_count, {_lag_sql("day", 24)}, {_lag_sql("week", 168)} FROM opened h)
+  SELECT *, CASE WHEN prior_day > 0 THEN CAST(order_count - prior_day AS DOUBLE) / prior_day END AS change_day,
+    CASE WHEN prior_week > 0 THEN CAST(order_count - prior_week AS DOUBLE) / prior_week END AS change_week FROM lagged"""
+)
+def store_hour_lags(spark, sf_dir):
+    """Orders of each store hour beside the same hour a day and a week before."""
+    lagged = comparison.with_lags(_hourly(spark, sf_dir).select("hour_start", "store_id", "order_count"))
+    return lagged
+
+
+@query(
+    EVENTS
+    + """, mix AS (SELECT store_id, product_id,
+    CAST(coalesce(sum(quantity) FILTER (hour(event_ts) IN (12, 13)), 0) AS BIGINT) AS a,
+    CAST(coalesce(sum(quantity) FILTER (hour(event_ts) IN (18, 19)), 0) AS BIGINT) AS b FROM items GROUP BY ALL),
+  shares AS (SELECT *, a / nullif(sum(a) OVER w, 0) AS p, b / nullif(sum(b) OVER w, 0) AS q, sum(a) OVER w AS ta, sum(b) OVER w AS tb
+    FROM mix WHERE a + b > 0 WINDOW w AS (PARTITION BY store_id)),
+  parts AS (SELECT *, (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS share FROM shares)
+  SELECT store_id, CAST(max(ta) AS BIGINT) AS first_units, CAST(max(tb) AS BIGINT) AS second_units, count(*) AS products,
+    round(sum(share), 6) AS divergence, first(product_id ORDER BY round(share, 9) DESC, product_id) AS drifting_product
+  FROM parts GROUP BY store_id"""
+)
+def product_mix_drift(spark, sf_dir):
+    """Distance of the product mix at lunch from that at dinner, per store."""
+    drift = comparison.mix_drift(_items(spark, sf_dir), F.hour("event_time"))
+    return drift.withColumn("divergence", F.round("divergence", 6))
+
+
+HOT_SHARE, SHARDS = 0.1, 16
+
+
+@query(
+    EVENTS
+    + f""", counted AS (SELECT store_id, count(*) AS n, (SELECT count(*) FROM ev) AS total FROM ev GROUP BY 1),
+  plan AS (SELECT *, CAST(ceil(n * {SHARDS}.0 / total) AS INTEGER) AS salts FROM counted WHERE n >= total * {HOT_SHARE}),
+  loads AS (SELECT store_id, CAST(event_id AS BIGINT) % salts AS salt, count(*) AS load FROM ev JOIN plan USING (store_id) GROUP BY 1, 2)
+  SELECT store_id AS partition_key, n AS records, salts, true AS within_error, max(load) AS largest_load
+  FROM plan JOIN loads USING (store_id) GROUP BY 1, 2, 3"""
+)
+def hot_key_plan(spark, sf_dir):
+    """Heavy stream keys from merged daily sketches, counted exactly, and the load once they are salted."""
+    events = tables.replay_events(spark, sf_dir).withColumn("day", F.to_date("event_ts"))
+    daily = materialise(audit.key_sketches(events, ["day"]), "sketches")
+    heavy = audit.heavy_keys(daily, HOT_SHARE)
+    plan = materialise(audit.hot_key_plan(events, heavy, SHARDS), "plan").where(F.col("records") >= F.col("all_records") * HOT_SHARE)
+    loads = audit.salted(events, plan, F.col("event_id").cast("long")).groupBy("store_id", "shard_key").agg(F.count("*").alias("load"))
+    largest = loads.groupBy(F.col("store_id").alias("partition_key")).agg(F.max("load").alias("largest_load"))
+    within = F.abs(F.col("estimate") - F.col("records")) <= F.col("error")
+    return plan.withColumn("within_error", within).join(largest, "partition_key").select(
+        "partition_key", "records", "salts", "within_error", "largest_load"
+    )

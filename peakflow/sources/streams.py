@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from peakflow.schemas import ORDER_EVENT
 from peakflow.sources.events import with_event_ts
 
+_FILE = "_metadata.file_path"
+
 
 def parquet_stream(
     spark: SparkSession,
@@ -32,6 +34,24 @@ def parquet_stream(
     return rows.where(F.col("_metadata.file_modification_time") >= F.lit(since)) if since else rows
 
 
+def latest_stream(
+    spark: SparkSession, path: str, schema: T.StructType, position: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """Files that landed after this stream was first started.
+
+    The first start writes down at `position`, a folder beside the checkpoint, which files the source
+    holds; every start reads past those, so a restart goes on from the same place, whatever the clocks
+    of the writers say.
+    """
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{position}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        held = spark.read.schema(schema).parquet(path).select(F.col(_FILE).alias("held")).distinct()
+        held.write.mode("overwrite").parquet(position)
+    held = spark.read.schema("held string").parquet(position)
+    rows = parquet_stream(spark, path, schema, files_per_batch).withColumn("_file", F.col(_FILE))
+    return rows.join(held, F.col("_file") == F.col("held"), "left_anti").drop("_file")
+
+
 def json_event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(ORDER_EVENT)
     if files_per_batch:

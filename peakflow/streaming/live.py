@@ -18,16 +18,22 @@ from peakflow.operators.dashboard import (
     store_hour_matrix,
 )
 from peakflow.operators.items import order_items
+from peakflow.operators.latest import latest_per_key
 from peakflow.operators.pressure import MIN_ORDERS, PEAK_THRESHOLD
+from peakflow.session import state_on_disk
 from peakflow.streaming.state import StateTable
 
 LIVE_BASELINE = "fixed_24_floor1"
-_STORE_HOURS = T.StructType().add("store_id", "string").add("hour", "integer").add("events", "long")
+_STORE_HOURS = "store_id string, hour int, events long"
 _PRODUCTS = (
     T.StructType().add("product_id", "string").add("units_sold", "long").add("gross_sales", T.DecimalType(18, 2))
 )
 
 
+def _layout(columns: str) -> T.StructType:
+    return T.StructType.fromDDL(columns)
+
+
 def _add_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("store_id", "hour").agg(F.sum("events").alias("events"))
 
@@ -42,7 +48,7 @@ class LiveCounters:
     """Counters by store and hour and by product. Their size follows stores and products, not events."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.store_hours = StateTable(spark, f"{path}/store_hours", _STORE_HOURS, _add_counts)
+        self.store_hours = StateTable(spark, f"{path}/store_hours", _layout(_STORE_HOURS), _add_counts)
         self.products = StateTable(spark, f"{path}/products", _PRODUCTS, _add_products)
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
@@ -68,6 +74,33 @@ class LiveCounters:
         )
 
 
+class RunningCounts:
+    """Events by store and hour, counted in Spark's own stream state.
+
+    A batch hands on the new total of each key that it changed. The sink keeps the newest total, so a
+    batch that runs again, or rows that reach the sink twice, change nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fold_every: int = 20):
+        newest = lambda rows: latest_per_key(rows, ["store_id", "hour"], ["batch"])
+        self.totals = StateTable(spark, path, _layout(_STORE_HOURS).add("batch", "long"), newest, fold_every)
+
+    def run(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Count what the source holds now, batch by batch, and stop; call again to go on."""
+        state_on_disk(events.sparkSession)
+        return (
+            event_counts(events)
+            .writeStream.outputMode("update")
+            .foreachBatch(lambda batch, i: self.totals.apply(i, batch.withColumn("batch", F.lit(i).cast("long"))))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    def read(self) -> DataFrame:
+        return self.totals.read().drop("batch")
+
+
 def run_live(
     events: DataFrame,
     counters: LiveCounters,

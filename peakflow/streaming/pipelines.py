@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from peakflow.operators.latency import evidence
 from peakflow.operators.latest import latest_per_key
-from peakflow.schemas import READ_LATENCY
 from peakflow.session import state_on_disk
 from peakflow.sinks.files import write_evidence
 from peakflow.streaming.state import StateTable
@@ -34,6 +33,17 @@ def hourly_order_counts(events: DataFrame, late: str, time: str = "event_ts") ->
     return per_hour.select(F.col("window.start").alias("hour_start"), "store_id", "order_count")
 
 
+def closed_hours(events: DataFrame, late: str, time: str = "event_ts") -> DataFrame:
+    """Events per store and hour, given out once the watermark has passed the hour, and then forgotten.
+
+    Copies of an event go first, within the watermark. That operator sees every row, so the rows it
+    drops are the late ones, one by one; `ProgressLog.rows_dropped` tells how many they were.
+    """
+    once = without_duplicates(events, late, time=time)
+    per_hour = once.groupBy(F.window(time, "1 hour"), "store_id").agg(F.count("*").alias("events"))
+    return per_hour.select(F.col("window.start").alias("hour_start"), "store_id", "events")
+
+
 def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     state_on_disk(rows.sparkSession)
     return (
@@ -47,15 +57,16 @@ def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 class _BoundReached(Exception):
-    """Ends an observation before its next batch."""
+    """Ends an observation at its bound, with the batch it stopped in still to be done."""
 
 
 def run_to_evidence(rows: DataFrame, path: str, checkpoint: str, max_records: int | None = None) -> int:
     """Read latencies to CSV evidence, one folder per batch; returns how many records are written in all.
 
-    A batch that runs again replaces its own folder. `max_records` bounds an observation: the batch
-    that reaches it is written whole, and the next one stops the query before it is read, so that a
-    later run with a higher bound, or none, goes on there. No record is passed over.
+    `max_records` bounds what is written by this run and those before it, to the record: a batch that
+    goes beyond it is written up to the bound and not committed. A later run with a higher bound, or
+    none, reads that batch again and replaces its folder, so no record is passed over or there twice.
+    Records of a batch are numbered in the order of reading, which is the same each time.
     """
     spark, state = rows.sparkSession, T.StructType().add("records", "long")
     written = StateTable(spark, f"{path}-written", state, lambda n: n.agg(F.sum("records").alias("records")))
@@ -63,13 +74,19 @@ def run_to_evidence(rows: DataFrame, path: str, checkpoint: str, max_records: in
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         earlier = written.read(before=batch_id).first()["records"] or 0
-        if max_records is not None and earlier >= max_records:
-            at_bound.append(batch_id)
-            raise _BoundReached(f"{max_records} records are read")
-        folder = f"{path}/batch={batch_id}"
-        write_evidence(evidence(batch, earlier), folder, mode="overwrite")
-        added = spark.read.csv(folder, schema=READ_LATENCY, header=True).agg(F.count("*").alias("records"))
-        written.apply(batch_id, added)
+        room = None if max_records is None else max_records - earlier
+        if room is None or room > 0:
+            seen = Observation()
+            log = evidence(batch, earlier).observe(seen, F.count("*").alias("records"))
+            kept = log if room is None else log.where(F.col("records_read") <= max_records)
+            write_evidence(kept, f"{path}/batch={batch_id}", mode="overwrite")
+            records = seen.get["records"]
+            kept_records = records if room is None else min(records, room)
+            written.apply(batch_id, spark.createDataFrame([(kept_records,)], state))
+            if kept_records == records:
+                return
+        at_bound.append(batch_id)
+        raise _BoundReached(f"{max_records} records are read")
 
     query = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     try:

@@ -13,7 +13,8 @@ from peakflow.operators.latest import latest_per_key
 from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
 from peakflow.streaming import pipelines, windows
-from peakflow.streaming.live import LiveCounters, run_live
+from peakflow.streaming.live import LiveCounters, RunningCounts, run_live
+from peakflow.streaming.progress import ProgressLog
 
 
 def split_into(spark, sf_dir, folder, parts, suffix=""):
@@ -220,9 +221,10 @@ def test_bounded_observation(spark, sf_dir, tmp_path):
     stream = payloads.decode(streams.parquet_stream(spark, str(tmp_path / "in"), records.schema, 1))
     rows = latency.read_latencies(stream, F.col("read_at"), F.col("arrived_at"))
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=50) == 80  # whole batches of 40
-    assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=50) == 80
-    assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=120) == 120
+    for bound, written in ((10, 10), (10, 10), (50, 50), (80, 80), (81, 81), (500, 120)):
+        assert pipelines.run_to_evidence(rows, out, checkpoint, max_records=bound) == written
+        back = read_latency_csv(spark, f"{out}/*")
+        assert sorted(r.records_read for r in back.collect()) == list(range(1, written + 1))
     assert sorted(r.records_read for r in read_latency_csv(spark, f"{out}/*").collect()) == list(range(1, 121))
 
 
@@ -243,6 +245,54 @@ def test_stream_from_the_latest_file_on(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [10, 11]
 
 
+def test_stream_from_the_position_at_its_first_start(spark, tmp_path):
+    """Clocks play no part: a file that is dated back but lands after the start is read."""
+    home, schema = str(tmp_path / "in"), spark.range(0).schema
+
+    def land(first, last):
+        before = set((tmp_path / "in").glob("part-*")) if (tmp_path / "in").exists() else set()
+        spark.range(first, last).coalesce(1).write.mode("append").parquet(home)
+        for file in set((tmp_path / "in").glob("part-*")) - before:
+            os.utime(file, (1_700_000_000 - first, 1_700_000_000 - first))
+
+    def run():
+        rows = streams.latest_stream(spark, home, schema, str(tmp_path / "position"))
+        pipelines.run_to_parquet(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return sorted(r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())
+
+    land(0, 3)
+    assert run() == []
+    land(10, 12)
+    assert run() == [10, 11]
+    land(20, 22)
+    assert run() == run() == [10, 11, 20, 21]
+
+
+def test_running_counts_take_a_repeated_batch_once(spark, tmp_path):
+    counts = RunningCounts(spark, str(tmp_path / "totals"), fold_every=1)
+    rows = lambda *n: spark.createDataFrame([("s", 9, i) for i in n], "store_id string, hour int, events long")
+    for batch, total in ((0, 3), (0, 3), (1, 5), (1, 5), (2, 4)):  # the newest batch wins, not the largest total
+        counts.totals.apply(batch, rows(total).withColumn("batch", F.lit(batch).cast("long")))
+        assert [r.events for r in counts.read().collect()] == [total]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    """Rows read over several starts, rows too late, and what is held in the end."""
+    home = str(tmp_path / "in")
+    with ProgressLog(spark) as log:
+        for times in (["10:00", "10:10"], ["14:00"], ["18:00"], ["10:20", "18:10"], ["23:00"]):
+            rows = [(f"e{t}", "s", f"2024-01-01 {t}:00") for t in times]
+            events = spark.createDataFrame(rows, "event_id string, store_id string, t string")
+            events = events.withColumn("event_ts", F.col("t").cast("timestamp"))
+            events.coalesce(1).write.mode("append").parquet(home)
+            hours = pipelines.closed_hours(streams.parquet_stream(spark, home, events.schema), "1 hour")
+            log.wait(pipelines.run_to_parquet(hours, str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert (log.rows_read(), log.rows_dropped()) == (7, 1)
+    assert log.rows_held() <= 2  # the id and the hour of the last event
+    got = spark.read.schema("hour_start timestamp, store_id string, events long").parquet(str(tmp_path / "out"))
+    assert sorted((r.hour_start.hour, r.events) for r in got.collect()) == [(10, 2), (14, 1), (18, 2)]
+
+
 def test_broken_payloads_stay(spark):
     rows = spark.createDataFrame([("s", "!!"), ("s", "bm90IGpzb24="), ("s", None)], "partition_key string, data string")
     assert [r.event_id for r in payloads.decode(rows).collect()] == [None] * 3
