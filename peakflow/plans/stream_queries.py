@@ -276,15 +276,15 @@ def _answered(events):
 
 
 def _put_results(spark, sf_dir):
-    """Requests by batch and place, and the answer to each."""
-    events = _answered(tables.replay_events(spark, sf_dir))
-    numbered = publishing.with_batch_number(events).select(
-        F.concat_ws("-", "event_hour", "batch_no").alias("batch_id"),
-        F.col("batch_place").alias("seq"),
-        "event_id",
-        "error_code",
-    )
-    return numbered.select("batch_id", "seq", "event_id"), numbered.select("batch_id", "seq", "error_code")
+    """Two logs that know nothing of each other: requests by batch and place, and the answers by batch and place."""
+
+    def log(events, column):
+        numbered = publishing.with_batch_number(events)
+        batch = F.concat_ws("-", "event_hour", "batch_no").alias("batch_id")
+        return materialise(numbered.select(batch, F.col("batch_place").alias("seq"), column), f"log-{column}")
+
+    requests = tables.replay_events(spark, sf_dir).select("event_id", "event_ts")
+    return log(requests, "event_id"), log(_answered(tables.replay_events(spark, sf_dir)), "error_code")
 
 
 @query(
