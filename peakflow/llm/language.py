@@ -27,17 +27,20 @@ from peakflow.llm.crf import posteriors
 TABLE_BITS = 17
 UNKNOWN = "und"
 _DRAW = 1 << 30
-_LETTERS: list[np.ndarray] = []
+_TABLES: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    if not _LETTERS:
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is a letter, and whether it belongs to words: marks do, but make none."""
+    if not _TABLES:
         codes = np.r_[np.arange(0xD800), np.arange(0xE000, 0x110000)]
-        table = np.zeros(0x110000, bool)
-        for m in regex.finditer(r"[\p{L}\p{M}]+", "".join(map(chr, codes.tolist()))):
-            table[codes[m.start() : m.end()]] = True
-        _LETTERS.append(table)
-    return _LETTERS[0]
+        every = "".join(map(chr, codes.tolist()))
+        for pattern in (r"\p{L}+", r"[\p{L}\p{M}]+"):
+            table = np.zeros(0x110000, bool)
+            for m in regex.finditer(pattern, every):
+                table[codes[m.start() : m.end()]] = True
+            _TABLES.append(table)
+    return _TABLES[0], _TABLES[1]
 
 
 @dataclass
@@ -57,9 +60,12 @@ def split_words(texts: pa.Array) -> Words:
     texts = pc.utf8_lower(pc.fill_null(texts, ""))
     points = np.frombuffer("\n".join([*texts.to_pylist(), ""]).encode("utf-32-le", "replace"), np.uint32)
     ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    inside = _letters()[points]
+    letter, inside = (table[points] for table in _letters())
     turns = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
     start, end = turns[::2], turns[1::2]
+    letters = np.r_[0, np.cumsum(letter)]
+    word = letters[end] > letters[start]  # marks alone are none
+    start, end = start[word], end[word]
     prefix = prefix_hashes(mix(points.astype(np.uint64) + np.uint64(1)))
     codes, distinct = pd.factorize(mix(span_hashes(prefix, start, end) + (end - start).astype(np.uint64)))
     one = np.empty(len(distinct), np.int64)

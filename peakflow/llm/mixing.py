@@ -8,10 +8,12 @@ and cutting the list at the total budget gives every source its share.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakflow.llm.arrow_text import blocks, utf8, words
@@ -19,18 +21,26 @@ from peakflow.operators.ordering import join_facts, sorted_slices, with_row_numb
 from peakflow.session import materialise
 
 
+KEY = ("source", "doc_id", "text_key")  # rows that agree in it are copies, and told apart by a number
+_ROW = ("doc_id", "text_key", "row_no")
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         _, _, first = words(*utf8(batch.column("text")))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), pa.array(np.diff(first).astype(np.int64))],
-            ["doc_id", "source", "size"],
-        )
+        names = ["doc_id", "source", "text_key"]
+        sizes = pa.array(np.diff(first).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), sizes], [*names, "size"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of each row."""
-    return docs.select("doc_id", "source", "text").mapInArrow(_count_words, "doc_id long, source string, size long")
+    """doc_id, source, a hash of the text and the size in words of each row."""
+    rows = docs.select("doc_id", "source", "text", _text_key())
+    return rows.mapInArrow(_count_words, "doc_id long, source string, text_key long, size long")
 
 
 def _running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
@@ -80,18 +90,20 @@ def source_targets(sources: DataFrame, weights: Sequence[int], budget_share: flo
 def mix_plan(
     sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.0, most_copies: int = 3
 ) -> DataFrame:
-    """How many copies of each document the mix takes: source, doc_id, source_size, target, copies.
+    """How many copies of each document the mix takes: source, doc_id, text_key, row_no, size, source_size, target, copies.
 
-    `sizes` has doc_id, source and size. Rows of one source with the same doc_id, or with none, are
-    taken together and as often. The order within a source is that of a hash of the doc_id, so a
-    rerun takes the same documents. Documents without words take no part: copies 0.
+    `sizes` has doc_id, source, text_key and size. Every row is queued on its own: rows that share a
+    doc_id, or have none, go by their text, and full repeats are numbered from 0 (`row_no`). The order
+    within a source is that of a hash of doc_id and text, so a rerun takes the same documents.
+    Documents without words take no part: copies 0.
     """
-    items = sizes.groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
-    items = materialise(items.withColumn("_hash", F.xxhash64(F.lit(42), "doc_id")), "mix-items")
+    items = sizes.groupBy(*KEY).agg(F.first("size").alias("size"), F.count("*").alias("rows"))
+    items = items.withColumn("row_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).drop("rows")
+    items = materialise(items.withColumn("_hash", F.xxhash64(F.lit(42), "doc_id", "text_key")), "mix-items")
     sources = items.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, budget_share, most_copies)
     budget = targets.agg(F.sum("source_size").alias("size")).first().size or 0
-    queued = _running_total(items.where("size > 0"), ["source"], ["_hash", "doc_id"], "size", "_upto")
+    queued = _running_total(items.where("size > 0"), ["source"], ["_hash", *_ROW], "size", "_upto")
     queued = join_facts(queued, targets, ["source"])
     copies = queued.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(most_copies - 1)))).withColumns(
         {
@@ -100,22 +112,20 @@ def mix_plan(
             "_all": F.lit(0),
         }
     )
-    copies = copies.select("_all", "_time", "_last", "source", "_hash", "doc_id", "_copy", "size")
-    taken = _running_total(copies, ["_all"], ["_time", "_last", "source", "_hash", "doc_id", "_copy"], "size", "_sent")
-    taken = taken.where(F.col("_sent") <= F.lit(budget * budget_share)).groupBy("source", "doc_id").agg(
-        F.count("*").alias("copies")
-    )
-    taken = taken.withColumnsRenamed({"source": "_source", "doc_id": "_doc_id"})
-    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-    plan = join_facts(items, targets, ["source"]).join(taken, same, "left")
-    return plan.select("source", "doc_id", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))
+    copies = copies.select("_all", "_time", "_last", "source", "_hash", *_ROW, "_copy", "size")
+    taken = _running_total(copies, ["_all"], ["_time", "_last", "source", "_hash", *_ROW, "_copy"], "size", "_sent")
+    taken = taken.where(F.col("_sent") <= F.lit(budget * budget_share))
+    taken = taken.groupBy("source", *_ROW).agg(F.count("*").alias("copies"))
+    plan = _matched(join_facts(items, targets, ["source"]), taken, [*KEY, "row_no"], "left")
+    facts = ["source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies")]
+    return plan.select(*KEY, "row_no", "size", *facts)
 
 
-def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """`rows` with the columns of their source and document in `plan`; a null matches a null."""
-    plan = plan.withColumnsRenamed({"source": "_plan_source", "doc_id": "_plan_doc_id"})
-    same = F.col("source").eqNullSafe(F.col("_plan_source")) & F.col("doc_id").eqNullSafe(F.col("_plan_doc_id"))
-    return rows.join(plan, same).drop("_plan_source", "_plan_doc_id")
+def _matched(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """`rows` with the facts of the same key, where a null matches a null."""
+    facts = facts.withColumnsRenamed({c: f"_fact_{c}" for c in keys})
+    same = reduce(and_, [rows[c].eqNullSafe(facts[f"_fact_{c}"]) for c in keys])
+    return rows.join(facts, same, how).drop(*[f"_fact_{c}" for c in keys])
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -123,17 +133,28 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
     A null text has size 0; a null source is a source of its own, in the last place.
     """
-    sizes = materialise(word_counts(docs), "mix-sizes")
-    rows = with_plan(sizes, mix_plan(sizes, **options))
-    return rows.select(
+    plan = mix_plan(materialise(word_counts(docs), "mix-sizes"), **options)
+    return plan.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of `docs`."""
-    plan = mix_plan(materialise(word_counts(docs), "mix-sizes"), **options).select(
-        "source", "doc_id", F.col("copies").alias("_plan_copies")
-    )
-    rows = with_plan(docs, plan.where("_plan_copies > 0"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_plan_copies").cast("int")))).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken, with the columns of `docs`.
+
+    Rows that agree in source, doc_id and text are numbered over the cluster before they meet the plan.
+    """
+    plan = mix_plan(materialise(word_counts(docs), "mix-sizes"), **options).select(*KEY, "row_no", "copies")
+    plan = materialise(plan.withColumnsRenamed({c: f"_plan_{c}" for c in (*KEY, "row_no", "copies")}), "mix-plan")
+    several = plan.where("_plan_row_no > 0").select(*[F.col(f"_plan_{c}").alias(f"_several_{c}") for c in KEY]).distinct()
+    several = materialise(several, "mix-repeated")
+    rows = docs.withColumns({f"_own_{c}": F.col(c) for c in KEY[:2]} | {"_own_text_key": _text_key()})
+    own = [f"_own_{c}" for c in KEY]
+    repeats = reduce(and_, [rows[f"_own_{c}"].eqNullSafe(several[f"_several_{c}"]) for c in KEY])
+    alone = rows.join(several, repeats, "left_anti").withColumn("_own_row_no", F.lit(0).cast("long"))
+    copies = materialise(rows.join(several, repeats, "left_semi"), "mix-copies")
+    numbered = with_row_number(copies, own, [], "_own_row_no").select(alone.columns)
+    taken = plan.where("_plan_copies > 0")
+    same = reduce(and_, [F.col(f"_own_{c}").eqNullSafe(F.col(f"_plan_{c}")) for c in (*KEY, "row_no")])
+    out = alone.unionByName(numbered).join(taken, same)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_plan_copies").cast("int")))).select(*docs.columns)

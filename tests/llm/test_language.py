@@ -80,6 +80,11 @@ def test_odd_rows(spark):
     assert accepted(df, learned, 0.0).count() == 27 and accepted(df, learned).columns == df.columns
 
 
+def test_marks_alone_are_no_letters():
+    names, scores = model().label(pa.array(["\u0301\u0308 \u0327", "e\u0301te\u0301 the and", "\u0301"]))
+    assert names[0] == names[2] == "und" and scores[0] == 0 and names[1] != "und"
+
+
 def test_nothing_to_learn_from(spark):
     assert identify(empty_frame(spark), train(empty_frame(spark))).collect() == []
     df = odd_frame(spark).drop("lang").selectExpr("*", "cast(null as string) as lang")

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from peakflow.llm.mixing import mixed_documents, mixed_sizes
@@ -71,3 +72,50 @@ def test_empty_table(spark):
     assert mixed_documents(empty_frame(spark)).collect() == []
     blank = spark.createDataFrame([(1, None, "en", "a", 0)], SCHEMA)
     assert [(r.size, r.taken) for r in mixed_sizes(blank).collect()] == [(0, 0)]
+
+
+def test_rows_without_an_id_are_queued_one_by_one(spark):
+    """A source of rows without ids, some of them equal, comes as near its target as others."""
+    rows = [(None, words_at(i // 2, 40), "en", "a", 0) for i in range(60)]
+    rows += [(7, words_at(900 + i, 20), "en", "b", 0) for i in range(60)]  # one id for all
+    rows += [(100 + i, words_at(i, 10), "en", "c", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken, target = Counter(), {}
+    for r in mixed_sizes(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken % r.size == 0 and r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+    out = Counter()
+    for r in mixed_documents(docs).collect():
+        out[r.source] += len(r.text.split())
+    assert out == taken
+
+
+def plain_queue(rows, targets, budget, key):
+    """All copies sorted by virtual finish time, sent while the budget lasts."""
+    sent, copies = 0, []
+    for source, target in targets.items():
+        own = sorted((r for r in rows if r[3] == source), key=key)
+        at = 0
+        for copy in range(3):
+            for r in own:
+                at += len(r[1].split())
+                copies.append((at / target, source, key(r), copy, r[0], len(r[1].split())))
+    taken = Counter()
+    for *_, doc, size in sorted(copies):
+        sent += size
+        if sent > budget:
+            break
+        taken[doc] += size
+    return taken
+
+
+def test_equals_a_plain_queue(spark):
+    rows = [(i, words_at(i, 1 + i * 7 % 23), "en", f"s{i % 5 if i % 5 < 3 else 0}", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+    got = mixed_sizes(docs).collect()
+    targets = dict(sorted({r.source: r.target for r in got}.items()))
+    want = plain_queue(rows, targets, sum(r.size for r in got), lambda r: order[r[0]])
+    assert {r.doc_id: r.taken for r in got if r.taken} == dict(want)
