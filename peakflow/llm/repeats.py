@@ -6,8 +6,8 @@ suffixes would bring such places together; here only those are sorted that can h
 1. Every window of `length` bytes chooses an anchor, the gram in it with the smallest hash. Equal
    windows choose the same gram at the same place, so windows are compared only under one gram.
    Neighbouring windows with one anchor make a segment of text.
-2. Grams that anchor a single segment are dropped. Equal segments under a gram are one variant;
-   when there are two or more, all their windows are repeated.
+2. Equal segments under a gram are one variant; when there are two or more, all their windows are
+   repeated. Only under a gram with several variants are the bytes of each variant fetched, once.
 3. Of the variants left under a gram, the windows are suffixes to be sorted. Those with the anchor
    at the same distance make a bucket. A mergesort over all buckets at once compares two suffixes by
    prefix polynomial hashes: a binary search finds how far they agree, the next byte decides.
@@ -35,6 +35,7 @@ GRAM = 32
 BITMAP_BITS = 1 << 25
 MOST_VARIANTS = 20_000
 _PLACE_BITS = 28
+_BLOCK_SLOTS = 1 << 15
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
 
@@ -76,45 +77,51 @@ class Segments:
         self.content = signed(mix(whole + mix(shape)))
 
 
-def _keys(length: int, gram: int):
+def _packed(slots: pa.Table) -> pa.Table:
+    """One block of the bitmap from the slots that are set in it."""
+    slot = slots.column("slot").to_numpy()
+    bits = np.zeros(_BLOCK_SLOTS, bool)
+    bits[slot % _BLOCK_SLOTS] = True
+    return pa.table([pa.array([int(slot[0]) // _BLOCK_SLOTS]), pa.array([np.packbits(bits).tobytes()])], ["block", "bits"])
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """The low bits of the keys as a map; its blocks are packed by many tasks, and all are four MiB at most."""
+    slots = keys.select(F.col("key").bitwiseAND(BITMAP_BITS - 1).alias("slot")).distinct()
+    blocks_ = slots.withColumn("block", F.floor(F.col("slot") / _BLOCK_SLOTS))
+    packed = blocks_.groupBy("block").applyInArrow(_packed, "block long, bits binary")
+    held = np.zeros((BITMAP_BITS // _BLOCK_SLOTS, _BLOCK_SLOTS // 8), np.uint8)
+    for row in packed.toLocalIterator():
+        held[row.block] = np.frombuffer(row.bits, np.uint8)
+    return held.tobytes()
+
+
+def _places(length: int, gram: int):
+    """All segments, without their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            found = Segments(*utf8(batch.column("text")), length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(found.key, pa.int64())], ["key"])
+            data, offsets = utf8(batch.column("text"))
+            found = Segments(data, offsets, length, gram)
+            columns = [pa.array(x) for x in (found.key, found.content, found.start - offsets[found.text], found.size)]
+            text_id = batch.column("text_id").take(pa.array(found.text))
+            yield pa.RecordBatch.from_arrays([*columns, text_id], ["key", "content", "start", "size", "text_id"])
 
     return run
 
 
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITMAP_BITS, bool)
-    for batch in batches:
-        bits[batch.column(0).to_numpy() & (BITMAP_BITS - 1)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-
-def _members(length: int, gram: int, bits: bytes):
-    """Segments whose gram may anchor another one too; the bitmap lets some others through."""
+def _bytes(length: int, gram: int, bits: bytes):
+    """Segments whose gram is in the map, which lets some others through, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for batch in blocks(batches):
             data, offsets = utf8(batch.column("text"))
             found = Segments(data, offsets, length, gram)
-            use = np.flatnonzero(shared[found.key & (BITMAP_BITS - 1)])
-            start, size, text = found.start[use], found.size[use], found.text[use]
-            cut = [data[a : a + n].tobytes() for a, n in zip(start, size)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found.key[use]),
-                    pa.array(found.content[use]),
-                    batch.column("text_id").take(pa.array(text)),
-                    pa.array(start - offsets[text]),
-                    pa.array(size),
-                    pa.array(found.anchor[use]),
-                    pa.array(cut, pa.binary()),
-                ],
-                ["key", "content", "text_id", "start", "size", "anchor", "bytes"],
-            )
+            use = np.flatnonzero(wanted[found.key & (BITMAP_BITS - 1)])
+            cut = [data[a : a + n].tobytes() for a, n in zip(found.start[use], found.size[use])]
+            columns = [pa.array(x[use]) for x in (found.key, found.content, found.anchor)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], ["key", "content", "anchor", "bytes"])
 
     return run
 
@@ -334,32 +341,25 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Dat
 
     Equal texts must have the same text_id; a text without repeated bytes has no row.
     """
-    keys = texts.select("text").mapInArrow(_keys(length, gram), "key long")
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    maps = shared.coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # eight maps of four MiB at most
-    none = np.zeros(BITMAP_BITS // 8, np.uint8)
-    bits = np.bitwise_or.reduce([none, *(np.frombuffer(m.bits, np.uint8) for m in maps)]).tobytes()
-    members = materialise(
-        texts.mapInArrow(
-            _members(length, gram, bits),
-            "key long, content long, text_id long, start long, size long, anchor long, bytes binary",
-        ),
-        "segments",
-    )
-    variants = members.groupBy("key", "content").agg(
-        F.count("*").alias("copies"), F.first("size").alias("size"),
-        F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"),
-    )
+    places = "key long, content long, start long, size long, text_id binary"
+    members = materialise(texts.mapInArrow(_places(length, gram), places), "segments")
+    variants = members.groupBy("key", "content").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
     variants = materialise(variants, "variants")
     grams = materialise(variants.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1"), "grams")
+    # Bytes are wanted only under grams with several variants, once for each; so the texts are cut a second time.
+    cut = texts.mapInArrow(_bytes(length, gram, _bitmap(grams)), "key long, content long, anchor long, bytes binary")
+    held = cut.groupBy("key", "content").agg(
+        F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes")
+    )
+    held = materialise(held, "variant-bytes")
     few = grams.where(F.col("variants") <= MOST_VARIANTS).select("key")
-    sort = variants.join(few, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    sort = held.join(few, "key", "left_semi").repartition("key").sortWithinPartitions("key")
     sort = sort.select("key", "content", "copies", "anchor", "bytes")
     spans = "array<struct<start:int,end:int>>"
     found = sort.mapInArrow(_sort_variants(length), f"key long, content long, spans {spans}").where(F.size("spans") > 0)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end"))).cast(spans)
     alone = variants.where("copies > 1").join(grams, "key", "left_anti").select("key", "content", whole.alias("spans"))
-    many = variants.join(grams.where(F.col("variants") > MOST_VARIANTS), "key", "left_semi")
+    many = held.join(grams.where(F.col("variants") > MOST_VARIANTS), "key", "left_semi")
     verdicts = materialise(found.unionAll(alone).unionAll(_spread_spans(many, length)), "verdicts")
     spread = members.select("key", "content", "text_id", "start").join(verdicts, ["key", "content"])
     placed = spread.select("text_id", "start", F.explode("spans").alias("span")).select(
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM) -> Data
     left may not be valid UTF-8, so it is binary. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("text_id", F.xxhash64("text"))
+    rows = rows.withColumn("text_id", F.unhex(F.md5("text")))
     spans = repeated_spans(rows.select("text_id", "text"), length, gram)
     joined = rows.join(spans, "text_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
