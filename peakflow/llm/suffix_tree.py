@@ -1,17 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A state of the tree is a context: the last one, two, ... words. Contexts are counted on all training
-documents and kept when they are frequent enough and when the distribution of what follows diverges
-from that of the next shorter context. A kept context lists the symbols it gives a probability of
-its own; what is left of its mass goes to the other symbols in proportion to the shorter context, and
-the empty context smooths all word counts. A token is scored in the state of the longest suffix of
-what stands before it.
-
-The tree grows with the corpus: every context seen `least_count` times can be a state, and a kept
-context lists all that followed it. So neither the tree nor the word counts are ever sent whole.
-Documents are stored in blocks. What a block has seen (its distinct words, and for each length the
-distinct pairs of a context and its symbol, already added up) meets that of all blocks by word or
-pair, and the sums come back to the block. A block that had all occurrences needs no answer.
+A context is the last one, two, ... words before a token. It is counted when the training documents
+have it `least_count` times, and its distribution is smoothed by that of the next shorter context:
+
+    P(symbol | context) = max(n - discount, 0) / total + discount * followers / total * P(symbol | shorter)
+
+down to the smoothed word counts, so the chances of every context add up to one. A context passes the
+divergence test when the training tokens after it gain `least_divergence` bits on average over the
+shorter context. The states of the tree are the contexts that pass and all their suffixes, also those
+that do not pass themselves. A token is scored in the longest state that ends before it.
+
+The tree grows with the corpus: nothing but frequency and divergence decides what is a state, and
+neither tree nor counts are ever sent whole. Documents are stored in blocks, dealt to buckets once.
+A block asks for the words, then for each length for the pairs of a context and its symbol, as packed
+sorted lists, one to each cell of words or contexts; a cell adds up what all blocks have and answers
+in the order asked, so answers carry no keys. Words, and pairs that can be contexts, get numbers in
+their cell: a longer context is the number of a pair, and no two contexts are taken for one another.
+A context with very many tokens is dealt to several cells by its symbols.
 """
 
 from __future__ import annotations
@@ -21,16 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakflow.llm.arrow_text import blocks, mix, utf8, word_hashes, words
-from peakflow.session import materialise
+from peakflow.session import materialise, materialise_in_buckets
 
 BLOCK_BYTES = 8 << 20
+CELL_BYTES = 12 << 20  # of text for each cell
+HOT_TOKENS = 1 << 17  # a context with more tokens is dealt to more cells
 END = np.uint64(0xE4D0F7E27ED0F7E3)  # stands after the last word of a text
-_CONTEXT_STEP = np.uint64(0xD6E8FEB86659FD93)
+BITS = 20  # of a gain behind the point: sums of whole numbers do not depend on their order
+_LOW = np.int64((1 << 32) - 1)
 
 
 def held_out(modulus: int = 5, remainder: int = 1) -> Column:
@@ -60,191 +69,359 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one block at a time; blocks are stored together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            if held and z > a and held[0].column("block")[0].as_py() != block[a]:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            if z > a:
-                held.append(batch.slice(a, z - a))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n): distinct words of a block and how often its training documents have them."""
-    for table in _by_block(batches):
-        hashes, bounds = tokens_of(table.column("text").combine_chunks())
-        learn = np.repeat(~table.column("held_out").to_numpy(), np.diff(bounds))
-        distinct, codes = np.unique(hashes, return_inverse=True)
-        n = np.bincount(codes[learn], minlength=len(distinct))
-        block = np.full(len(distinct), table.column("block")[0].as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block), pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))], ["block", "word", "n"]
-        )
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers by planes of bytes, compressed; of rising ones the differences."""
+    values = np.ascontiguousarray(values, np.int64)
+    if rising and len(values):
+        values = np.r_[values[:1], np.diff(values)]
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def contexts_of(hashes: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the hash of the `depth` tokens before it, and whether they all lie in its text."""
-    out = np.zeros(len(hashes), np.uint64)
-    for back in range(1, depth + 1):
-        step = np.uint64(pow(int(_CONTEXT_STEP), back, 1 << 64))
-        out[back:] += mix(hashes[: len(hashes) - back]) * step
-    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    return mix(out + np.uint64(depth)), place >= depth
+def unpacked(data: bytes, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    return np.cumsum(values) if rising else values
 
 
-def _member(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The place of each asked value in sorted distinct values, or -1."""
-    if not len(sorted_values):
-        return np.full(len(asked), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == asked, at, -1)
+def _pieces(cell: np.ndarray) -> list[tuple[int, int, int]]:
+    """(cell, first, last + 1) of each run in a sorted list of cells."""
+    cuts = np.flatnonzero(np.diff(cell)) + 1
+    return list(zip(cell[np.r_[0, cuts]].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(cell)])) if len(cell) else []
 
 
-def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context * _CONTEXT_STEP + symbol)
+def _spread(numbers: np.ndarray, salt: np.ndarray | int, cells: int) -> np.ndarray:
+    """The cell of each number; with a salt above zero another one."""
+    mixed = mix(numbers.view(np.uint64) + np.uint64(1) + mix(np.atleast_1d(salt).astype(np.uint64)))
+    return (mixed % np.uint64(cells)).astype(np.int64)
 
 
-@dataclass
-class Walk:
-    """The tokens of a block, scored level by level by what is known of its words, pairs and contexts."""
+ASKS = pa.schema([("block", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
+ANSWERS = pa.schema([("block", pa.int64()), ("level", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abc"]])
+GAINS = pa.schema([("level", pa.int64()), *ASKS])
+_ASKS, _ANSWERS = "block long, cell long, a binary, b binary, c binary, d binary", "block long, level long, cell long, a binary, b binary, c binary"
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else schema.empty_table()
 
-    tokens: int
-    distinct: int
-    least_count: int
-    discount: float
 
-    def start(self, docs: pa.Table, known: pa.Table) -> None:
-        self.hashes, self.bounds = tokens_of(docs.column("text").combine_chunks())
+@dataclass
+class Walk:
+    """The tokens of a block, counted and given chances level by level by what the cells answered."""
+
+    cells: int
+    tokens: int = 0
+    distinct: int = 0
+    least_count: int = 4
+    discount: float = 0.5
+
+    def read(self, docs: pa.Table) -> None:
+        """Tokens as codes of the block's distinct words, which stand by cell and hash."""
+        hashes, self.bounds = tokens_of(docs.column("text").combine_chunks())
+        self.block = docs.column("block")[0].as_py()
         self.learn = np.repeat(~docs.column("held_out").to_numpy(), np.diff(self.bounds))
-        what = known.column("what").to_numpy()
-        self.key, self.value = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy()
-        self.rows = {w: np.flatnonzero(what == w) for w in np.unique(what).tolist()}
-        distinct, codes = np.unique(self.hashes, return_inverse=True)
-        words, counts = self.answers(0)
-        self.seen = counts[np.searchsorted(words, distinct)].astype(np.int64)[codes]
-        self.before = self.seen  # how often each token and the context before it were seen
-        self.chance = self.root = (self.seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        self.open = np.ones(len(self.hashes), bool)
-
-    def answers(self, what: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys of a kind and their values."""
-        rows = self.rows.get(what, np.empty(0, np.int64))
-        rows = rows[np.argsort(self.key[rows])]
-        return self.key[rows], self.value[rows]
-
-    def pairs(self, depth: int) -> None:
-        """The pairs of this length: the tokens that have a context that may be a state, and their distinct pairs."""
-        context, inside = contexts_of(self.hashes, self.bounds, depth)
-        total = np.r_[0, self.before[:-1]]  # a context was seen as often as its last word after the others
-        self.at = np.flatnonzero(inside & self.open & (total >= self.least_count))
-        self.context, self.total = context[self.at], total[self.at]
-        self.distinct_pairs, self.first, self.codes = np.unique(
-            _pair(self.context, self.hashes[self.at]), return_index=True, return_inverse=True
-        )
-        self.own = np.bincount(self.codes[self.learn[self.at]], minlength=len(self.distinct_pairs))
-
-    def step(self, depth: int) -> None:
-        """Score the tokens whose context of this length is a state."""
-        self.pairs(depth)
-        asked, counts = self.answers(2 * depth - 1)
-        place, n = _member(asked, self.distinct_pairs), self.own.copy()
-        n[place >= 0] = counts[place[place >= 0]]
-        n = n[self.codes]
-        contexts, left = self.answers(2 * depth)
-        state = _member(contexts, self.context)
-        kept, at = state >= 0, self.at[state >= 0]
-        shorter = self.chance[at]
-        self.chance = self.chance.copy()
-        self.chance[at] = np.where(
-            n[kept] > 0, (n[kept] - self.discount) / self.total[kept], left[state[kept]] * shorter
+        self.place = np.arange(len(hashes)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
+        distinct, codes = np.unique(hashes, return_inverse=True)
+        cell = (distinct % np.uint64(self.cells)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        self.words, self.cell, self.codes = distinct[order], cell[order], np.argsort(order)[codes]
+
+    def asked_words(self) -> list[tuple]:
+        n = np.bincount(self.codes[self.learn], minlength=len(self.words))
+        return [
+            (self.block, c, packed(self.words[i:j].view(np.int64), True), packed(n[i:j]), b"", b"")
+            for c, i, j in _pieces(self.cell)
+        ]
+
+    def hear(self, known: pa.Table) -> None:
+        """Sort the answers by level and cell; give all tokens their chances by word counts."""
+        rows = known.select(["level", "cell", "a", "b", "c"]).to_pylist()
+        self.known: dict[int, list[dict]] = {}
+        for r in sorted(rows, key=lambda r: (r["level"], r["cell"])):
+            self.known.setdefault(r["level"], []).append(r)
+        count, number = self.told(0, "a"), self._numbers(0, np.ones(len(self.words), bool))
+        order = np.argsort(number)  # codes rise with the numbers from here on
+        self.number, self.symbol = number[order], np.argsort(order)[self.codes]
+        seen = count[order]
+        self.seen = seen[self.symbol]
+        self.root = (self.seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+        self.chance = self.longest = self.root
+        self.context, self.total = self.number, seen
+        self.before = np.r_[0, self.symbol[:-1]]
+        self.suffixes = np.empty((0, len(self.number)), np.int64)  # of each context, from the shortest on
+        self.open = self.place >= 1
+
+    def told(self, level: int, column: str) -> np.ndarray:
+        parts = [unpacked(r[column]) for r in self.known.get(level, [])]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    def _numbers(self, level: int, which: np.ndarray) -> np.ndarray:
+        """Numbers, unlike from cell to cell, of the words or pairs that got one."""
+        out = np.full(len(which), -1, np.int64)
+        parts = [unpacked(r["b"], True) * self.cells + r["cell"] for r in self.known.get(level, [])]
+        out[which] = np.concatenate(parts) if parts else 0
+        return out
+
+    def pairs(self) -> None:
+        """Distinct pairs of a context and its symbol by cell, context and symbol, and the contexts of each cell."""
+        self.at = np.flatnonzero(self.open & (self.total[self.before] >= self.least_count))
+        code, symbol = self.before[self.at], self.symbol[self.at]
+        shares = -(-self.total // HOT_TOKENS)
+        home = _spread(self.context, 0, self.cells)
+        cell, hot = home[code], np.flatnonzero(shares[code] > 1)
+        salt = _spread(self.number[symbol[hot]], 1, 1 << 40) % shares[code[hot]]
+        cell[hot] = _spread(self.context[code[hot]], salt, self.cells)
+        asked = np.unique(code[hot])  # a context of many cells is told about in each
+        of = np.repeat(asked, shares[asked])
+        salt = np.arange(len(of)) - np.repeat(np.cumsum(shares[asked]) - shares[asked], shares[asked])
+        entry = (cell << 32) | code
+        self.entries = np.unique(np.r_[np.unique(entry), (_spread(self.context[of], salt, self.cells) << 32) | of])
+        pair = (np.searchsorted(self.entries, entry) << 32) | symbol
+        self.distinct_pairs, self.pair = np.unique(pair, return_inverse=True)
+
+    def asked_pairs(self) -> list[tuple]:
+        self.pairs()
+        own = np.bincount(self.pair[self.learn[self.at]], minlength=len(self.distinct_pairs))
+        entry, symbol = self.distinct_pairs >> 32, self.number[self.distinct_pairs & _LOW]
+        many = np.bincount(entry, minlength=len(self.entries))
+        step = np.r_[symbol[:1], np.where(np.diff(entry) == 0, np.diff(symbol), symbol[1:])]
+        first = np.searchsorted(entry, np.arange(len(self.entries) + 1))
+        out = []
+        for c, i, j in _pieces(self.entries >> 32):
+            x, y = first[i], first[j]
+            context = self.context[self.entries[i:j] & _LOW]
+            out.append((self.block, c, packed(context, True), packed(many[i:j]), packed(step[x:y]), packed(own[x:y])))
+        return out
+
+    def step(self, level: int) -> None:
+        """Take the answers about the pairs of this length; the pairs seen often enough are the next contexts."""
+        self.pairs()
+        n = self.told(level, "a")
+        code = self.entries & _LOW
+        followers = np.bincount(code, self.told(level, "c"), len(self.context))
+        here = self.before[self.at]
+        self.shorter, self.chance = self.chance, self.chance.copy()
+        left = self.discount * followers[here] / self.total[here]
+        self.chance[self.at] = np.maximum(n[self.pair] - self.discount, 0) / self.total[here] + left * self.shorter[self.at]
+        self.here, self.level = here, level
+
+    def gains(self) -> list[tuple]:
+        """What the training tokens after each context gain over the shorter one, and the suffixes of the context."""
+        learn = self.learn[self.at]
+        at, code = self.at[learn], self.here[learn]
+        gain = np.rint(np.log2(self.chance[at] / self.shorter[at]) * (1 << BITS)).astype(np.int64)
+        summed = np.zeros(len(self.context), np.int64)
+        np.add.at(summed, code, gain)
+        asked, cell = self._asked_contexts()
+        return [
+            (
+                self.level, self.block, c, packed(self.context[asked[i:j]], True), packed(summed[asked[i:j]]),
+                packed(self.total[asked[i:j]]), packed(self.suffixes[:, asked[i:j]].ravel()),
+            )
+            for c, i, j in _pieces(cell)
+        ]
+
+    def _asked_contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of this length by cell, and their cells."""
+        asked = np.unique(self.here)
+        cell = _spread(self.context[asked], 0, self.cells)
+        order = np.argsort(cell, kind="stable")
+        return asked[order], cell[order]
+
+    def choose(self) -> None:
+        """Score the tokens after a state of this length."""
+        asked, _ = self._asked_contexts()
+        state = np.zeros(len(self.context), bool)
+        state[asked] = self.told(-self.level, "a") > 0
+        here = self.at[state[self.here]]
+        self.longest = self.longest.copy()
+        self.longest[here] = self.chance[here]
+
+    def lengthen(self) -> None:
+        """Go from contexts to those of one word more: the pairs that have a number."""
+        n = self.told(self.level, "a")
+        number = self._numbers(self.level, n >= self.least_count)
+        found = np.flatnonzero(number >= 0)
+        order = found[np.argsort(number[found])]
+        code = np.zeros(len(n), np.int64)
+        code[order] = np.arange(len(order))
+        place = np.empty(len(n), np.int64)
+        place[self.pair] = self.at + 1  # before which token a pair stands as a context
+        shorter = self.before[np.minimum(place[order], len(self.before) - 1)]
+        before = np.zeros(len(self.symbol) + 1, np.int64)
+        longer = np.zeros(len(self.symbol) + 1, bool)
+        before[self.at + 1] = code[self.pair]
+        longer[self.at + 1] = number[self.pair] >= 0
+        self.suffixes = np.concatenate([self.suffixes[:, shorter], self.context[shorter][None]])
+        self.context, self.total = number[order], n[order]
+        self.before, self.open = before[:-1], longer[:-1] & (self.place > self.level)
+
+    def scores(self, docs: pa.Table) -> pa.Table:
+        begins = self.bounds[:-1]
+        return pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "held_out": docs.column("held_out"),
+                "n_tokens": pa.array(np.diff(self.bounds)),
+                "n_known": pa.array(np.add.reduceat((self.seen > 0).astype(np.int64), begins)),
+                "train_tokens": pa.array(np.full(len(docs), self.tokens, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10(self.root), begins)),
+                "score": pa.array(np.add.reduceat(np.log10(self.longest), begins)),
+            }
         )
-        self.before = np.zeros(len(self.hashes), np.int64)
-        self.before[self.at] = n
-        self.open = np.zeros(len(self.hashes), bool)  # a longer context is kept only with its suffix
-        self.open[at] = True
 
 
-def _block_pairs(walk: Walk, depth: int):
-    """(block, context, pair, n, shorter): distinct pairs of a block, and with n = -1 the contexts it asks for."""
-    names = ["block", "context", "pair", "n", "shorter"]
+def _block_words(cells: int):
+    def run(docs: pa.Table) -> pa.Table:
+        walk = Walk(cells)
+        walk.read(docs.combine_chunks())
+        return _table(walk.asked_words(), ASKS)
+
+    return run
+
+
+def _visit(walk: Walk, what, empty: pa.Table):
+    """What a block has to say when it has heard the answers."""
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         if not len(docs):
-            return pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.float64())], names)
-        docs, block = docs.combine_chunks(), docs.column("block")[0].as_py()
-        walk.start(docs, known)
-        for d in range(1, depth):
-            walk.step(d)
-        walk.pairs(depth)
-        asked = np.unique(walk.context)
-        alone = mix(asked + mix(np.array([block + 1], np.uint64)))  # a key of its own, so that no task has all of them
-        return pa.table(
-            [
-                pa.array(np.full(len(walk.first) + len(asked), block, np.int64)),
-                pa.array(np.r_[walk.context[walk.first], asked].view(np.int64)),
-                pa.array(np.r_[walk.distinct_pairs, alone].view(np.int64)),
-                pa.array(np.r_[walk.own, np.full(len(asked), -1)].astype(np.int64)),
-                pa.array(np.r_[walk.chance[walk.at[walk.first]], np.zeros(len(asked))]),
-            ],
-            names,
-        )
+            return empty
+        docs = docs.combine_chunks()
+        walk.read(docs)
+        walk.hear(known)
+        return what(docs)
 
     return run
 
 
-def _answers(counted: DataFrame, level: int, least_divergence: float, discount: float) -> DataFrame:
-    """What blocks are told: counts of pairs that others had too, and what kept contexts leave to the shorter one."""
-    told = counted.where((F.col("n") >= 0) & (F.col("c") != F.col("n")))
-    told = told.select("block", F.lit(2 * level - 1).alias("what"), F.col("pair").alias("key"), F.col("c").cast("double").alias("value"))
-    own = F.col("c") - F.lit(discount)
-    stats = counted.where("first AND n >= 0 AND c > 0").groupBy("context").agg(
-        F.sum("c").alias("total"),
-        F.sum(own).alias("own"),
-        F.sum("shorter").alias("shorter"),
-        F.sum(own * F.log2(own / F.col("shorter"))).alias("bits"),
-    )
-    left, left_shorter = 1 - F.col("own") / F.col("total"), F.greatest(1 - F.col("shorter"), F.lit(1e-12))
-    gain = (F.col("bits") - F.col("own") * F.log2("total")) / F.col("total")
-    gain = gain + left * F.log2(F.greatest(left, F.lit(1e-12)) / left_shorter)
-    kept = stats.where(gain >= least_divergence).select("context", (left / left_shorter).alias("value"))
-    asked = counted.where("n < 0").select("block", "context").join(kept, "context")
-    return told.unionAll(asked.select("block", F.lit(2 * level).alias("what"), F.col("context").alias("key"), "value"))
+def _block_pairs(walk: Walk, level: int):
+    def what(docs: pa.Table) -> pa.Table:
+        for shorter in range(1, level):
+            walk.step(shorter)
+            walk.lengthen()
+        return _table(walk.asked_pairs(), ASKS)
+
+    return _visit(walk, what, ASKS.empty_table())
+
+
+def _block_gains(walk: Walk, depth: int):
+    def what(docs: pa.Table) -> pa.Table:
+        out = []
+        for level in range(1, depth + 1):
+            walk.step(level)
+            out += walk.gains()
+            walk.lengthen()
+        return _table(out, GAINS)
+
+    return _visit(walk, what, GAINS.empty_table())
+
+
+def _block_scores(walk: Walk, depth: int):
+    def what(docs: pa.Table) -> pa.Table:
+        for level in range(1, depth + 1):
+            walk.step(level)
+            walk.choose()
+            walk.lengthen()
+        return walk.scores(docs)
+
+    return _visit(walk, what, SCORES.empty_table())
+
+
+SCORES = pa.schema(
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")]]
+    + [("base_score", pa.float64()), ("score", pa.float64())]
+)
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Parts in a row, and where each begins, one entry more."""
+    return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+
+
+def _count_words(asks: pa.Table) -> pa.Table:
+    """Counts and numbers of the words of a cell; with no block, the cell's tokens and its words seen in training."""
+    rows = asks.to_pylist()
+    words, bounds = _joined([unpacked(r["a"], True).view(np.uint64) for r in rows])
+    n, _ = _joined([unpacked(r["b"]) for r in rows])
+    distinct, at = np.unique(words, return_inverse=True)
+    count = np.zeros(len(distinct), np.int64)
+    np.add.at(count, at, n)
+    out = [
+        (r["block"], 0, r["cell"], packed(count[at[i:j]]), packed(at[i:j], True), b"")
+        for r, i, j in zip(rows, bounds[:-1], bounds[1:])
+    ]
+    return _table([*out, (None, int(count.sum()), int((count > 0).sum()), b"", b"", b"")], ANSWERS)
+
+
+def _count_pairs(level: int, least_count: int):
+    def run(asks: pa.Table) -> pa.Table:
+        """Counts of the pairs of a cell, numbers of those that can be contexts, followers of each context."""
+        rows = asks.to_pylist()
+        entries, entry_bounds = _joined([unpacked(r["a"], True) for r in rows])
+        many, _ = _joined([unpacked(r["b"]) for r in rows])
+        step, bounds = _joined([unpacked(r["c"]) for r in rows])
+        own, _ = _joined([unpacked(r["d"]) for r in rows])
+        begin = np.cumsum(many) - many
+        symbol = np.cumsum(step)
+        base = np.where(begin > 0, symbol[begin - 1], 0) if len(symbol) else np.zeros(len(begin), np.int64)
+        symbol -= np.repeat(base, many)
+        contexts, context = np.unique(entries, return_inverse=True)
+        symbols, symbol = np.unique(symbol, return_inverse=True)
+        pairs, at = np.unique((np.repeat(context, many) << 32) | symbol, return_inverse=True)
+        count = np.zeros(len(pairs), np.int64)
+        np.add.at(count, at, own)
+        followers = np.bincount(pairs[count > 0] >> 32, minlength=len(contexts))
+        number = np.cumsum(count >= least_count) - 1
+        out = []
+        for k, r in enumerate(rows):
+            here = at[bounds[k] : bounds[k + 1]]
+            mine = context[entry_bounds[k] : entry_bounds[k + 1]]
+            numbers = number[here[count[here] >= least_count]]
+            out.append((r["block"], level, r["cell"], packed(count[here]), packed(numbers, True), packed(followers[mine])))
+        return _table(out, ANSWERS)
 
+    return run
 
-def _score_block(walk: Walk, depth: int):
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        if not len(docs):
-            return docs.select(["doc_id", "held_out"]).slice(0, 0)
-        walk.start(docs, known)
-        for d in range(1, depth + 1):
-            walk.step(d)
-        begins = walk.bounds[:-1]
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(np.diff(walk.bounds)),
-                "n_known": pa.array(np.add.reduceat((walk.seen > 0).astype(np.int64), begins)),
-                "train_tokens": pa.array(np.full(len(docs), walk.tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(np.log10(walk.root), begins)),
-                "score": pa.array(np.add.reduceat(np.log10(walk.chance), begins)),
-            }
+
+def _passing(cells: int, least_divergence: float):
+    def run(key: tuple[pa.Scalar, ...], gains: pa.Table) -> pa.Table:
+        """The contexts of a cell that pass the test, and their suffixes, each for the cell of its own."""
+        level, rows = key[0].as_py(), gains.to_pylist()
+        contexts, first, at = np.unique(
+            np.concatenate([unpacked(r["a"], True) for r in rows]), return_index=True, return_inverse=True
         )
+        gain = np.zeros(len(contexts), np.int64)
+        np.add.at(gain, at, np.concatenate([unpacked(r["b"]) for r in rows]))
+        total = np.concatenate([unpacked(r["c"]) for r in rows])[first]
+        suffixes = np.concatenate([unpacked(r["d"]).reshape(level - 1, -1) for r in rows], axis=1) if level > 1 else ()
+        passed = gain >= least_divergence * (1 << BITS) * total
+        out = []
+        for shorter, found in enumerate([*[s[first][passed] for s in suffixes], contexts[passed]], 1):
+            found = np.unique(found)
+            cell = _spread(found, 0, cells)
+            order = np.argsort(cell, kind="stable")
+            out += [(shorter, None, c, packed(found[order[i:j]], True), b"", b"", b"") for c, i, j in _pieces(cell[order])]
+        return _table(out, GAINS)
 
     return run
 
 
+def _states(gains: pa.Table, marks: pa.Table) -> pa.Table:
+    """For each block which of the contexts it asked for are states, under the level below zero."""
+    states = np.unique(np.concatenate([np.empty(0, np.int64), *[unpacked(x, True) for x in marks.column("a").to_pylist()]]))
+    return _table(
+        [
+            (r["block"], -r["level"], r["cell"], packed(np.isin(unpacked(r["a"], True), states)), b"", b"")
+            for r in gains.to_pylist()
+        ],
+        ANSWERS,
+    )
+
+
 def suffix_tree_scores(
     docs: DataFrame,
-    depth: int = 2,
+    depth: int = 3,
     least_count: int = 4,
     least_divergence: float = 0.01,
     discount: float = 0.5,
@@ -253,44 +430,33 @@ def suffix_tree_scores(
 
     Words are lower-cased (A-Z) and split at ASCII white space; each text has an end token after its
     words, so a null or empty text is scored too. `base_score` is the log10 probability of the tokens
-    by smoothed word counts alone, `score` that of the tree. A null doc_id is in training; repeated
-    rows are learned and scored as often. With nothing to learn from, every token is unknown.
-    Other columns are ignored.
+    by smoothed word counts alone, `score` that of the tree, whose longest states have `depth` words.
+    A null doc_id is in training; repeated rows are learned and scored as often. With nothing to learn
+    from, every token is unknown. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = size // CELL_BYTES + 1
     schema = "block long, doc_id long, text string, held_out boolean"
-    stored = materialise(rows.mapInArrow(_into_blocks, schema), "lm-blocks")
-    found = stored.mapInArrow(_block_words, "block long, word long, n long")
-    by_word = Window.partitionBy("word")
-    counted = materialise(
-        found.select(
-            "block", "word", "n", F.sum("n").over(by_word).alias("c"),
-            (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
-        ),
-        "lm-counts",
+    stored = materialise_in_buckets(
+        rows.mapInArrow(_into_blocks, schema), "lm-blocks", 2 * (size // BLOCK_BYTES) + 1, "block"
     )
-    facts = counted.agg(F.sum("n").alias("tokens"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct")).first()
-    walk = Walk(facts.tokens or 0, facts.distinct or 0, least_count, discount)
-    depth = depth if walk.tokens else 0
-    known = counted.select("block", F.lit(0).alias("what"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
-    by_pair = Window.partitionBy("pair")
+    asked = stored.groupBy("block").applyInArrow(_block_words(cells), _ASKS).repartition(cells, "cell")
+    answers = materialise(asked.groupBy("cell").applyInArrow(_count_words, _ANSWERS), "lm-words")
+    facts = answers.where("block IS NULL").agg(F.sum("level").alias("tokens"), F.sum("cell").alias("distinct")).first()
+    walk = Walk(cells, facts.tokens or 0, facts.distinct or 0, least_count, discount)
+    known = answers.where("block IS NOT NULL")
+
+    def visit(run, schema: str) -> DataFrame:
+        return stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+
     for level in range(1, depth + 1):
-        found = stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-            _block_pairs(walk, level), "block long, context long, pair long, n long, shorter double"
-        )
-        found = found.withColumns(
-            {"c": F.sum("n").over(by_pair), "first": F.row_number().over(by_pair.orderBy("block")) == 1}
-        )
-        told, once = F.col("c") != F.col("n"), F.col("first") & (F.col("c") != 0)
-        found = found.where(told | once).select(  # only what is read again is stored
-            F.when(told | (F.col("n") < 0), F.col("block")).alias("block"),
-            F.when(once, F.col("context")).alias("context"),
-            F.when(told, F.col("pair")).alias("pair"),
-            "n", "c", F.when(once, F.col("shorter")).alias("shorter"), "first",
-        )
-        answers = _answers(materialise(found, "lm-pairs"), level, least_divergence, discount)
-        known = known.unionAll(materialise(answers, "lm-answers") if level < depth else answers)
-    return stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _score_block(walk, depth),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+        asked = visit(_block_pairs(walk, level), _ASKS).repartition(cells, "cell")
+        answers = asked.groupBy("cell").applyInArrow(_count_pairs(level, least_count), _ANSWERS)
+        known = known.unionAll(materialise(answers, f"lm-pairs-{level}"))
+    gains = materialise(visit(_block_gains(walk, depth), f"level long, {_ASKS}"), "lm-gains")
+    cell = ["level", "cell"]
+    marks = gains.repartition(cells, *cell).groupBy(*cell).applyInArrow(_passing(cells, least_divergence), gains.schema)
+    states = gains.groupBy(*cell).cogroup(marks.groupBy(*cell)).applyInArrow(_states, _ANSWERS)
+    known = known.unionAll(states)
+    return visit(_block_scores(walk, depth), _SCORES)

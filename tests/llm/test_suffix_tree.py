@@ -38,39 +38,113 @@ def test_base_scores_equal_plain_counts(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_state_probabilities_by_hand(spark):
-    """Two letters in turn: after `a` comes `b` nearly always, so a kept context says so."""
-    docs = [(i, "a b " * 20) for i in range(30)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    train = [d for d, _ in docs if in_training(d)]
-    count = {"a": 20 * len(train), "b": 20 * len(train), END: len(train)}
-    total = sum(count.values())
-    root = {w: (c + 0.5) / (total + 0.5 * (len(count) + 1)) for w, c in count.items()}
-
-    def kept(pairs, before):
-        own = {w: (n - 0.5) / before for w, n in pairs.items()}
-        left = (1 - sum(own.values())) / max(1 - sum(root[w] for w in own), 1e-12)
-        return own, left
+def plain_tree(docs, depth, least_count=4, least_divergence=0.01, discount=0.5):
+    """Chances by every context, and the scores, from plain counts of whole contexts."""
+    after = {}
+    for d, text in docs:
+        if in_training(d):
+            tokens = [*brute.words(text), END]
+            for i, w in enumerate(tokens):
+                for k in range(min(i, depth) + 1):
+                    after.setdefault(tuple(tokens[i - k : i]), Counter())[w] += 1
+    root = after.get((), Counter())
+    total = sum(root.values())
+
+    def chance(context, w):
+        if not context:
+            return (root[w] + 0.5) / (total + 0.5 * (len(root) + 1))
+        n = after[context]
+        left = discount * len(n) / sum(n.values())
+        return max(n[w] - discount, 0) / sum(n.values()) + left * chance(context[1:], w)
+
+    frequent = [c for c, n in after.items() if c and sum(n.values()) >= least_count]
+    states = set()
+    for c in frequent:
+        n = after[c]
+        gain = sum(k * math.log2(chance(c, w) / chance(c[1:], w)) for w, k in n.items()) / sum(n.values())
+        if gain >= least_divergence:
+            states |= {c[i:] for i in range(len(c))}
+
+    def state(before):
+        return next((before[i:] for i in range(max(len(before) - depth, 0), len(before)) if before[i:] in states), ())
+
+    scores = []
+    for d, text in docs:
+        tokens = [*brute.words(text), END]
+        scores.append((d, sum(math.log10(chance(state(tuple(tokens[:i])), w)) for i, w in enumerate(tokens))))
+    return states, chance, sorted(scores)
+
+
+def letters(seed, count, length, words="abcdef"):
+    """Texts in which two words settle much of what follows."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(count):
+        w = rng.choice(list(words), 2).tolist()
+        while len(w) < length:
+            settled = words[(words.index(w[-1]) + 2 * words.index(w[-2])) % len(words)]
+            w.append(settled if rng.random() < 0.6 else words[rng.integers(len(words))])
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("divergence", [0.0, 0.01, 0.3])
+def test_scores_equal_a_plain_tree_of_depth_three(spark, monkeypatch, divergence):
+    """In small blocks and cells, with contexts dealt to several cells."""
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(suffix_tree, "CELL_BYTES", 1000)
+    monkeypatch.setattr(suffix_tree, "HOT_TOKENS", 50)
+    docs = [*letters(3, 60, 40), *letters(4, 1, 300), (900, ""), (901, "a b new c"), (902, "A b c d e f")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = suffix_tree_scores(df, least_divergence=divergence).select("doc_id", "score").collect()
+    states, _, want = plain_tree(docs, 3, least_divergence=divergence)
+    assert sorted(len(c) for c in states)[-1] == 3
+    got = sorted(tuple(r) for r in rows)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+def test_production_scores_equal_a_plain_tree(spark, sf_dir):
+    from peakflow.llm.queries import op10_suffix_tree_lm
 
-    after_a, _ = kept({"b": count["b"]}, count["a"])
-    after_b, _ = kept({"a": 19 * len(train), END: len(train)}, count["b"])
-    want = math.log10(root["a"]) + 20 * math.log10(after_a["b"]) + 19 * math.log10(after_b["a"]) + math.log10(after_b[END])
-    for r in suffix_tree_scores(df, depth=1).collect():
-        assert r.score == pytest.approx(want, rel=1e-9)
-    deeper = suffix_tree_scores(df, depth=3).collect()
-    assert all(r.score <= 0 for r in deeper)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    _, _, want = plain_tree(docs, 3)
+    got = sorted((r.doc_id, r.score) for r in op10_suffix_tree_lm(spark, sf_dir).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+def test_two_words_that_settle_the_next_one(spark):
+    """The last word alone says nothing; the state of two words is kept, and its suffix with it."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for i in range(200):
+        w = rng.integers(0, 2, 2).tolist()
+        while len(w) < 300:
+            w.append(int(w[-1] ^ w[-2] ^ (rng.random() >= 0.95)))
+        docs.append((i, " ".join("uv"[x] for x in w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [r for r in suffix_tree_scores(df).collect() if r.held_out]
+    assert -0.11 < sum(r.score for r in rows) / sum(r.n_tokens for r in rows) < -0.08
 
 
 def test_chances_add_up_to_one(spark):
-    """Scores of one-word texts after a common start add up over the vocabulary to one."""
-    rng = np.random.default_rng(5)
-    base = [(i, " ".join(rng.choice(["u", "v", "w", "x"], 30, p=[0.6, 0.2, 0.1, 0.1]).tolist())) for i in range(200)]
-    asked = [i for i in range(1000, 1100) if not in_training(i)][:6]
-    tails = ["u", "v", "w", "x", "never"]
-    df = spark.createDataFrame(base + [(d, f"u {t}") for d, t in zip(asked, tails)] + [(asked[5], "u")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in suffix_tree_scores(df, depth=1, least_divergence=0.0).collect()}
-    ends = {t: rows[d].score for d, t in zip(asked, tails)}
-    assert all(s < 0 for s in ends.values()) and ends["u"] > ends["never"]
+    """Scores of a common start and one word more, less that of the start, add up over the vocabulary."""
+    base = [(i, t) for i, t in letters(5, 200, 30)]
+    asked = [i for i in range(1000, 1100) if not in_training(i)]
+    tails = ["", *"abcdef", "never"]
+    df = spark.createDataFrame(base + [(d, f"a b c {t}") for d, t in zip(asked, tails)], "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in suffix_tree_scores(df, least_divergence=-9).collect()}
+    states, chance, _ = plain_tree(base, 3, least_divergence=-9)
+    assert tuple("abc") in states
+    start = rows[asked[0]] - math.log10(chance(tuple("abc"), END))
+    total = chance(tuple("abc"), END)
+    for d, t in list(zip(asked, tails))[1:]:
+        after = (*"abc", t)[-3:]
+        while after and after not in states:
+            after = after[1:]
+        total += 10 ** (rows[d] - start - math.log10(chance(after, END)))
+    assert total == pytest.approx(1, abs=1e-9)
 
 
 def test_odd_rows(spark):
@@ -99,11 +173,11 @@ def test_rare_contexts_are_states_however_large_the_corpus(spark, monkeypatch):
     row = next(r for r in suffix_tree_scores(df.repartition(4), depth=1).collect() if r.held_out)
     root = 10.5 / (60_010 + 0.5 * (6001 + 1))  # all words, and the end, are there ten times
     after = Counter(([*p.split(), END] * 2)[p.split().index("y7") + 1] for p in pairs)
-    left = 0.5 * len(after) / 10 / (1 - len(after) * root)
-    end = (after[END] - 0.5) / 10 if END in after else left * root
+    left = 0.5 * len(after) / 10
+    end = (after[END] - 0.5) / 10 + left * root if END in after else left * root
     assert (row.train_tokens, row.n_known, row.n_tokens) == (60_010, 3, 3)
     assert row.base_score == pytest.approx(3 * math.log10(root), rel=1e-9)
-    assert row.score == pytest.approx(math.log10(root) + math.log10(0.95) + math.log10(end), rel=1e-9)
+    assert row.score == pytest.approx(math.log10(root) + math.log10(0.95 + 0.05 * root) + math.log10(end), rel=1e-9)
 
 
 def test_scores_do_not_depend_on_blocks(spark, sf_dir, monkeypatch):
