@@ -38,7 +38,7 @@ BLOCK_BYTES = 8 << 20
 CELL_BYTES = 12 << 20  # of text for each cell
 HOT_TOKENS = 1 << 17  # a context with more tokens is dealt to more cells
 END = np.uint64(0xE4D0F7E27ED0F7E3)  # stands after the last word of a text
-BITS = 20  # of a gain behind the point: sums of whole numbers do not depend on their order
+BITS = 16  # of a gain behind the point: sums of whole numbers do not depend on their order
 _LOW = np.int64((1 << 32) - 1)
 
 
@@ -48,14 +48,6 @@ def held_out(modulus: int = 5, remainder: int = 1) -> Column:
     return (F.crc32(name) % modulus) == remainder
 
 
-def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    for batch in blocks(batches, size=BLOCK_BYTES):
-        names = ["block", *batch.schema.names]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number)), *batch.columns], names)
-        number += 1
-
-
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and its end, all in a row; where each text begins, one entry more."""
     data, offsets = utf8(texts)
@@ -95,6 +87,32 @@ def _spread(numbers: np.ndarray, salt: np.ndarray | int, cells: int) -> np.ndarr
     return (mixed % np.uint64(cells)).astype(np.int64)
 
 
+BLOCKS = pa.schema(
+    [("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))]
+    + [(c, pa.binary()) for c in ("sizes", "words", "codes")]
+)
+_BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, words binary, codes binary"
+
+
+def _into_blocks(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: its distinct words by cell and hash, and its tokens as their places in this list."""
+        number = TaskContext.get().partitionId() << 32
+        for batch in blocks(batches, size=BLOCK_BYTES):
+            hashes, bounds = tokens_of(batch.column("text"))
+            distinct, codes = np.unique(hashes, return_inverse=True)
+            order = np.argsort(distinct % np.uint64(cells), kind="stable")
+            place = np.argsort(order)
+            row = (
+                number, batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
+                packed(np.diff(bounds)), packed(distinct[order].view(np.int64), True), packed(place[codes]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCKS.types)], schema=BLOCKS)
+            number += 1
+
+    return run
+
+
 ASKS = pa.schema([("block", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
 ANSWERS = pa.schema([("block", pa.int64()), ("level", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abc"]])
 GAINS = pa.schema([("level", pa.int64()), *ASKS])
@@ -117,14 +135,14 @@ class Walk:
 
     def read(self, docs: pa.Table) -> None:
         """Tokens as codes of the block's distinct words, which stand by cell and hash."""
-        hashes, self.bounds = tokens_of(docs.column("text").combine_chunks())
-        self.block = docs.column("block")[0].as_py()
-        self.learn = np.repeat(~docs.column("held_out").to_numpy(), np.diff(self.bounds))
-        self.place = np.arange(len(hashes)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        distinct, codes = np.unique(hashes, return_inverse=True)
-        cell = (distinct % np.uint64(self.cells)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        self.words, self.cell, self.codes = distinct[order], cell[order], np.argsort(order)[codes]
+        row = docs.select(["block", "sizes", "words", "codes"]).to_pylist()[0]
+        sizes, self.block = unpacked(row["sizes"]), row["block"]
+        self.bounds = np.r_[0, np.cumsum(sizes)]
+        self.words, self.codes = unpacked(row["words"], True).view(np.uint64), unpacked(row["codes"])
+        self.cell = (self.words % np.uint64(self.cells)).astype(np.int64)
+        held = docs.column("held_out").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        self.learn = np.repeat(~held.astype(bool), sizes)
+        self.place = np.arange(len(self.codes)) - np.repeat(self.bounds[:-1], sizes)
 
     def asked_words(self) -> list[tuple]:
         n = np.bincount(self.codes[self.learn], minlength=len(self.words))
@@ -164,19 +182,25 @@ class Walk:
 
     def pairs(self) -> None:
         """Distinct pairs of a context and its symbol by cell, context and symbol, and the contexts of each cell."""
-        self.at = np.flatnonzero(self.open & (self.total[self.before] >= self.least_count))
+        after = np.flatnonzero(self.open)
+        self.at = after[self.total[self.before[after]] >= self.least_count]
         code, symbol = self.before[self.at], self.symbol[self.at]
         shares = -(-self.total // HOT_TOKENS)
         home = _spread(self.context, 0, self.cells)
-        cell, hot = home[code], np.flatnonzero(shares[code] > 1)
+        asked = np.zeros(len(self.context), bool)
+        asked[code] = True
+        asked = np.flatnonzero(asked)
+        hot = np.flatnonzero(shares[code] > 1)
         salt = _spread(self.number[symbol[hot]], 1, 1 << 40) % shares[code[hot]]
-        cell[hot] = _spread(self.context[code[hot]], salt, self.cells)
-        asked = np.unique(code[hot])  # a context of many cells is told about in each
-        of = np.repeat(asked, shares[asked])
+        dealt = (_spread(self.context[code[hot]], salt, self.cells) << 32) | code[hot]
+        of = np.repeat(asked, shares[asked])  # a context of many cells is told about in each
         salt = np.arange(len(of)) - np.repeat(np.cumsum(shares[asked]) - shares[asked], shares[asked])
-        entry = (cell << 32) | code
-        self.entries = np.unique(np.r_[np.unique(entry), (_spread(self.context[of], salt, self.cells) << 32) | of])
-        pair = (np.searchsorted(self.entries, entry) << 32) | symbol
+        self.entries = np.unique((_spread(self.context[of], salt, self.cells) << 32) | of)
+        entry = np.zeros(len(self.context), np.int64)
+        entry[asked] = np.searchsorted(self.entries, (home[asked] << 32) | asked)
+        entry = entry[code]
+        entry[hot] = np.searchsorted(self.entries, dealt)
+        pair = (entry << 32) | symbol
         self.distinct_pairs, self.pair = np.unique(pair, return_inverse=True)
 
     def asked_pairs(self) -> list[tuple]:
@@ -260,11 +284,11 @@ class Walk:
         begins = self.bounds[:-1]
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
+                "doc_id": docs.column("doc_id").chunk(0).flatten(),
+                "held_out": docs.column("held_out").chunk(0).flatten(),
                 "n_tokens": pa.array(np.diff(self.bounds)),
                 "n_known": pa.array(np.add.reduceat((self.seen > 0).astype(np.int64), begins)),
-                "train_tokens": pa.array(np.full(len(docs), self.tokens, np.int64)),
+                "train_tokens": pa.array(np.full(len(begins), self.tokens, np.int64)),
                 "base_score": pa.array(np.add.reduceat(np.log10(self.root), begins)),
                 "score": pa.array(np.add.reduceat(np.log10(self.longest), begins)),
             }
@@ -437,10 +461,8 @@ def suffix_tree_scores(
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = size // CELL_BYTES + 1
-    schema = "block long, doc_id long, text string, held_out boolean"
-    stored = materialise_in_buckets(
-        rows.mapInArrow(_into_blocks, schema), "lm-blocks", 2 * (size // BLOCK_BYTES) + 1, "block"
-    )
+    found = rows.mapInArrow(_into_blocks(cells), _BLOCKS)
+    stored = materialise_in_buckets(found, "lm-blocks", 2 * (size // BLOCK_BYTES) + 1, "block")
     asked = stored.groupBy("block").applyInArrow(_block_words(cells), _ASKS).repartition(cells, "cell")
     answers = materialise(asked.groupBy("cell").applyInArrow(_count_words, _ANSWERS), "lm-words")
     facts = answers.where("block IS NULL").agg(F.sum("level").alias("tokens"), F.sum("cell").alias("distinct")).first()
@@ -454,9 +476,11 @@ def suffix_tree_scores(
         asked = visit(_block_pairs(walk, level), _ASKS).repartition(cells, "cell")
         answers = asked.groupBy("cell").applyInArrow(_count_pairs(level, least_count), _ANSWERS)
         known = known.unionAll(materialise(answers, f"lm-pairs-{level}"))
-    gains = materialise(visit(_block_gains(walk, depth), f"level long, {_ASKS}"), "lm-gains")
+    gains = visit(_block_gains(walk, depth), f"level long, {_ASKS}").repartition(cells, "cell")
+    gains = materialise_in_buckets(gains, "lm-gains", cells, "cell")
     cell = ["level", "cell"]
-    marks = gains.repartition(cells, *cell).groupBy(*cell).applyInArrow(_passing(cells, least_divergence), gains.schema)
-    states = gains.groupBy(*cell).cogroup(marks.groupBy(*cell)).applyInArrow(_states, _ANSWERS)
+    marks = gains.groupBy(*cell).applyInArrow(_passing(cells, least_divergence), gains.schema).select(*cell, "a")
+    asked = gains.select(*cell, "block", "a")
+    states = asked.groupBy(*cell).cogroup(marks.groupBy(*cell)).applyInArrow(_states, _ANSWERS)
     known = known.unionAll(states)
     return visit(_block_scores(walk, depth), _SCORES)

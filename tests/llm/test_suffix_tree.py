@@ -130,20 +130,20 @@ def test_two_words_that_settle_the_next_one(spark):
 
 def test_chances_add_up_to_one(spark):
     """Scores of a common start and one word more, less that of the start, add up over the vocabulary."""
-    base = [(i, t) for i, t in letters(5, 200, 30)]
+    base, words = letters(5, 200, 30), [*"abcdef", "never"]
+    states, chance, _ = plain_tree(base, 3, least_divergence=-9)
+    common = sorted(c for c in states if len(c) == 3)[7]
     asked = [i for i in range(1000, 1100) if not in_training(i)]
-    tails = ["", *"abcdef", "never"]
-    df = spark.createDataFrame(base + [(d, f"a b c {t}") for d, t in zip(asked, tails)], "doc_id long, text string")
+    texts = [" ".join(common), *(" ".join([*common, w]) for w in words)]
+    df = spark.createDataFrame([*base, *zip(asked, texts)], "doc_id long, text string")
     rows = {r.doc_id: r.score for r in suffix_tree_scores(df, least_divergence=-9).collect()}
-    states, chance, _ = plain_tree(base, 3, least_divergence=-9)
-    assert tuple("abc") in states
-    start = rows[asked[0]] - math.log10(chance(tuple("abc"), END))
-    total = chance(tuple("abc"), END)
-    for d, t in list(zip(asked, tails))[1:]:
-        after = (*"abc", t)[-3:]
+    end = math.log10(chance(common, END))
+    total = 10**end
+    for d, w in zip(asked[1:], words):
+        after = (*common[1:], w)
         while after and after not in states:
             after = after[1:]
-        total += 10 ** (rows[d] - start - math.log10(chance(after, END)))
+        total += 10 ** (rows[d] - math.log10(chance(after, END)) - (rows[asked[0]] - end))
     assert total == pytest.approx(1, abs=1e-9)
 
 
