@@ -5,8 +5,7 @@ given one more coordinate that makes it a unit vector; a query is scaled to leng
 there, so that within a band the largest inner product is the nearest direction. A table turns it by
 three rounds of random signs and a Hadamard transform, and its bucket is the nearest signed axis. A
 query looks into the buckets of its nearest axes, in every table and band; what lies there is ranked
-by the exact inner product of the original vectors. Of a band with few rows it looks at all, in one
-table.
+by the exact inner product of the original vectors.
 
 The vectors of a table are dealt to cells by groups of buckets. A group with more rows than a cell
 should hold is cut at random, and its queries go to every part; very many queries are cut into
@@ -30,7 +29,6 @@ LEAST_PROBES = 40
 LEAST_CANDIDATES = 600
 BAND_RATIO = 1.25
 MOST_BANDS = 32  # the shortest vectors share the last one
-FEW_ROWS = 2_400
 GROUPS = 4
 CELL_ROWS = 16_384
 CELL_QUERIES = 4_096
@@ -103,8 +101,8 @@ def _band_sizes(longest: float):
     return run
 
 
-def _buckets(longest: float, steps: np.ndarray, norm: np.ndarray, few: np.ndarray, tables: int):
-    """The bucket of each vector in each table, counted on from band to band; bands of few rows are in table 0 only."""
+def _buckets(longest: float, steps: np.ndarray, norm: np.ndarray, tables: int):
+    """The bucket of each vector in each table, counted on from band to band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,21 +113,17 @@ def _buckets(longest: float, steps: np.ndarray, norm: np.ndarray, few: np.ndarra
             scaled = vectors / norm[band][:, None]
             rest = np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))
             for t in range(tables):
-                here = np.flatnonzero(~few[band] | (t == 0))
-                if not len(here):
-                    continue
-                near = nearness(scaled[here], rest[here], t)
-                bucket = near.argmax(axis=1) + band[here] * near.shape[1]
-                rows = batch.take(pa.array(here))
+                near = nearness(scaled, rest, t)
+                bucket = near.argmax(axis=1) + band * near.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(here), t, np.int32)), pa.array(bucket.astype(np.int32)), *rows.columns],
+                    [pa.array(np.full(len(band), t, np.int32)), pa.array(bucket.astype(np.int32)), *batch.columns],
                     ["table", "bucket", "vec_id", "vector"],
                 )
 
     return run
 
 
-def _probes(counts: np.ndarray, few: np.ndarray, groups: int):
+def _probes(counts: np.ndarray, groups: int):
     """For each query, table and group the buckets to look into; every band has `groups` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +140,6 @@ def _probes(counts: np.ndarray, few: np.ndarray, groups: int):
                 for b in range(bands):
                     held = np.cumsum(counts[t, b][order], axis=1)
                     probes = np.maximum((held < LEAST_CANDIDATES).sum(axis=1) + 1, LEAST_PROBES)
-                    if few[b]:
-                        probes[:] = buckets
                     np.put_along_axis(asked[:, b], order, np.arange(buckets)[None] < probes[:, None], axis=1)
                 asked &= counts[t] > 0
                 asked = asked.reshape(len(order), bands * groups, per_group)
@@ -253,11 +245,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
 
     found = rows.mapInArrow(_band_sizes(longest), "step int, norm double")
     found = found.withColumn("step", F.least("step", F.lit(_last_step(found)))).groupBy("step")
-    found = found.agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("step").collect()
+    found = found.agg(F.max("norm").alias("norm")).orderBy("step").collect()
     steps, norm = np.array([r.step for r in found]), np.array([r.norm for r in found])
-    few = np.array([r.n <= FEW_ROWS for r in found])
     hashed = rows.mapInArrow(
-        _buckets(longest, steps, norm, few, tables), "table int, bucket int, vec_id long, vector binary"
+        _buckets(longest, steps, norm, tables), "table int, bucket int, vec_id long, vector binary"
     )
     hashed = materialise(hashed, "vector-buckets")
     counts = np.zeros((tables, len(steps) * buckets), np.int64)
@@ -273,7 +264,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
     data = data.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("table")][F.col("group")]).cast("int"))
     data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = queries.mapInArrow(
-        _probes(counts, few, GROUPS), "table int, group int, query_id long, vector binary, asked binary"
+        _probes(counts, GROUPS), "table int, group int, query_id long, vector binary, asked binary"
     )
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("table")][F.col("group")] - 1)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
