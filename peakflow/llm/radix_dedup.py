@@ -21,7 +21,7 @@ from peakflow.session import materialise
 
 FIRST_RUN = 64
 GROWTH = 8
-LONGEST_RUN = 1 << 20
+LONGEST_RUN = 1 << 30  # substring counts in ints
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

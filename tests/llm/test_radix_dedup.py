@@ -34,6 +34,16 @@ def test_short_runs_take_many_rounds(spark, monkeypatch, run):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in rows.collect()} == {1: (1, 1), 2: (3, 2), 3: (3, 2), 4: (4, 1)}
 
 
+def test_rounds_of_long_texts_are_few(spark, monkeypatch):
+    """Runs grow without end, so texts of 9 MB that differ at the end take seven rounds."""
+    rounds, store = [], radix_dedup.materialise
+    monkeypatch.setattr(radix_dedup, "materialise", lambda df, name: rounds.append(name) or store(df, name))
+    long = "k" * 9_000_000
+    rows = exact_duplicates(spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, long + "A")], "doc_id long, text string"))
+    assert {r.doc_id: r.keep_id for r in rows.collect()} == {1: 3, 2: 2, 3: 3}
+    assert rounds.count("radix-groups") == 7
+
+
 def test_odd_rows(spark):
     rows = exact_duplicates(odd_frame(spark, extra=True)).collect()
     assert len(rows) == 32
