@@ -3,8 +3,9 @@
 Every distinct line is counted once per document. The line hashes are dealt to shards; a shard keeps
 a minimal perfect hash over its lines and, in the order it gives, an array of fingerprints and one
 of counts. Documents are grouped in blocks. The distinct lines of a block probe the arrays of their
-shards, and only those found often enough come back to the block. So no line text is joined, a very
-frequent line is one row per block, and what a task holds is one shard or one block.
+shards, and only those found often enough come back to the block, where they are sorted before its
+documents. So no line text is joined, a very frequent line is one row per block, and what a task holds
+is one shard, or the frequent lines of a block and the documents of one batch, however long they are.
 
 Lines are known by 128 bits of a hash: one half places a line, the other is its fingerprint.
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,13 +73,22 @@ def _line_rows(least: int):
     return run
 
 
-def _key(place: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    return place.view(np.uint64) ^ (mark.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+def _key(place: np.ndarray, mark: np.ndarray, salt: int) -> np.ndarray:
+    """One number for both halves; those of two lines may be equal under one salt, but not under every."""
+    return place.view(np.uint64) ^ (mark.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD + 2 * salt))
+
+
+def _distinct_keys(place: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys of distinct lines under the first salt that tells them all apart."""
+    salt = 0
+    while len(np.unique(keys := _key(place, mark, salt))) < len(keys):
+        salt += 1
+    return keys, salt
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
     place, mark, count = (table.column(c).to_numpy() for c in ("place", "mark", "count"))
-    keys = _key(place, mark)
+    keys, salt = _distinct_keys(place, mark)
     rule = PerfectHash.build(keys)
     at = rule.index(keys)
     prints, counts = np.empty(len(keys), np.uint32), np.empty(len(keys), np.uint32)
@@ -86,6 +97,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "shard": table.column("shard").slice(0, 1),
+            "salt": pa.array([salt], pa.int64()),
             "sizes": pa.array([rule.sizes], pa.list_(pa.int64())),
             "bits": pa.array([rule.packed], pa.binary()),
             "prints": pa.array([prints.tobytes()], pa.binary()),
@@ -100,9 +112,9 @@ def _probe(at_least: int):
         if not len(index) or not len(lines):
             return lines.slice(0, 0)
         place, mark = (lines.column(c).to_numpy() for c in ("place", "mark"))
-        row = {c: index.column(c)[0].as_py() for c in ("sizes", "bits", "prints", "counts")}
+        row = {c: index.column(c)[0].as_py() for c in ("salt", "sizes", "bits", "prints", "counts")}
         rule = PerfectHash(row["sizes"], row["bits"])
-        at = rule.index(_key(place, mark))
+        at = rule.index(_key(place, mark, row["salt"]))
         prints, counts = np.frombuffer(row["prints"], np.uint32), np.frombuffer(row["counts"], np.uint32)
         same = (at >= 0) & (prints[at] == (mark.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
         return lines.filter(pa.array(same & (counts[at] >= at_least)))
@@ -111,10 +123,7 @@ def _probe(at_least: int):
 
 
 def _strip(least: int):
-    def run(docs: pa.Table, frequent: pa.Table) -> pa.Table:
-        place, mark = (frequent.column(c).to_numpy().reshape(-1, 1) for c in ("place", "mark"))
-        gone = {x.tobytes() for x in np.hstack([place, mark])}
-        rows = docs.column("row").combine_chunks() if len(docs) else pa.array([], docs.schema.field("row").type)
+    def stripped(rows: pa.StructArray, gone: set[bytes]) -> pa.RecordBatch:
         names = [f.name for f in rows.type]
         fields = dict(zip(names, rows.flatten()))
         kept, total, dropped = [], [], []
@@ -125,27 +134,45 @@ def _strip(least: int):
             total.append(len(lines))
             dropped.append(len(lines) - len(left))
         fields["text"] = pa.array(kept, pa.binary()).cast(pa.string())
-        return pa.table(
-            {
-                "row": pa.StructArray.from_arrays(list(fields.values()), names),
-                "n_lines": pa.array(total, pa.int64()),
-                "n_dropped": pa.array(dropped, pa.int64()),
-            }
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.StructArray.from_arrays(list(fields.values()), names),
+                pa.array(total, pa.int64()),
+                pa.array(dropped, pa.int64()),
+            ],
+            ["row", "n_lines", "n_dropped"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, its frequent lines (without a row) before its documents."""
+        current, gone = None, set()
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            line = pc.is_null(batch.column("row")).to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((block[1:] != block[:-1]) | (line[1:] != line[:-1])) + 1
+            for first, last in zip([0, *turns.tolist()], [*turns.tolist(), len(block)]):
+                if last > first and block[first] != current:
+                    current, gone = block[first], set()
+                part = batch.slice(first, last - first)
+                if last > first and line[first]:
+                    halves = np.column_stack([part.column(c).to_numpy() for c in ("place", "mark")])
+                    gone.update(x.tobytes() for x in halves)
+                elif last > first:
+                    yield stripped(part.column("row"), gone)
+
     return run
 
 
 def line_index(lines: DataFrame) -> tuple[DataFrame, int]:
     """The shards of the index over rows (place, mark, found), and how many there are.
 
-    A shard is a row: shard, sizes and bits of its perfect hash, prints, counts.
+    A shard is a row: shard, salt of its keys, sizes and bits of its perfect hash, prints, counts.
     """
     counts = materialise(lines.groupBy("place", "mark").agg(F.sum("found").alias("count")), "line-counts")
     shards = counts.count() // SHARD_LINES + 1
     dealt = counts.withColumn("shard", F.pmod("place", F.lit(shards)))
     index = dealt.groupBy("shard").applyInArrow(
-        _build_shard, "shard long, sizes array<long>, bits binary, prints binary, counts binary"
+        _build_shard, "shard long, salt long, sizes array<long>, bits binary, prints binary, counts binary"
     )
     return materialise(index, "line-index"), shards
 
@@ -174,7 +201,9 @@ def drop_common_lines(docs: DataFrame, least_points: int = 1, at_least: int = 10
     )
     rows = docs.withColumnsRenamed(names)
     rows = rows.select(block.alias("block"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    out = rows.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(
+    dealt = frequent.unionByName(rows, allowMissingColumns=True).repartition("block")
+    dealt = dealt.sortWithinPartitions("block", F.col("row").isNotNull())
+    out = dealt.mapInArrow(
         _strip(least_points), f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long"
     )
     return out.select("row.*", "n_lines", "n_dropped")

@@ -3,7 +3,8 @@ import hashlib
 import numpy as np
 
 import brute
-from peakflow.llm.line_dedup import drop_common_lines
+from peakflow.llm import line_dedup
+from peakflow.llm.line_dedup import _distinct_keys, _key, drop_common_lines
 from peakflow.llm.perfect_hash import PerfectHash
 from rows import empty_frame, odd_frame
 
@@ -18,6 +19,30 @@ def test_perfect_hash_numbers_every_key_once():
     assert PerfectHash.build(keys[:0]).index(keys).tolist() == [-1] * len(keys)
 
 
+def test_lines_of_equal_keys_are_told_apart():
+    """Two lines whose halves give one key under the first salt get numbers of their own."""
+    place, mark = np.array([0, 0, 7], np.int64), np.array([3, 5, 9], np.int64)
+    place[1] = (_key(place[:1], mark[:1], 0) ^ _key(place[1:2] * 0, mark[1:2], 0)).view(np.int64)[0]
+    assert len(np.unique(_key(place, mark, 0))) == 2
+    keys, salt = _distinct_keys(place, mark)
+    assert salt > 0 and sorted(PerfectHash.build(keys).index(keys).tolist()) == [0, 1, 2]
+
+
+def test_long_texts_and_repeated_rows_of_one_block(spark, monkeypatch):
+    """Blocks that span many batches, each text longer than a batch of texts."""
+    monkeypatch.setattr(line_dedup, "BLOCK_DOCUMENTS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        docs = {i: "\n".join(f"line {j % 50000} of {i % 3}" for j in range(60000 + i)) + "\ncommon" for i in range(20)}
+        rows = list(docs.items()) + [(99, "common\nonce")] * 25
+        got = drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute.line_dedup({**docs, **{1000 + i: "common\nonce" for i in range(25)}})
+    assert [(r.n_lines, r.n_dropped, r.text) for r in got if r.doc_id == 99] == [want[1000]] * 25
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got if r.doc_id != 99} == {d: want[d] for d in docs}
+
+
 def test_lines_found_often_go(spark):
     docs = {i: f"Common\n own {i}\n\ncommon  \n rare{i % 2}\t" + ("\n12" if i < 9 else "\n") for i in range(12)}
     docs[50], docs[51] = None, ""
