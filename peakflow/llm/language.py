@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakflow.llm.arrow_text import blocks, mix, prefix_hashes, span_hashes
@@ -185,14 +185,16 @@ def held_out(modulus: int = 4, remainder: int = 2) -> Column:
     return (F.crc32(name) % modulus) == remainder
 
 
-def _windows(most_words: int):
+def _windows(most_words: int, most_points: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = []
             for text, draw in zip(batch.column("text").to_pylist(), batch.column("draw").to_pylist()):
                 tokens = text.split()
                 at = draw % max(len(tokens) - most_words + 1, 1)
-                cut.append(" ".join(tokens[at : at + most_words]))
+                window = " ".join(tokens[at : at + most_words])
+                at = draw % max(len(window) - most_points + 1, 1)
+                cut.append(window[at : at + most_points])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), batch.column("draw"), pa.array(cut, pa.string())], ["lang", "draw", "text"]
             )
@@ -200,26 +202,31 @@ def _windows(most_words: int):
     return run
 
 
-def train(docs: DataFrame, per_language: int = 250, words_per_document: int = 300, **options) -> Model:
+def train(
+    docs: DataFrame, per_language: int = 250, words_per_document: int = 300, points_per_document: int = 6000, **options
+) -> Model:
     """Fit on at most `per_language` rows of each language, and a window of each row's words.
 
-    Rows are drawn by a hash of the doc_id among those with a language and a text that are not held
-    out; the window lies anywhere in the text. This sample is the only thing collected.
+    Rows are drawn by a hash of doc_id and text among those with a language and a text that are not
+    held out; of equal draws the smaller windows go first. A window lies anywhere in its text and has
+    at most `words_per_document` words between white space and `points_per_document` code points, so
+    that a text without spaces is no larger. This sample is the only thing collected.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(_DRAW))
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(_DRAW))
     below = F.lit(0)
     for lang, n in counts.items():
         cut = int(_DRAW * min(1.0, 1.2 * per_language / n))
         below = F.when(F.col("lang") == lang, cut).otherwise(below)
     drawn = known.select("lang", "text", draw.alias("draw")).where(F.col("draw") < below)
-    drawn = drawn.mapInArrow(_windows(words_per_document), "lang string, draw long, text string")
-    rows = sorted(tuple(r) for r in drawn.collect())
-    taken: list[tuple[str, str]] = []
-    for lang in sorted(counts):
-        taken += [(lang, text) for l, _, text in rows if l == lang][:per_language]
-    return fit(taken, **options)
+    drawn = drawn.mapInArrow(
+        _windows(words_per_document, points_per_document), "lang string, draw long, text string"
+    )
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= per_language)
+    rows = sorted((r.lang, r.draw, r.text) for r in drawn.collect())
+    return fit([(lang, text) for lang, _, text in rows], **options)
 
 
 def _label_rows(model: Model):

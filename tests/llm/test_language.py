@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from peakflow.llm import language
 from peakflow.llm.crf import posteriors
 from peakflow.llm.language import accepted, fit, identify, train
 from rows import empty_frame, odd_frame
@@ -80,6 +81,16 @@ def test_odd_rows(spark):
     assert accepted(df, learned, 0.0).count() == 27 and accepted(df, learned).columns == df.columns
 
 
+def test_sample_is_bounded_by_rows_and_code_points(spark, monkeypatch):
+    """Also where rows share one doc_id or have none, and where a text has no spaces."""
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda rows, **options: taken.extend(rows))
+    rows = [(None, f"text {i} " + "x" * 9000, "en") for i in range(400)] + [(1, "same", "de")] * 300
+    train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50, points_per_document=700)
+    counts = {lang: sum(own == lang for own, _ in taken) for lang in ("en", "de")}
+    assert 20 < counts["en"] <= 50 and counts["de"] <= 50 and max(len(t) for _, t in taken) == 700
+
+
 def test_marks_alone_are_no_letters():
     names, scores = model().label(pa.array(["\u0301\u0308 \u0327", "e\u0301te\u0301 the and", "\u0301"]))
     assert names[0] == names[2] == "und" and scores[0] == 0 and names[1] != "und"
