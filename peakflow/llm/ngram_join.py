@@ -143,8 +143,14 @@ def _set_rows(size: int):
                 pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(packed)]
             ).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(begins)), pa.array(signed(set_ids(sets, begins))), sketch],
-                ["doc_id", "n_shingles", "set_id", "sketch"],
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_key"),
+                    pa.array(np.diff(begins)),
+                    pa.array(signed(set_ids(sets, begins))),
+                    sketch,
+                ],
+                ["doc_id", "text_key", "n_shingles", "set_id", "sketch"],
             )
 
     return run
@@ -377,18 +383,15 @@ def _open_pairs(rows: DataFrame, facts: DataFrame, labels: DataFrame, threshold:
     return materialise(pairs.distinct(), "open-pairs")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Link documents of shingle similarity `threshold` or more; a row for each row of `docs`.
-
-    Gives doc_id, n_shingles (size of the set) and component_id (the smallest doc_id reachable by
-    links, itself included). Null or wordless texts have no shingles, are linked with nothing and
-    stand alone under their own doc_id. Rows with a null doc_id are linked like others; a component
-    of such rows alone has a null id. Repeated rows give repeated rows. Other columns are ignored.
-    """
+def _classes(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component) of every row of `docs`, with a component for each linked group."""
     share = Fraction(*threshold)
     docs = docs.select("doc_id", "text")
     info = materialise(
-        docs.mapInArrow(_set_rows(size), "doc_id long, n_shingles long, set_id long, sketch binary"), "set-info"
+        docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            _set_rows(size), "doc_id long, text_key long, n_shingles long, set_id long, sketch binary"
+        ),
+        "set-info",
     )
     signatures = docs.select("text").mapInArrow(_signature_rows(size, share), "signature long, set_id long")
     dealt = signatures.repartition("signature").sortWithinPartitions("signature", "set_id")
@@ -417,8 +420,38 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         links = materialise(links.union(_verified(docs, pairs, size, share)), "links")
         labels = components(links).withColumnRenamed("id", "set_id")
 
-    classes = info.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
-    classes = materialise(classes.withColumn("component", F.coalesce("component", "set_id")), "classes")
+    classes = info.select("doc_id", "text_key", "n_shingles", "set_id").join(labels, "set_id", "left")
+    component = F.coalesce("component", "set_id").alias("component")
+    return materialise(classes.select("doc_id", "text_key", "n_shingles", component), "classes")
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """Link documents of shingle similarity `threshold` or more; a row for each row of `docs`.
+
+    Gives doc_id, n_shingles (size of the set) and component_id (the smallest doc_id reachable by
+    links, itself included). Null or wordless texts have no shingles, are linked with nothing and
+    stand alone under their own doc_id. Rows with a null doc_id are linked like others; a component
+    of such rows alone has a null id. Repeated rows give repeated rows. Other columns are ignored.
+    """
+    classes = _classes(docs, size, threshold)
     smallest = classes.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return classes.join(smallest, "component", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of `docs` without those that are linked to one that stays.
+
+    Of linked rows one stays: that of the smallest doc_id (known ids before null) and, where it has
+    several texts, of the smallest hash of the text. Rows are judged one by one, so texts of one
+    doc_id may have different fates. Texts without words stay. Rows that repeat a doc_id and its
+    text become one.
+    """
+    classes = _classes(docs, size, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    first = classes.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first"))
+    wordless = classes.where("n_shingles = 0").select("doc_id", "text_key").distinct()
+    stay = first.select("first.doc_id", "first.text_key").unionAll(wordless).toDF("_stays", "_stays_key")
+    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(stay["_stays"]) & (rows["_text_key"] == stay["_stays_key"])
+    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
