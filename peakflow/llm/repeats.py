@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakflow.llm.arrow_text import BLOCK_BYTES, BYTE_VALUES, blocks, mix, prefix_hashes, signed, span_hashes, utf8
+from peakflow.llm.arrow_text import BLOCK_BYTES, BYTE_VALUES, blocks, mix, powers, prefix_hashes, signed, span_hashes, utf8
 from peakflow.session import materialise
 
 GRAM = 32
@@ -132,28 +133,40 @@ class SuffixSort:
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length = data, length
         self.prefix = prefix_hashes(BYTE_VALUES[data])
+        self.down = powers(len(self.prefix))[1]
+        padded = np.r_[data, np.zeros(8, np.uint8)]
+        heads = np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
+        self.heads = heads >> np.uint64(8 * max(8 - length, 0))  # up to eight bytes as one number
 
     def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """How many bytes agree after places p and q, `length` at most: binary search over hashes."""
-        low = np.zeros(len(p), np.int64)
-        whole = span_hashes(self.prefix, p, p + self.length) == span_hashes(self.prefix, q, q + self.length)
-        low[whole] = self.length
-        left = np.flatnonzero(~whole)
-        a, b = p[left], q[left]
+        prefix = self.prefix
+
+        def equal(at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+            own, other = ((prefix[x[at] + size] - base[at]) * scale[at] for x, base, scale in sides)
+            return own == other
+
+        sides = [(x, prefix[x], self.down[x]) for x in (p, q)]
+        low = np.full(len(p), self.length, np.int64)
+        left = np.flatnonzero(~equal(np.arange(len(p)), self.length))
         lo, hi = np.zeros(len(left), np.int64), np.full(len(left), self.length - 1, np.int64)
         while (lo < hi).any():
             mid = (lo + hi + 1) // 2
-            same = span_hashes(self.prefix, a, a + mid) == span_hashes(self.prefix, b, b + mid)
+            same = equal(left, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         low[left] = lo
         return low
 
     def after(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether the suffix at p comes after the one at q."""
+        """Whether the suffix at p comes after the one at q; hashes are asked where the first bytes agree."""
+        mine, theirs = self.heads[p], self.heads[q]
+        out = mine > theirs
+        tied = np.flatnonzero(mine == theirs)
+        p, q = p[tied], q[tied]
         common = self.common(p, q)
-        differ = common < self.length
         at = np.minimum(common, self.length - 1)
-        return differ & (self.data[p + at] > self.data[q + at])
+        out[tied] = (common < self.length) & (self.data[p + at] > self.data[q + at])
+        return out
 
     def sorted(self, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """`place`, whose buckets lie together, sorted within each: runs of 1, 2, 4, ... are merged."""
@@ -215,13 +228,12 @@ class SuffixSort:
         return np.unique(np.concatenate(found))
 
 
-def _runs(starts: np.ndarray, length: int) -> list[dict]:
-    """The bytes that windows beginning at sorted `starts` cover, as maximal runs."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    first, last = starts[np.r_[0, cut]], starts[np.r_[cut, len(starts)] - 1] + length
-    return [{"start": int(a), "end": int(z)} for a, z in zip(first, last)]
+def _covered(starts: np.ndarray, whose: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that windows beginning at sorted `starts` cover, as maximal runs of one owner: owner, start, end."""
+    first = np.ones(len(starts), bool)
+    first[1:] = (np.diff(starts) > length) | (whose[1:] != whose[:-1])
+    last = np.r_[first[1:], True][: len(starts)]
+    return whose[first], starts[first], starts[last] + length
 
 
 def _sort_variants(length: int):
@@ -239,23 +251,28 @@ def _sort_variants(length: int):
         bucket = group[owner] * (length + 1) + anchor[owner] - shift
         found = SuffixSort(data, length).repeated(offsets[owner] + shift, bucket)
         whose = np.searchsorted(offsets, found, side="right") - 1
-        bounds = np.searchsorted(whose, np.arange(len(rows) + 1))
         several = rows.column("copies").to_numpy() > 1
-        out = []
-        for i in range(len(rows)):
-            if several[i]:
-                out.append([{"start": 0, "end": int(offsets[i + 1] - offsets[i])}])
-            else:
-                out.append(_runs(found[bounds[i] : bounds[i + 1]] - offsets[i], length))
-        columns = [rows.column("key").combine_chunks(), rows.column("content").combine_chunks(), pa.array(out, spans)]
+        copied, single = np.flatnonzero(several), ~several[whose]
+        whose, start, end = (
+            np.concatenate(x)
+            for x in zip(
+                (copied, offsets[copied], offsets[copied + 1]), _covered(found[single], whose[single], length)
+            )
+        )
+        order = np.argsort(whose, kind="stable")
+        whose = whose[order]
+        start, end = ((x[order] - offsets[whose]).astype(np.int32) for x in (start, end))
+        ends = np.cumsum(np.bincount(whose, minlength=len(rows)))
+        out = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, ends], pa.int32()), pa.StructArray.from_arrays([start, end], ["start", "end"])
+        )
+        columns = [rows.column("key").combine_chunks(), rows.column("content").combine_chunks(), out.cast(spans)]
         return pa.RecordBatch.from_arrays(columns, ["key", "content", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in blocks(batches, "bytes", BLOCK_BYTES // 8):
             key = batch.column("key").to_numpy()
             if size > BLOCK_BYTES:  # solve what is complete
                 rest = int(np.argmax(key != key[0])) if (key != key[0]).any() else len(key)
@@ -265,7 +282,7 @@ def _sort_variants(length: int):
                     yield solve(pa.Table.from_batches([*held, batch.slice(0, rest)]))
                     held, size, batch = [], 0, batch.slice(rest)
             held.append(batch)
-            size += batch.column("bytes").nbytes
+            size += pc.sum(pc.binary_length(batch.column("bytes"))).as_py()
         if held:
             yield solve(pa.Table.from_batches(held))
 
