@@ -114,20 +114,32 @@ class Model:
         begins = np.searchsorted(owner, np.arange(len(words.start)))
         return np.add.reduceat(self.weights[slots], begins, axis=0)
 
-    def label(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The language of each text and the share of its letters that it holds."""
+    def _letters(self, texts: pa.Array) -> np.ndarray:
+        """Of each text the letters that each language holds, and at last those the best language of each word holds."""
         words = split_words(texts)
-        count = len(words.first) - 1
         if not self.languages or not len(words.codes):
-            return [UNKNOWN] * count, np.zeros(count)
+            return np.zeros((len(words.first) - 1, len(self.languages) + 1))
         begins = np.zeros(len(words.codes), bool)
         begins[words.first[:-1][words.first[:-1] < len(words.codes)]] = True
         probability, _, _ = posteriors(self.scores(words)[words.codes], begins, self.moves, self.opens)
         letters = (words.end - words.start)[words.codes]
-        sums = np.cumsum(probability * letters[:, None], axis=0, dtype=float)
-        sums = np.concatenate([np.zeros((1, len(self.languages))), sums])
-        share = sums[words.first[1:]] - sums[words.first[:-1]]
+        held = np.concatenate([probability, probability.max(axis=1, keepdims=True)], axis=1) * letters[:, None]
+        sums = np.concatenate([np.zeros((1, held.shape[1])), np.cumsum(held, axis=0, dtype=float)])
+        return sums[words.first[1:]] - sums[words.first[:-1]]
+
+    def fit_of(self, texts: pa.Array) -> np.ndarray:
+        """How well the words of each text fit any of the languages: the share of its letters that lie in words of
+        one, whichever that is. Texts of several languages have a high one; 0 without a letter."""
+        held = self._letters(texts)
+        total = held[:, :-1].sum(axis=1)
+        return np.clip(np.where(total > 0, held[:, -1] / np.maximum(total, 1e-30), 0.0), 0, 1)
+
+    def label(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language of each text and the share of its letters that it holds."""
+        share = self._letters(texts)[:, :-1]
         total = share.sum(axis=1)
+        if not self.languages:
+            return [UNKNOWN] * len(share), np.zeros(len(share))
         best = share.argmax(axis=1)
         score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1e-30), 0.0)
         return [self.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total)], np.clip(score, 0, 1)
@@ -257,13 +269,12 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
 def _accept_rows(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            names, scores = model.label(batch.column("text"))
-            keep = [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            fit = model.fit_of(batch.column("text"))
+            yield batch.filter(pa.array((fit > 0) & (fit >= least), pa.bool_()))
 
     return run
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of `docs` in a known language that holds at least `least_score` of the text."""
+    """The rows of `docs` whose words fit known languages, one or several, with at least `least_score`."""
     return docs.mapInArrow(_accept_rows(model, least_score), docs.schema)

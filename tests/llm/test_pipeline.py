@@ -73,3 +73,14 @@ def test_run_packs_what_the_stages_keep(spark, sf_dir):
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_tables(spark, sf_dir, name):
     assert dict(STAGES)[name](spark, empty_frame(spark), sf_dir).collect() == []
+
+
+def test_language_stage_drops_words_of_no_known_language(spark, sf_dir):
+    """The model's work decides: letters alone do not keep a text, several known languages in it do."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND length(text) > 200").collect()}
+    texts = {-1: " ".join(text[:200] for text in first.values()), -2: "ελληνικα γραμματα εδω " * 10, -3: "qxzwk vypq zzkwj " * 20}
+    added = spark.createDataFrame([(i, t, None, "a", len(t)) for i, t in texts.items()], SCHEMA)
+    kept = {r.doc_id for r in STAGES[0][1](spark, docs.select(*added.columns).unionAll(added), sf_dir).collect()}
+    assert -1 in kept and not {-2, -3} & kept
+    assert len(kept) > 0.9 * docs.count()
