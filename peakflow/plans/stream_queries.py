@@ -219,17 +219,24 @@ LANDINGS = 4
 
 
 def _landed(rows, home, time="ts"):
-    """Land rows in files out of time order: every fourth day together, so each landing goes back in time."""
+    """Land rows out of time order: every fourth day together and one landing after the other, each back in time."""
     path = f"{home}/landed"
-    rows.withColumn("landing", F.dayofmonth(time) % LANDINGS).write.partitionBy("landing").parquet(path)
+    landing = F.coalesce(F.dayofmonth(time) % LANDINGS, F.lit(0))
+    for i in range(LANDINGS):
+        rows.where(landing == i).write.parquet(f"{path}/landing={i}")
     return path
 
 
+def _landing_stream(spark, path, schema):
+    """Landed files as a stream, as many in a batch as a landing has: there are more of them the larger the table."""
+    files = len(spark.read.schema(schema).parquet(f"{path}/*").inputFiles())
+    return streams.parquet_stream(spark, f"{path}/*", schema, files_per_batch=-(-files // LANDINGS))
+
+
 def _event_stream(spark, sf_dir, home):
-    """The events as a stream of landed files, one in a batch."""
+    """The events as a stream of landings, one in a batch."""
     source = tables.table(spark, sf_dir, "events")
-    path = _landed(source, home)
-    return tables.from_event_table(streams.parquet_stream(spark, f"{path}/*", source.schema, files_per_batch=1))
+    return tables.from_event_table(_landing_stream(spark, _landed(source, home), source.schema))
 
 
 @query(
@@ -384,8 +391,7 @@ def evidence_csv(spark, sf_dir):
 def _latency_stream(spark, sf_dir, home):
     """Encoded records landed in files, decoded and measured as a stream."""
     records = _records(spark, sf_dir)
-    path = _landed(records, home, "event_ts")
-    decoded = payloads.decode(streams.parquet_stream(spark, f"{path}/*", records.schema, files_per_batch=1))
+    decoded = payloads.decode(_landing_stream(spark, _landed(records, home, "event_ts"), records.schema))
     return latency.read_latencies(decoded, F.col("read_at"), F.col("arrived_at"))
 
 

@@ -10,6 +10,7 @@ from cases import dicts, event, write_jsonl
 from peakflow.operators import dashboard, latency
 from peakflow.operators.items import order_items
 from peakflow.operators.latest import latest_per_key
+from peakflow.plans import stream_queries
 from peakflow.sources import payloads, streams, tables
 from peakflow.sources.evidence import read_latency_csv
 from peakflow.streaming import pipelines, windows
@@ -322,3 +323,21 @@ def test_latency_needs_a_publish_time(spark):
     rows = {r["event_id"]: r for r in dicts(latency.read_latencies(records, at, at))}
     assert rows["e1"]["publish_to_read_latency_ms"] is None and rows["e1"]["event_hour"] == "10:00"
     assert rows["e2"]["publish_to_read_latency_ms"] == 1500.0 and rows["e2"]["event_hour"] == ""
+
+
+def test_batches_do_not_grow_with_the_files_of_a_landing(spark, sf_dir, tmp_path):
+    """A table of more files lands in more files, and still a landing is a batch; rows without a time land too."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    timeless = events.limit(3).withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType))
+    events.unionAll(timeless).repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    batches = []
+
+    def on_batch(batch, batch_id):
+        batches.append((batch.count(), {r.d for r in batch.select((F.dayofmonth("event_ts") % 4).alias("d")).distinct().collect()}))
+
+    stream = stream_queries._event_stream(spark, str(tmp_path), str(tmp_path / "home"))
+    query = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    query.start().awaitTermination()
+    assert len(list((tmp_path / "home" / "landed").glob("*/part-*"))) > 4
+    assert [days - {None} for _, days in batches] == [{0}, {1}, {2}, {3}]
+    assert sum(n for n, _ in batches) == events.count() + 3
