@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakflow.llm.arrow_text import blocks, mix, utf8, word_hashes, words
-from peakflow.session import materialise, materialise_in_buckets
+from peakflow.session import drop_shuffles, materialise, materialise_in_buckets
 
 BLOCK_BYTES = 8 << 20
 CELL_BYTES = 12 << 20  # of text for each cell
@@ -459,6 +459,7 @@ def suffix_tree_scores(
     from, every token is unknown. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
+    drop_shuffles(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = size // CELL_BYTES + 1
     found = rows.mapInArrow(_into_blocks(cells), _BLOCKS)

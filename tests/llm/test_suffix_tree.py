@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -187,3 +188,18 @@ def test_scores_do_not_depend_on_blocks(spark, sf_dir, monkeypatch):
     cut = {r.doc_id: r.score for r in suffix_tree_scores(docs.repartition(3)).collect()}
     assert cut.keys() == whole.keys()
     assert all(cut[d] == pytest.approx(whole[d], rel=1e-9) for d in whole)
+
+
+def test_walks_leave_no_shuffle_files(spark):
+    def shuffle_files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).getName()).startswith("shuffle_")}
+
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")  # another test may have set it
+    before = shuffle_files()
+    assert suffix_tree_scores(spark.createDataFrame(letters(6, 30, 40), "doc_id long, text string")).count() == 30
+    for _ in range(50):  # the files are removed in the background
+        if not (left := shuffle_files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
