@@ -16,7 +16,10 @@ A block asks for the words, then for each length for the pairs of a context and
 sorted lists, one to each cell of words or contexts; a cell adds up what all blocks have and answers
 in the order asked, so answers carry no keys. Words, and pairs that can be contexts, get numbers in
 their cell: a longer context is the number of a pair, and no two contexts are taken for one another.
-A context with very many tokens is dealt to several cells by its symbols.
+Pairs come with the chance of the symbol after the shorter context, so the cell that counts a context
+also tests it. With a context come its suffixes that are not known to pass; when the context passes,
+they are marked, and blocks that wait for the marks of such contexts are told before they score.
+A context with very many tokens is dealt to several cells by its symbols, and tested when all counted.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakflow.llm.arrow_text import blocks, mix, utf8, word_hashes, words
-from peakflow.session import drop_shuffles, materialise, materialise_in_buckets
+from peakflow.session import bucket_table, drop_shuffles, materialise_in_buckets
 
 BLOCK_BYTES = 8 << 20
 CELL_BYTES = 12 << 20  # of text for each cell
 HOT_TOKENS = 1 << 17  # a context with more tokens is dealt to more cells
 END = np.uint64(0xE4D0F7E27ED0F7E3)  # stands after the last word of a text
-BITS = 16  # of a gain behind the point: sums of whole numbers do not depend on their order
+BITS = 24  # of a gain behind the point: sums of whole numbers do not depend on their order
 _LOW = np.int64((1 << 32) - 1)
+_SMALLER, _LARGER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def held_out(modulus: int = 5, remainder: int = 1) -> Column:
@@ -62,19 +66,62 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
-    """Whole numbers by planes of bytes, compressed; of rising ones the differences."""
+    """Whole numbers by as many planes of bytes as they need, compressed; of rising ones the differences."""
     values = np.ascontiguousarray(values, np.int64)
     if rising and len(values):
         values = np.r_[values[:1], np.diff(values)]
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    width = 8
+    if not len(values) or values.min() >= 0:
+        width = max((int(values.max(initial=0)).bit_length() + 7) // 8, 1)
+    planes = np.empty((width, len(values)), np.uint8)
+    for i in range(width):
+        planes[i] = values >> (8 * i)
+    return bytes([width]) + _SMALLER.compress(planes)
 
 
 def unpacked(data: bytes, rising: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    values = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    width = data[0]
+    planes = np.frombuffer(_LARGER.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    values = planes[0].astype(np.int64)
+    for i in range(1, width):
+        values |= planes[i].astype(np.int64) << (8 * i)
     return np.cumsum(values) if rising else values
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, none below zero, and the place of each number among them."""
+    shift = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + shift > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << shift) | np.arange(len(keys)))  # much faster than sorting places by key
+    order = both & ((1 << shift) - 1)
+    both >>= shift
+    new = np.r_[True, both[1:] != both[:-1]]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return both[new], place
+
+
+def _distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the place of each hash among them."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).view(np.int64)
+    found = hashes[order]
+    if not len(hashes) or (found[1:] < found[:-1]).any():  # two that differ in their low bits only
+        return np.unique(hashes, return_inverse=True)
+    new = np.r_[True, found[1:] != found[:-1]]
+    place = np.empty(len(hashes), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return found[new], place
+
+
+def _turned(order: np.ndarray) -> np.ndarray:
+    """The place of each number in a permutation."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
 def _pieces(cell: np.ndarray) -> list[tuple[int, int, int]]:
     """(cell, first, last + 1) of each run in a sorted list of cells."""
     cuts = np.flatnonzero(np.diff(cell)) + 1
@@ -100,9 +147,9 @@ def _into_blocks(cells: int):
         number = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, size=BLOCK_BYTES):
             hashes, bounds = tokens_of(batch.column("text"))
-            distinct, codes = np.unique(hashes, return_inverse=True)
+            distinct, codes = _distinct_hashes(hashes)
             order = np.argsort(distinct % np.uint64(cells), kind="stable")
-            place = np.argsort(order)
+            place = _turned(order)
             row = (
                 number, batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
                 packed(np.diff(bounds)), packed(distinct[order].view(np.int64), True), packed(place[codes]),
@@ -113,10 +160,13 @@ def _into_blocks(cells: int):
     return run
 
 
-ASKS = pa.schema([("block", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
-ANSWERS = pa.schema([("block", pa.int64()), ("level", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abc"]])
-GAINS = pa.schema([("level", pa.int64()), *ASKS])
-_ASKS, _ANSWERS = "block long, cell long, a binary, b binary, c binary, d binary", "block long, level long, cell long, a binary, b binary, c binary"
+ASKS = pa.schema([("block", pa.int64()), ("level", pa.int64()), ("cell", pa.int64()), *[(c, pa.binary()) for c in "abcdef"]])
+_ASKS = "block long, level long, cell long, a binary, b binary, c binary, d binary, e binary, f binary"
+# kind: answer (to a block), fact, wish, mark, part; n and m: sums
+ANSWERS = pa.schema(
+    [("kind", pa.string()), *[(c, pa.int64()) for c in ("block", "level", "cell", "n", "m")], *[(c, pa.binary()) for c in "abc"]]
+)
+_ANSWERS = "kind string, block long, level long, cell long, n long, m long, a binary, b binary, c binary"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -147,7 +197,7 @@ class Walk:
     def asked_words(self) -> list[tuple]:
         n = np.bincount(self.codes[self.learn], minlength=len(self.words))
         return [
-            (self.block, c, packed(self.words[i:j].view(np.int64), True), packed(n[i:j]), b"", b"")
+            (self.block, 0, c, packed(self.words[i:j].view(np.int64), True), packed(n[i:j]), b"", b"", b"", b"")
             for c, i, j in _pieces(self.cell)
         ]
 
@@ -159,16 +209,20 @@ class Walk:
             self.known.setdefault(r["level"], []).append(r)
         count, number = self.told(0, "a"), self._numbers(0, np.ones(len(self.words), bool))
         order = np.argsort(number)  # codes rise with the numbers from here on
-        self.number, self.symbol = number[order], np.argsort(order)[self.codes]
+        self.number, self.symbol = number[order], _turned(order)[self.codes]
         seen = count[order]
         self.seen = seen[self.symbol]
-        self.root = (self.seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        self.chance = self.longest = self.root
+        root = self.chance_by_count(seen)
+        self.root = np.log10(root)[self.symbol]
+        self.chance = self.longest = root[self.symbol]
         self.context, self.total = self.number, seen
         self.before = np.r_[0, self.symbol[:-1]]
-        self.suffixes = np.empty((0, len(self.number)), np.int64)  # of each context, from the shortest on
+        self.level, self.suffixes = 0, np.empty((0, len(self.number)), np.int64)  # of each context, from the shortest on
         self.open = self.place >= 1
 
+    def chance_by_count(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+
     def told(self, level: int, column: str) -> np.ndarray:
         parts = [unpacked(r[column]) for r in self.known.get(level, [])]
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -185,79 +239,84 @@ class Walk:
         after = np.flatnonzero(self.open)
         self.at = after[self.total[self.before[after]] >= self.least_count]
         code, symbol = self.before[self.at], self.symbol[self.at]
-        shares = -(-self.total // HOT_TOKENS)
-        home = _spread(self.context, 0, self.cells)
+        self.shares = shares = -(-self.total // HOT_TOKENS)
         asked = np.zeros(len(self.context), bool)
         asked[code] = True
-        asked = np.flatnonzero(asked)
-        hot = np.flatnonzero(shares[code] > 1)
-        salt = _spread(self.number[symbol[hot]], 1, 1 << 40) % shares[code[hot]]
-        dealt = (_spread(self.context[code[hot]], salt, self.cells) << 32) | code[hot]
+        self.asked = asked = np.flatnonzero(asked)
         of = np.repeat(asked, shares[asked])  # a context of many cells is told about in each
         salt = np.arange(len(of)) - np.repeat(np.cumsum(shares[asked]) - shares[asked], shares[asked])
-        self.entries = np.unique((_spread(self.context[of], salt, self.cells) << 32) | of)
+        entries = np.sort((_spread(self.context[of], salt, self.cells) << 32) | of)
+        self.entries = entries[np.diff(entries, prepend=-1) != 0]
         entry = np.zeros(len(self.context), np.int64)
-        entry[asked] = np.searchsorted(self.entries, (home[asked] << 32) | asked)
+        entry[self.entries & _LOW] = np.arange(len(self.entries))
         entry = entry[code]
-        entry[hot] = np.searchsorted(self.entries, dealt)
-        pair = (entry << 32) | symbol
-        self.distinct_pairs, self.pair = np.unique(pair, return_inverse=True)
+        if (shares[asked] > 1).any():
+            hot = np.flatnonzero(shares[code] > 1)
+            salt = _spread(self.number[symbol[hot]], 1, 1 << 40) % shares[code[hot]]
+            dealt = (_spread(self.context[code[hot]], salt, self.cells) << 32) | code[hot]
+            entry[hot] = np.searchsorted(self.entries, dealt)
+        self.distinct_pairs, self.pair = _distinct(entry * len(self.number) + symbol)
 
     def asked_pairs(self) -> list[tuple]:
         self.pairs()
         own = np.bincount(self.pair[self.learn[self.at]], minlength=len(self.distinct_pairs))
-        entry, symbol = self.distinct_pairs >> 32, self.number[self.distinct_pairs & _LOW]
+        entry = self.distinct_pairs // len(self.number)
+        symbol = self.number[self.distinct_pairs - entry * len(self.number)]
         many = np.bincount(entry, minlength=len(self.entries))
         step = np.r_[symbol[:1], np.where(np.diff(entry) == 0, np.diff(symbol), symbol[1:])]
-        first = np.searchsorted(entry, np.arange(len(self.entries) + 1))
+        first = np.r_[0, np.cumsum(many)]
+        one = np.empty(len(self.distinct_pairs), np.int64)
+        one[self.pair] = self.at
+        told = _bits(self.chance[one]) if self.level else self.seen[one]  # the counts of words say it all
+        code = self.entries & _LOW
+        context, suffixes = self.context[code], np.concatenate([self.shares[None, code] > 1, self.suffixes[:, code]])
         out = []
         for c, i, j in _pieces(self.entries >> 32):
             x, y = first[i], first[j]
-            context = self.context[self.entries[i:j] & _LOW]
-            out.append((self.block, c, packed(context, True), packed(many[i:j]), packed(step[x:y]), packed(own[x:y])))
+            lists = packed(context[i:j], True), packed(many[i:j]), packed(step[x:y]), packed(own[x:y])
+            out.append((self.block, self.level + 1, c, *lists, packed(told[x:y]), packed(suffixes[:, i:j].ravel())))
         return out
 
+    def wished(self, which: np.ndarray, level: int) -> list[tuple]:
+        """Contexts of which the block waits to hear whether they are marked."""
+        code, cell = self._by_cell(which)
+        return [
+            (self.block, -level, c, packed(self.context[code[i:j]], True), b"", b"", b"", b"", b"")
+            for c, i, j in _pieces(cell)
+        ]
+
+    def _by_cell(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts by the cell of their marks, and these cells."""
+        cell = _spread(self.context[which], 0, self.cells)
+        order = np.argsort(cell, kind="stable")
+        return which[order], cell[order]
+
     def step(self, level: int) -> None:
         """Take the answers about the pairs of this length; the pairs seen often enough are the next contexts."""
         self.pairs()
-        n = self.told(level, "a")
+        n, told = self.told(level, "a"), self.told(level, "c")
         code = self.entries & _LOW
-        followers = np.bincount(code, self.told(level, "c"), len(self.context))
+        followers = np.bincount(code, told >> 1, len(self.context))
+        self.passed = np.zeros(len(self.context), bool)
+        self.passed[code[(told & 1) > 0]] = True
         here = self.before[self.at]
-        self.shorter, self.chance = self.chance, self.chance.copy()
-        left = self.discount * followers[here] / self.total[here]
-        self.chance[self.at] = np.maximum(n[self.pair] - self.discount, 0) / self.total[here] + left * self.shorter[self.at]
+        left = self.discount * followers / np.maximum(self.total, 1)
+        longer = np.maximum(n - self.discount, 0)[self.pair] / self.total[here] + left[here] * self.chance[self.at]
+        self.chance = self.chance.copy()
+        self.chance[self.at] = longer
         self.here, self.level = here, level
 
-    def gains(self) -> list[tuple]:
-        """What the training tokens after each context gain over the shorter one, and the suffixes of the context."""
-        learn = self.learn[self.at]
-        at, code = self.at[learn], self.here[learn]
-        gain = np.rint(np.log2(self.chance[at] / self.shorter[at]) * (1 << BITS)).astype(np.int64)
-        summed = np.zeros(len(self.context), np.int64)
-        np.add.at(summed, code, gain)
-        asked, cell = self._asked_contexts()
-        return [
-            (
-                self.level, self.block, c, packed(self.context[asked[i:j]], True), packed(summed[asked[i:j]]),
-                packed(self.total[asked[i:j]]), packed(self.suffixes[:, asked[i:j]].ravel()),
-            )
-            for c, i, j in _pieces(cell)
-        ]
-
-    def _asked_contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts of this length by cell, and their cells."""
-        asked = np.unique(self.here)
-        cell = _spread(self.context[asked], 0, self.cells)
-        order = np.argsort(cell, kind="stable")
-        return asked[order], cell[order]
+    def unsure(self) -> np.ndarray:
+        """The contexts of this length that are not known to pass."""
+        return self.asked[~self.passed[self.asked]]
 
-    def choose(self) -> None:
+    def choose(self, depth: int) -> None:
         """Score the tokens after a state of this length."""
-        asked, _ = self._asked_contexts()
-        state = np.zeros(len(self.context), bool)
-        state[asked] = self.told(-self.level, "a") > 0
-        here = self.at[state[self.here]]
+        state = self.passed.copy()
+        waiting = self.unsure() if self.level < depth else self.asked[self.shares[self.asked] > 1]
+        state[self._by_cell(waiting)[0]] = self.told(-self.level, "a") > 0
+        on = state[self.here]
+        here = self.at[on]
         self.longest = self.longest.copy()
         self.longest[here] = self.chance[here]
 
@@ -267,18 +326,17 @@ class Walk:
         number = self._numbers(self.level, n >= self.least_count)
         found = np.flatnonzero(number >= 0)
         order = found[np.argsort(number[found])]
-        code = np.zeros(len(n), np.int64)
+        code = np.full(len(n), -1)
         code[order] = np.arange(len(order))
         place = np.empty(len(n), np.int64)
         place[self.pair] = self.at + 1  # before which token a pair stands as a context
         shorter = self.before[np.minimum(place[order], len(self.before) - 1)]
-        before = np.zeros(len(self.symbol) + 1, np.int64)
-        longer = np.zeros(len(self.symbol) + 1, bool)
+        before = np.full(len(self.symbol) + 1, -1)
         before[self.at + 1] = code[self.pair]
-        longer[self.at + 1] = number[self.pair] >= 0
-        self.suffixes = np.concatenate([self.suffixes[:, shorter], self.context[shorter][None]])
+        unsure = np.where(self.passed, 0, self.context + 1)  # zero stands for a suffix known to pass
+        self.suffixes = np.concatenate([self.suffixes[:, shorter], unsure[None, shorter]])
         self.context, self.total = number[order], n[order]
-        self.before, self.open = before[:-1], longer[:-1] & (self.place > self.level)
+        self.before, self.open = np.maximum(before[:-1], 0), (before[:-1] >= 0) & (self.place > self.level)
 
     def scores(self, docs: pa.Table) -> pa.Table:
         begins = self.bounds[:-1]
@@ -289,7 +347,7 @@ class Walk:
                 "n_tokens": pa.array(np.diff(self.bounds)),
                 "n_known": pa.array(np.add.reduceat((self.seen > 0).astype(np.int64), begins)),
                 "train_tokens": pa.array(np.full(len(begins), self.tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(np.log10(self.root), begins)),
+                "base_score": pa.array(np.add.reduceat(self.root, begins)),
                 "score": pa.array(np.add.reduceat(np.log10(self.longest), begins)),
             }
         )
@@ -318,34 +376,29 @@ def _visit(walk: Walk, what, empty: pa.Table):
     return run
 
 
-def _block_pairs(walk: Walk, level: int):
+def _block_pairs(walk: Walk, level: int, depth: int):
     def what(docs: pa.Table) -> pa.Table:
+        out = []
         for shorter in range(1, level):
             walk.step(shorter)
+            if level == depth:
+                out += walk.wished(walk.unsure(), shorter)
             walk.lengthen()
-        return _table(walk.asked_pairs(), ASKS)
+        out += walk.asked_pairs()
+        if level == depth:
+            out += walk.wished(walk.asked[walk.shares[walk.asked] > 1], level)
+        return _table(out, ASKS)
 
     return _visit(walk, what, ASKS.empty_table())
 
 
-def _block_gains(walk: Walk, depth: int):
-    def what(docs: pa.Table) -> pa.Table:
-        out = []
-        for level in range(1, depth + 1):
-            walk.step(level)
-            out += walk.gains()
-            walk.lengthen()
-        return _table(out, GAINS)
-
-    return _visit(walk, what, GAINS.empty_table())
-
-
 def _block_scores(walk: Walk, depth: int):
     def what(docs: pa.Table) -> pa.Table:
         for level in range(1, depth + 1):
             walk.step(level)
-            walk.choose()
-            walk.lengthen()
+            walk.choose(depth)
+            if level < depth:
+                walk.lengthen()
         return walk.scores(docs)
 
     return _visit(walk, what, SCORES.empty_table())
@@ -364,7 +417,7 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(asks: pa.Table) -> pa.Table:
-    """Counts and numbers of the words of a cell; with no block, the cell's tokens and its words seen in training."""
+    """Counts and numbers of the words of a cell; as a fact, the cell's tokens and its words seen in training."""
     rows = asks.to_pylist()
     words, bounds = _joined([unpacked(r["a"], True).view(np.uint64) for r in rows])
     n, _ = _joined([unpacked(r["b"]) for r in rows])
@@ -372,72 +425,125 @@ def _count_words(asks: pa.Table) -> pa.Table:
     count = np.zeros(len(distinct), np.int64)
     np.add.at(count, at, n)
     out = [
-        (r["block"], 0, r["cell"], packed(count[at[i:j]]), packed(at[i:j], True), b"")
+        ("answer", r["block"], 0, r["cell"], 0, 0, packed(count[at[i:j]]), packed(at[i:j], True), b"")
         for r, i, j in zip(rows, bounds[:-1], bounds[1:])
     ]
-    return _table([*out, (None, int(count.sum()), int((count > 0).sum()), b"", b"", b"")], ANSWERS)
+    cell = rows[0]["cell"]
+    return _table([*out, ("fact", -1 - cell, 0, cell, int(count.sum()), int((count > 0).sum()), b"", b"", b"")], ANSWERS)
+
+
+def _bits(chance: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log2(chance) * (1 << BITS)).astype(np.int64)
+
+
+def _gains(count: np.ndarray, bits: np.ndarray, total, followers, discount: float) -> np.ndarray:
+    """What the training tokens of each pair gain over the shorter context, whose chances are 2 ** -bits."""
+    chance = np.maximum(count - discount, 0) / total + discount * followers / total * np.exp2(-bits / (1 << BITS))
+    return count * np.rint(np.log2(chance) * (1 << BITS) + bits).astype(np.int64)
+
+
+def _marks(level: int, contexts: np.ndarray, cells: int) -> list[tuple]:
+    """Contexts of one length, each for the cell where blocks wait for its mark."""
+    cell = _spread(contexts, 0, cells)
+    order = np.argsort(cell, kind="stable")
+    return [
+        ("mark", -1 - c, level, c, 0, 0, packed(contexts[order[i:j]], True), b"", b"") for c, i, j in _pieces(cell[order])
+    ]
 
 
-def _count_pairs(level: int, least_count: int):
+def _count_pairs(walk: Walk, level: int, least_divergence: float):
     def run(asks: pa.Table) -> pa.Table:
-        """Counts of the pairs of a cell, numbers of those that can be contexts, followers of each context."""
+        """Counts of the pairs of a cell, numbers of those that can be contexts, followers and test of each context.
+
+        Wishes go on as they are. A context that is dealt to more cells leaves what is here of it as a part.
+        """
         rows = asks.to_pylist()
+        out = [("wish", r["block"], -r["level"], r["cell"], 0, 0, r["a"], b"", b"") for r in rows if r["level"] < 0]
+        rows = [r for r in rows if r["level"] > 0]
+        if not rows:
+            return _table(out, ANSWERS)
         entries, entry_bounds = _joined([unpacked(r["a"], True) for r in rows])
         many, _ = _joined([unpacked(r["b"]) for r in rows])
         step, bounds = _joined([unpacked(r["c"]) for r in rows])
         own, _ = _joined([unpacked(r["d"]) for r in rows])
+        told, _ = _joined([unpacked(r["e"]) for r in rows])
+        suffixes = np.concatenate([unpacked(r["f"]).reshape(level, -1) for r in rows], axis=1)
         begin = np.cumsum(many) - many
         symbol = np.cumsum(step)
-        base = np.where(begin > 0, symbol[begin - 1], 0) if len(symbol) else np.zeros(len(begin), np.int64)
-        symbol -= np.repeat(base, many)
-        contexts, context = np.unique(entries, return_inverse=True)
-        symbols, symbol = np.unique(symbol, return_inverse=True)
-        pairs, at = np.unique((np.repeat(context, many) << 32) | symbol, return_inverse=True)
-        count = np.zeros(len(pairs), np.int64)
+        symbol -= np.repeat(np.where(begin > 0, symbol[begin - 1], 0), many)
+        contexts, context = _distinct(entries)
+        one = np.empty(len(contexts), np.int64)
+        one[context] = np.arange(len(context))
+        suffixes = suffixes[:, one]
+        base = int(symbol.max()) + 1
+        pairs, at = _distinct(np.repeat(context, many) * base + symbol)
+        of = pairs // base
+        count, bits = np.zeros(len(pairs), np.int64), np.empty(len(pairs), np.int64)
         np.add.at(count, at, own)
-        followers = np.bincount(pairs[count > 0] >> 32, minlength=len(contexts))
-        number = np.cumsum(count >= least_count) - 1
-        out = []
+        bits[at] = told if level > 1 else _bits(walk.chance_by_count(told))
+        seen = count > 0
+        followers = np.bincount(of[seen], minlength=len(contexts))
+        total, gain = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        np.add.at(total, of, count)
+        each = of[seen]
+        np.add.at(gain, each, _gains(count[seen], bits[seen], total[each], followers[each], walk.discount))
+        hot = suffixes[0] > 0
+        passed = (gain >= least_divergence * (1 << BITS) * total) & ~hot
+        number = np.cumsum(count >= walk.least_count) - 1
+        answer = followers * 2 + passed
+        cell = rows[0]["cell"]
         for k, r in enumerate(rows):
             here = at[bounds[k] : bounds[k + 1]]
-            mine = context[entry_bounds[k] : entry_bounds[k + 1]]
-            numbers = number[here[count[here] >= least_count]]
-            out.append((r["block"], level, r["cell"], packed(count[here]), packed(numbers, True), packed(followers[mine])))
+            n = count[here]
+            numbers = number[here[n >= walk.least_count]]
+            mine = answer[context[entry_bounds[k] : entry_bounds[k + 1]]]
+            out.append(("answer", r["block"], level, cell, 0, 0, packed(n), packed(numbers, True), packed(mine)))
+        for shorter in range(1, level):
+            marked = suffixes[shorter, passed]
+            out += _marks(shorter, np.unique(marked[marked > 0]) - 1, walk.cells)
+        for k in np.flatnonzero(hot):
+            i, j = np.searchsorted(of, [k, k + 1])
+            which = np.flatnonzero(seen[i:j]) + i
+            lists = packed(suffixes[1:, k]), packed(count[which]), packed(bits[which])
+            out.append(("part", -1 - cell, level, int(contexts[k]), int(total[k]), int(followers[k]), *lists))
         return _table(out, ANSWERS)
 
     return run
 
 
-def _passing(cells: int, least_divergence: float):
-    def run(key: tuple[pa.Scalar, ...], gains: pa.Table) -> pa.Table:
-        """The contexts of a cell that pass the test, and their suffixes, each for the cell of its own."""
-        level, rows = key[0].as_py(), gains.to_pylist()
-        contexts, first, at = np.unique(
-            np.concatenate([unpacked(r["a"], True) for r in rows]), return_index=True, return_inverse=True
-        )
-        gain = np.zeros(len(contexts), np.int64)
-        np.add.at(gain, at, np.concatenate([unpacked(r["b"]) for r in rows]))
-        total = np.concatenate([unpacked(r["c"]) for r in rows])[first]
-        suffixes = np.concatenate([unpacked(r["d"]).reshape(level - 1, -1) for r in rows], axis=1) if level > 1 else ()
-        passed = gain >= least_divergence * (1 << BITS) * total
-        out = []
-        for shorter, found in enumerate([*[s[first][passed] for s in suffixes], contexts[passed]], 1):
-            found = np.unique(found)
-            cell = _spread(found, 0, cells)
-            order = np.argsort(cell, kind="stable")
-            out += [(shorter, None, c, packed(found[order[i:j]], True), b"", b"", b"") for c, i, j in _pieces(cell[order])]
-        return _table(out, GAINS)
+def _part_gains(discount: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gain = [
+                int(_gains(unpacked(r["b"]), unpacked(r["c"]), r["total"], r["followers"], discount).sum())
+                for r in batch.select(["b", "c", "total", "followers"]).to_pylist()
+            ]
+            columns = [batch.column(c) for c in ("level", "cell", "a", "total")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gain, pa.int64())], ["level", "cell", "a", "total", "gain"])
+
+    return run
+
+
+def _part_marks(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of many cells that passed, and their suffixes not known to pass."""
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                for level, number in enumerate([*unpacked(r["a"]).tolist(), r["cell"] + 1], 1):
+                    out += _marks(level, np.array([number - 1]), cells) if number else []
+            yield from _table(out, ANSWERS).to_batches()
 
     return run
 
 
-def _states(gains: pa.Table, marks: pa.Table) -> pa.Table:
-    """For each block which of the contexts it asked for are states, under the level below zero."""
+def _states(wishes: pa.Table, marks: pa.Table) -> pa.Table:
+    """For each block which of the contexts it waits for are marked, under the level below zero."""
     states = np.unique(np.concatenate([np.empty(0, np.int64), *[unpacked(x, True) for x in marks.column("a").to_pylist()]]))
     return _table(
         [
-            (r["block"], -r["level"], r["cell"], packed(np.isin(unpacked(r["a"], True), states)), b"", b"")
-            for r in gains.to_pylist()
+            ("answer", r["block"], -r["level"], r["cell"], 0, 0, packed(np.isin(unpacked(r["a"], True), states)), b"", b"")
+            for r in wishes.to_pylist()
         ],
         ANSWERS,
     )
@@ -461,27 +567,29 @@ def suffix_tree_scores(
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     drop_shuffles(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = size // CELL_BYTES + 1
-    found = rows.mapInArrow(_into_blocks(cells), _BLOCKS)
-    stored = materialise_in_buckets(found, "lm-blocks", 2 * (size // BLOCK_BYTES) + 1, "block")
-    asked = stored.groupBy("block").applyInArrow(_block_words(cells), _ASKS).repartition(cells, "cell")
-    answers = materialise(asked.groupBy("cell").applyInArrow(_count_words, _ANSWERS), "lm-words")
-    facts = answers.where("block IS NULL").agg(F.sum("level").alias("tokens"), F.sum("cell").alias("distinct")).first()
-    walk = Walk(cells, facts.tokens or 0, facts.distinct or 0, least_count, discount)
-    known = answers.where("block IS NOT NULL")
-
-    def visit(run, schema: str) -> DataFrame:
-        return stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
-
-    for level in range(1, depth + 1):
-        asked = visit(_block_pairs(walk, level), _ASKS).repartition(cells, "cell")
-        answers = asked.groupBy("cell").applyInArrow(_count_pairs(level, least_count), _ANSWERS)
-        known = known.unionAll(materialise(answers, f"lm-pairs-{level}"))
-    gains = visit(_block_gains(walk, depth), f"level long, {_ASKS}").repartition(cells, "cell")
-    gains = materialise_in_buckets(gains, "lm-gains", cells, "cell")
-    cell = ["level", "cell"]
-    marks = gains.groupBy(*cell).applyInArrow(_passing(cells, least_divergence), gains.schema).select(*cell, "a")
-    asked = gains.select(*cell, "block", "a")
-    states = asked.groupBy(*cell).cogroup(marks.groupBy(*cell)).applyInArrow(_states, _ANSWERS)
-    known = known.unionAll(states)
+    cells, buckets = size // CELL_BYTES + 1, 2 * (size // BLOCK_BYTES) + 1
+    stored = materialise_in_buckets(rows.mapInArrow(_into_blocks(cells), _BLOCKS), "lm-blocks", buckets, "block")
+    with bucket_table(docs.sparkSession, "lm-told", buckets, "block") as tell:
+        asked = stored.groupBy("block").applyInArrow(_block_words(cells), _ASKS).repartition(cells, "cell")
+        told = tell(asked.groupBy("cell").applyInArrow(_count_words, _ANSWERS))
+        facts = told.where("kind = 'fact'").agg(F.sum("n").alias("tokens"), F.sum("m").alias("distinct")).first()
+        walk = Walk(cells, facts.tokens or 0, facts.distinct or 0, least_count, discount)
+
+        def visit(run, schema: str) -> DataFrame:
+            known = told.where("kind = 'answer'").groupBy("block")
+            return stored.groupBy("block").cogroup(known).applyInArrow(run, schema)
+
+        for level in range(1, depth + 1):
+            asked = visit(_block_pairs(walk, level, depth), _ASKS).repartition(cells, "cell")
+            told = tell(asked.groupBy("cell").applyInArrow(_count_pairs(walk, level, least_divergence), _ANSWERS))
+        parts = told.where("kind = 'part'").select("level", "cell", "n", "m", "a", "b", "c")
+        sums = parts.groupBy("level", "cell").agg(F.sum("n").alias("total"), F.sum("m").alias("followers"))
+        gains = parts.join(sums, ["level", "cell"]).mapInArrow(
+            _part_gains(discount), "level long, cell long, a binary, total long, gain long"
+        )
+        gains = gains.groupBy("level", "cell").agg(F.sum("gain").alias("gain"), F.first("total").alias("total"), F.first("a").alias("a"))
+        passed = gains.where(F.col("gain") >= least_divergence * (1 << BITS) * F.col("total")).select("level", "cell", "a")
+        marks = passed.mapInArrow(_part_marks(cells), _ANSWERS).unionAll(told.where("kind = 'mark'"))
+        wishes = told.where("kind = 'wish'").groupBy("level", "cell")
+        told = tell(wishes.cogroup(marks.groupBy("level", "cell")).applyInArrow(_states, _ANSWERS))
     return visit(_block_scores(walk, depth), _SCORES)

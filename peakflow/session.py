@@ -90,6 +90,25 @@ def materialise_in_buckets(df: DataFrame, label: str, count: int, column: str, c
     return stored
 
 
+@contextmanager
+def bucket_table(spark: SparkSession, label: str, count: int, column: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stored copy that grows: what it gives adds rows and returns all so far, shuffled once, when they are added.
+
+    The name of the table goes at the end; frames read the files on.
+    """
+    name, path = f"scratch_{uuid.uuid4().hex}", scratch_path(spark, label)
+
+    def add(df: DataFrame) -> DataFrame:
+        writer = df.repartition(count, column).write.mode("append").bucketBy(count, column)
+        (writer if spark.catalog.tableExists(name) else writer.option("path", path)).saveAsTable(name)
+        return spark.table(name)
+
+    try:
+        yield add
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def materialise_alone(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
     """Store what `build` returns, and remove all copies that were stored on the way to it."""
     path = scratch_path(spark, label)
