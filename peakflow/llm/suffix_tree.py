@@ -41,7 +41,8 @@ BLOCK_BYTES = 8 << 20
 CELL_BYTES = 12 << 20  # of text for each cell
 HOT_TOKENS = 1 << 17  # a context with more tokens is dealt to more cells
 END = np.uint64(0xE4D0F7E27ED0F7E3)  # stands after the last word of a text
-BITS = 24  # of a gain behind the point: sums of whole numbers do not depend on their order
+ROUNDS = (2, 3, 2)  # by length of context: in each a part of the cells is asked, so that less is on disk at once
+BITS = 20  # of a gain behind the point: sums of whole numbers do not depend on their order
 _LOW = np.int64((1 << 32) - 1)
 _SMALLER, _LARGER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -136,23 +137,24 @@ def _spread(numbers: np.ndarray, salt: np.ndarray | int, cells: int) -> np.ndarr
 
 BLOCKS = pa.schema(
     [("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))]
-    + [(c, pa.binary()) for c in ("sizes", "words", "codes")]
+    + [(c, pa.binary()) for c in ("sizes", "words", "counts", "codes")]
 )
-_BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, words binary, codes binary"
+_BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, words binary, counts binary, codes binary"
 
 
 def _into_blocks(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block: its distinct words by cell and hash, and its tokens as their places in this list."""
+        """A row for each block: its distinct words by cell and hash, and its tokens as their places by count."""
         number = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, size=BLOCK_BYTES):
             hashes, bounds = tokens_of(batch.column("text"))
             distinct, codes = _distinct_hashes(hashes)
             order = np.argsort(distinct % np.uint64(cells), kind="stable")
-            place = _turned(order)
+            count = np.bincount(codes, minlength=len(distinct))[order]
+            rank = _turned(np.argsort(-count, kind="stable"))[_turned(order)]
             row = (
                 number, batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
-                packed(np.diff(bounds)), packed(distinct[order].view(np.int64), True), packed(place[codes]),
+                packed(np.diff(bounds)), packed(distinct[order].view(np.int64), True), packed(count), packed(rank[codes]),
             )
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCKS.types)], schema=BLOCKS)
             number += 1
@@ -185,10 +187,11 @@ class Walk:
 
     def read(self, docs: pa.Table) -> None:
         """Tokens as codes of the block's distinct words, which stand by cell and hash."""
-        row = docs.select(["block", "sizes", "words", "codes"]).to_pylist()[0]
+        row = docs.select(["block", "sizes", "words", "counts", "codes"]).to_pylist()[0]
         sizes, self.block = unpacked(row["sizes"]), row["block"]
         self.bounds = np.r_[0, np.cumsum(sizes)]
-        self.words, self.codes = unpacked(row["words"], True).view(np.uint64), unpacked(row["codes"])
+        self.words = unpacked(row["words"], True).view(np.uint64)
+        self.codes = np.argsort(-unpacked(row["counts"]), kind="stable")[unpacked(row["codes"])]
         self.cell = (self.words % np.uint64(self.cells)).astype(np.int64)
         held = docs.column("held_out").chunk(0).flatten().to_numpy(zero_copy_only=False)
         self.learn = np.repeat(~held.astype(bool), sizes)
@@ -257,24 +260,33 @@ class Walk:
             entry[hot] = np.searchsorted(self.entries, dealt)
         self.distinct_pairs, self.pair = _distinct(entry * len(self.number) + symbol)
 
-    def asked_pairs(self) -> list[tuple]:
+    def asked_pairs(self, part: int = 0, parts: int = 1) -> list[tuple]:
+        """What the block asks of a part of the cells; about the chance of a symbol its count says it all at first."""
         self.pairs()
         own = np.bincount(self.pair[self.learn[self.at]], minlength=len(self.distinct_pairs))
         entry = self.distinct_pairs // len(self.number)
-        symbol = self.number[self.distinct_pairs - entry * len(self.number)]
+        symbol_code = self.distinct_pairs - entry * len(self.number)
+        symbol = self.number[symbol_code]
         many = np.bincount(entry, minlength=len(self.entries))
         step = np.r_[symbol[:1], np.where(np.diff(entry) == 0, np.diff(symbol), symbol[1:])]
         first = np.r_[0, np.cumsum(many)]
         one = np.empty(len(self.distinct_pairs), np.int64)
         one[self.pair] = self.at
-        told = _bits(self.chance[one]) if self.level else self.seen[one]  # the counts of words say it all
+        told = _bits(self.chance[one]) if self.level else self.seen[one]
         code = self.entries & _LOW
         context, suffixes = self.context[code], np.concatenate([self.shares[None, code] > 1, self.suffixes[:, code]])
         out = []
         for c, i, j in _pieces(self.entries >> 32):
+            if c % parts != part:
+                continue
             x, y = first[i], first[j]
+            chances = told[x:y]
+            if not self.level:  # once for each symbol, as they rise
+                by_symbol = np.full(len(self.number), -1)
+                by_symbol[symbol_code[x:y]] = chances
+                chances = by_symbol[by_symbol >= 0]
             lists = packed(context[i:j], True), packed(many[i:j]), packed(step[x:y]), packed(own[x:y])
-            out.append((self.block, self.level + 1, c, *lists, packed(told[x:y]), packed(suffixes[:, i:j].ravel())))
+            out.append((self.block, self.level + 1, c, *lists, packed(chances), packed(suffixes[:, i:j].ravel())))
         return out
 
     def wished(self, which: np.ndarray, level: int) -> list[tuple]:
@@ -376,16 +388,16 @@ def _visit(walk: Walk, what, empty: pa.Table):
     return run
 
 
-def _block_pairs(walk: Walk, level: int, depth: int):
+def _block_pairs(walk: Walk, level: int, depth: int, part: int = 0, parts: int = 1):
     def what(docs: pa.Table) -> pa.Table:
         out = []
         for shorter in range(1, level):
             walk.step(shorter)
-            if level == depth:
+            if level == depth and not part:
                 out += walk.wished(walk.unsure(), shorter)
             walk.lengthen()
-        out += walk.asked_pairs()
-        if level == depth:
+        out += walk.asked_pairs(part, parts)
+        if level == depth and not part:
             out += walk.wished(walk.asked[walk.shares[walk.asked] > 1], level)
         return _table(out, ASKS)
 
@@ -466,7 +478,7 @@ def _count_pairs(walk: Walk, level: int, least_divergence: float):
         many, _ = _joined([unpacked(r["b"]) for r in rows])
         step, bounds = _joined([unpacked(r["c"]) for r in rows])
         own, _ = _joined([unpacked(r["d"]) for r in rows])
-        told, _ = _joined([unpacked(r["e"]) for r in rows])
+        told = [unpacked(r["e"]) for r in rows]
         suffixes = np.concatenate([unpacked(r["f"]).reshape(level, -1) for r in rows], axis=1)
         begin = np.cumsum(many) - many
         symbol = np.cumsum(step)
@@ -480,7 +492,9 @@ def _count_pairs(walk: Walk, level: int, least_divergence: float):
         of = pairs // base
         count, bits = np.zeros(len(pairs), np.int64), np.empty(len(pairs), np.int64)
         np.add.at(count, at, own)
-        bits[at] = told if level > 1 else _bits(walk.chance_by_count(told))
+        if level == 1:
+            told = [_bits(walk.chance_by_count(t))[_distinct(symbol[i:j])[1]] for t, i, j in zip(told, bounds, bounds[1:])]
+        bits[at] = np.concatenate(told)
         seen = count > 0
         followers = np.bincount(of[seen], minlength=len(contexts))
         total, gain = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
@@ -580,8 +594,11 @@ def suffix_tree_scores(
             return stored.groupBy("block").cogroup(known).applyInArrow(run, schema)
 
         for level in range(1, depth + 1):
-            asked = visit(_block_pairs(walk, level, depth), _ASKS).repartition(cells, "cell")
-            told = tell(asked.groupBy("cell").applyInArrow(_count_pairs(walk, level, least_divergence), _ANSWERS))
+            parts = min(ROUNDS[min(level, len(ROUNDS)) - 1], cells)
+            for part in range(parts):
+                asked = visit(_block_pairs(walk, level, depth, part, parts), _ASKS).repartition(cells, "cell")
+                more = tell(asked.groupBy("cell").applyInArrow(_count_pairs(walk, level, least_divergence), _ANSWERS))
+            told = more
         parts = told.where("kind = 'part'").select("level", "cell", "n", "m", "a", "b", "c")
         sums = parts.groupBy("level", "cell").agg(F.sum("n").alias("total"), F.sum("m").alias("followers"))
         gains = parts.join(sums, ["level", "cell"]).mapInArrow(
