@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakflow.llm.arrow_text import blocks, mix, utf8, word_hashes, words
-from peakflow.session import bucket_table, drop_shuffles, materialise_in_buckets
+from peakflow.session import bucket_table, discard, drop_shuffles, materialise, materialise_in_buckets
 
 BLOCK_BYTES = 8 << 20
 CELL_BYTES = 12 << 20  # of text for each cell
@@ -137,9 +137,9 @@ def _spread(numbers: np.ndarray, salt: np.ndarray | int, cells: int) -> np.ndarr
 
 BLOCKS = pa.schema(
     [("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))]
-    + [(c, pa.binary()) for c in ("sizes", "words", "counts", "codes")]
+    + [(c, pa.binary()) for c in ("sizes", "words", "own", "counts", "codes")]
 )
-_BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, words binary, counts binary, codes binary"
+_BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, words binary, own binary, counts binary, codes binary"
 
 
 def _into_blocks(cells: int):
@@ -152,9 +152,11 @@ def _into_blocks(cells: int):
             order = np.argsort(distinct % np.uint64(cells), kind="stable")
             count = np.bincount(codes, minlength=len(distinct))[order]
             rank = _turned(np.argsort(-count, kind="stable"))[_turned(order)]
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            own = np.bincount(codes[np.repeat(~held, np.diff(bounds))], minlength=len(distinct))[order]
             row = (
                 number, batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
-                packed(np.diff(bounds)), packed(distinct[order].view(np.int64), True), packed(count), packed(rank[codes]),
+                packed(np.diff(bounds)), packed(distinct[order].view(np.int64), True), packed(own), packed(count), packed(rank[codes]),
             )
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCKS.types)], schema=BLOCKS)
             number += 1
@@ -187,30 +189,22 @@ class Walk:
 
     def read(self, docs: pa.Table) -> None:
         """Tokens as codes of the block's distinct words, which stand by cell and hash."""
-        row = docs.select(["block", "sizes", "words", "counts", "codes"]).to_pylist()[0]
+        row = docs.select(["block", "sizes", "counts", "codes"]).to_pylist()[0]
         sizes, self.block = unpacked(row["sizes"]), row["block"]
         self.bounds = np.r_[0, np.cumsum(sizes)]
-        self.words = unpacked(row["words"], True).view(np.uint64)
-        self.codes = np.argsort(-unpacked(row["counts"]), kind="stable")[unpacked(row["codes"])]
-        self.cell = (self.words % np.uint64(self.cells)).astype(np.int64)
+        by_count = np.argsort(-unpacked(row["counts"]), kind="stable")
+        self.words, self.codes = len(by_count), by_count[unpacked(row["codes"])]
         held = docs.column("held_out").chunk(0).flatten().to_numpy(zero_copy_only=False)
         self.learn = np.repeat(~held.astype(bool), sizes)
         self.place = np.arange(len(self.codes)) - np.repeat(self.bounds[:-1], sizes)
 
-    def asked_words(self) -> list[tuple]:
-        n = np.bincount(self.codes[self.learn], minlength=len(self.words))
-        return [
-            (self.block, 0, c, packed(self.words[i:j].view(np.int64), True), packed(n[i:j]), b"", b"", b"", b"")
-            for c, i, j in _pieces(self.cell)
-        ]
-
     def hear(self, known: pa.Table) -> None:
         """Sort the answers by level and cell; give all tokens their chances by word counts."""
         rows = known.select(["level", "cell", "a", "b", "c"]).to_pylist()
         self.known: dict[int, list[dict]] = {}
         for r in sorted(rows, key=lambda r: (r["level"], r["cell"])):
             self.known.setdefault(r["level"], []).append(r)
-        count, number = self.told(0, "a"), self._numbers(0, np.ones(len(self.words), bool))
+        count, number = self.told(0, "a"), self._numbers(0, np.ones(self.words, bool))
         order = np.argsort(number)  # codes rise with the numbers from here on
         self.number, self.symbol = number[order], _turned(order)[self.codes]
         seen = count[order]
@@ -365,11 +359,18 @@ class Walk:
         )
 
 
-def _block_words(cells: int):
-    def run(docs: pa.Table) -> pa.Table:
-        walk = Walk(cells)
-        walk.read(docs.combine_chunks())
-        return _table(walk.asked_words(), ASKS)
+def _ask_words(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's words and how often they are in its training documents, for their cells."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, own = unpacked(r["words"], True), unpacked(r["own"])
+                cell = (words.view(np.uint64) % np.uint64(cells)).astype(np.int64)
+                out = [
+                    (r["block"], 0, c, packed(words[i:j], True), packed(own[i:j]), b"", b"", b"", b"")
+                    for c, i, j in _pieces(cell)
+                ]
+                yield from _table(out, ASKS).to_batches()
 
     return run
 
@@ -582,10 +583,12 @@ def suffix_tree_scores(
     drop_shuffles(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells, buckets = size // CELL_BYTES + 1, 2 * (size // BLOCK_BYTES) + 1
-    stored = materialise_in_buckets(rows.mapInArrow(_into_blocks(cells), _BLOCKS), "lm-blocks", buckets, "block")
+    kept = materialise(rows.mapInArrow(_into_blocks(cells), _BLOCKS), "lm-blocks")
     with bucket_table(docs.sparkSession, "lm-told", buckets, "block") as tell:
-        asked = stored.groupBy("block").applyInArrow(_block_words(cells), _ASKS).repartition(cells, "cell")
+        asked = kept.select("block", "words", "own").mapInArrow(_ask_words(cells), _ASKS).repartition(cells, "cell")
         told = tell(asked.groupBy("cell").applyInArrow(_count_words, _ANSWERS))
+        stored = materialise_in_buckets(kept.drop("words", "own"), "lm-tokens", buckets, "block")
+        discard(kept)  # with the words themselves, which nobody asks for again
         facts = told.where("kind = 'fact'").agg(F.sum("n").alias("tokens"), F.sum("m").alias("distinct")).first()
         walk = Walk(cells, facts.tokens or 0, facts.distinct or 0, least_count, discount)
 

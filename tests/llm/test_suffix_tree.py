@@ -203,3 +203,21 @@ def test_walks_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_words_are_dropped_and_pairs_asked_in_rounds(spark, monkeypatch):
+    """After the words are counted only their tokens are kept, and every length of context asks for a part at a time."""
+    from peakflow import session
+
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"word{x}" for x in rng.zipf(1.5, 300))) for i in range(60)]
+    monkeypatch.setattr(suffix_tree, "CELL_BYTES", 10_000)
+    asked = []
+    told = suffix_tree._block_pairs
+    monkeypatch.setattr(suffix_tree, "_block_pairs", lambda *a: asked.append(a[1:]) or told(*a))
+    since = len(session._stored)
+    rows = suffix_tree_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    _, _, want = plain_tree(docs, 3)
+    assert [r.score for r in sorted(rows)] == pytest.approx([x for _, x in want], rel=1e-9)
+    assert [(a[0], a[2], a[3]) for a in asked] == [(1, 0, 2), (1, 1, 2), (2, 0, 3), (2, 1, 3), (2, 2, 3), (3, 0, 2), (3, 1, 2)]
+    assert not [p for _, p in session._stored[since:] if "lm-blocks" in p or "lm-gains" in p]
