@@ -231,8 +231,11 @@ class Walk:
         out[which] = np.concatenate(parts) if parts else 0
         return out
 
-    def pairs(self) -> None:
-        """Distinct pairs of a context and its symbol by cell, context and symbol, and the contexts of each cell."""
+    def pairs(self, part: int = 0, parts: int = 1) -> None:
+        """Distinct pairs of a context and its symbol by cell, context and symbol, and the contexts of each cell.
+
+        Pairs of other cells than those of the part are left out.
+        """
         after = np.flatnonzero(self.open)
         self.at = after[self.total[self.before[after]] >= self.least_count]
         code, symbol = self.before[self.at], self.symbol[self.at]
@@ -252,11 +255,14 @@ class Walk:
             salt = _spread(self.number[symbol[hot]], 1, 1 << 40) % shares[code[hot]]
             dealt = (_spread(self.context[code[hot]], salt, self.cells) << 32) | code[hot]
             entry[hot] = np.searchsorted(self.entries, dealt)
+        if parts > 1:
+            keep = ((self.entries >> 32) % parts == part)[entry]
+            self.at, entry, symbol = self.at[keep], entry[keep], symbol[keep]
         self.distinct_pairs, self.pair = _distinct(entry * len(self.number) + symbol)
 
     def asked_pairs(self, part: int = 0, parts: int = 1) -> list[tuple]:
         """What the block asks of a part of the cells; about the chance of a symbol its count says it all at first."""
-        self.pairs()
+        self.pairs(part, parts)
         own = np.bincount(self.pair[self.learn[self.at]], minlength=len(self.distinct_pairs))
         entry = self.distinct_pairs // len(self.number)
         symbol_code = self.distinct_pairs - entry * len(self.number)
